@@ -25,7 +25,8 @@ EDIT_RATE = 0.1
 #: Benchmark characters indexed at once; a larger benchmark is taken slice by slice.
 SLICE_CHARS = 8_000_000
 BITS = 22
-_GAP = re.compile(r"[\W_]+")
+#: Everything but a single space between letters or digits.
+_GAP = re.compile(r"(?:[^\w ]|_)[\W_]*| [\W_]+")
 HITS = "dc_hits array<struct<item_id:long,segment:int,start:int,distance:int>>"
 
 
@@ -68,13 +69,26 @@ class Index:
         code = np.concatenate([*grams, np.zeros(0, np.uint64)])
         seg = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
         pos = np.concatenate([np.arange(len(g)) for g in grams] or [np.zeros(0, np.int64)])
-        order = np.argsort(code, kind="stable")
-        self.code, self.seg, self.pos = code[order], seg[order], pos[order]
-        self.has = np.zeros(1 << BITS, bool)
-        self.has[slot(self.code)] = True
         size = np.array([len(s) for _, _, s in self.segments], np.int64)
         self.edits = np.array([edits(n) for n in size.tolist()], np.int64)
         self.need = size - Q + 1 - Q * self.edits
+        # Each segment leaves out its most frequent q-grams, half of those that it needs, and needs as many less:
+        # the bound still holds, and the q-grams that most texts share are not looked up.
+        place = slot(code)
+        often = np.bincount(place, minlength=1 << BITS)[place]
+        order = np.lexsort((-often, seg))
+        rank = np.empty(len(seg), np.int64)
+        rank[order] = np.arange(len(seg)) - np.searchsorted(seg[order], seg[order])
+        spare = self.need // 2
+        keep = rank >= spare[seg] if len(seg) else np.zeros(0, bool)
+        self.need = self.need - spare
+        place, seg, pos = place[keep], seg[keep], pos[keep]
+        order = np.argsort(place, kind="stable")
+        place, self.seg, self.pos = place[order], seg[order], pos[order]
+        # entries by slot: two q-grams in one slot only add hits, which the alignment sorts out
+        own, first, times = np.unique(place, return_index=True, return_counts=True)
+        self.first, self.times, self.entry = np.append(0, first), np.append(0, times), np.zeros(1 << BITS, np.int32)
+        self.entry[own] = np.arange(1, len(own) + 1)
         full = np.array([bool(len(g)) for g in grams], bool)
         self.least = int(self.need[full].min()) if full.any() else 0
         self.most = int((size + self.edits).max()) if len(size) else 0
@@ -84,29 +98,22 @@ class Index:
         """(item_id, segment start, start in the normalised text, distance) of every segment in the text."""
         text = normalize(raw)
         found = [(self.segments[n][0], self.segments[n][1], p.start(), 0) for n in self.short for p in re.finditer(rf"\b{re.escape(self.segments[n][2])}\b", text)]
-        code = codes(text)
-        at = np.flatnonzero(self.has[slot(code)])
-        if not len(self.code) or len(at) < self.least:
+        entry = self.entry[slot(codes(text))]
+        at = np.flatnonzero(entry)
+        if not self.least or len(at) < self.least or (at[self.least - 1 :] - at[: len(at) - self.least + 1]).min() >= self.most:
             return found
-        near = np.flatnonzero(at[self.least - 1 :] - at[: len(at) - self.least + 1] < self.most)
-        if not len(near):
-            return found
-        mark = np.zeros(len(at) + 1, np.int64)  # hits in some window that holds enough of them
-        np.add.at(mark, near, 1)
-        np.add.at(mark, near + self.least, -1)
-        at = at[np.cumsum(mark[:-1]) > 0]
-        lo, hi = np.searchsorted(self.code, code[at]), np.searchsorted(self.code, code[at], side="right")
-        n = hi - lo
-        if not n.sum():
-            return found
-        take = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-        seg, diagonal = self.seg[take], np.repeat(at, n) - self.pos[take] + SEGMENT
+        entry = entry[at]
+        n, first = self.times[entry], self.first[entry]
+        take = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        seg = self.seg[take]
         bands = len(text) // self.width + SEGMENT // self.width + 3
-        band = diagonal // self.width
-        key, count = np.unique(np.concatenate((seg * bands + band, seg * bands + np.maximum(band - 1, 0))), return_counts=True)
-        enough = count >= self.need[key // bands]
+        key = seg * bands + (np.repeat(at, n) - self.pos[take] + SEGMENT) // self.width
+        key, count = np.unique(key, return_counts=True)
+        both = count.copy()  # a band and the next one: bands of double width that overlap by half
+        both[:-1] += np.where(key[1:] == key[:-1] + 1, count[1:], 0)
+        key = key[both >= self.need[key // bands]]
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for k in key[enough].tolist():
+        for k in key.tolist():
             s, start = k // bands, (k % bands) * self.width - SEGMENT
             item, where, segment = self.segments[s]
             d, place = align(segment, text, start, start + 2 * self.width, int(self.edits[s]))
