@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -142,7 +143,7 @@ def _cut(part: np.ndarray, values: np.ndarray, parts: int) -> list[bytes]:
 
 
 def _resolve(hot_docs: int):
-    """Packed minimizers of an owner -> (id, shared codes) per document, and the codes over hot_docs under a null id."""
+    """Packed minimizers of an owner -> (id, code) of those that are shared, and the codes over hot_docs under a null id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
@@ -155,12 +156,11 @@ def _resolve(hot_docs: int):
         shared = times[place[: len(codes)]] > 1
         code = np.concatenate((codes[shared], read("known_codes", np.uint64)))
         doc = np.concatenate((ids[shared], read("known_ids", np.int64)))
-        order = np.argsort(doc, kind="stable")
-        code, doc = code[order], doc[order]
-        own, at = np.unique(doc, return_index=True)
-        blobs = [code[a:b].tobytes() for a, b in itertools.pairwise([*at.tolist(), len(doc)])]
-        hot = every[docs > hot_docs].tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array([*own.tolist(), None], pa.int64()), pa.array([*blobs, hot], pa.binary())], ["sd_id", "sd_codes"])
+        hot = every[docs > hot_docs]
+        for at in range(0, len(code), 1 << 16):
+            part = slice(at, at + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(doc[part]), pa.array(code[part].view(np.int64))], ["sd_id", "sd_code"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(hot), pa.int64()), pa.array(hot.view(np.int64))], ["sd_id", "sd_code"])
 
     return run
 
@@ -171,12 +171,12 @@ def _runs(shared_hot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = shared_hot.value
         for batch in batches:
-            least: dict[tuple[int, bytes], tuple[int, int]] = {}
+            least: dict[tuple[int, bytes], tuple[int, list[int]]] = {}
             out: list[tuple] = []
             for doc, text, blobs in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
                 words = words_of(text.as_py())
                 code, place = minimizers(words)
-                shared = np.isin(code, np.frombuffer(b"".join(blobs.as_py()), np.uint64))
+                shared = np.isin(code, blobs.values.to_numpy().view(np.uint64))
                 single = np.isin(code, hot) if len(hot) else np.zeros(len(code), bool)
                 new = np.concatenate(([True], (place[1:] != place[:-1]) | single[1:])) if len(place) else np.zeros(0, bool)
                 starts = np.flatnonzero(new)
@@ -184,51 +184,59 @@ def _runs(shared_hot):
                 for a, b, key, one in zip(starts[shared[starts]].tolist(), ends[shared[starts]].tolist(), code[starts[shared[starts]]].tolist(), single[starts[shared[starts]]].tolist()):
                     run_words = b" ".join(words[a:b])
                     key = xxhash.xxh64_intdigest(run_words) if one else key
-                    if (held := least.get((key, run_words))) is None:
-                        least[key, run_words] = (doc, a)
-                    elif held[0] == doc:
-                        out.append((key, doc, a, b - a, run_words))
+                    held = least.get((key, run_words))
+                    if held and held[0] == doc:
+                        held[1].append(a)
+                    elif held and held[0] < doc:
+                        out.append((_any_shard(key, doc), doc, [a], b - a, None))
                     else:
-                        lose = max(held, (doc, a))
-                        least[key, run_words] = min(held, (doc, a))
-                        out.append((xxhash.xxh64_intdigest(run_words, lose[0] & 0xFFFF), *lose, b - a, None))
-            out += [(key, doc, a, words.count(b" ") + 1, words) for (key, words), (doc, a) in least.items()]
+                        if held:
+                            out.append((_any_shard(key, held[0]), *held, b - a, None))
+                        least[key, run_words] = (doc, [a])
+            out += [(key, doc, starts, words.count(b" ") + 1, words) for (key, words), (doc, starts) in least.items()]
             cols = list(zip(*out)) or [()] * 5
             key = pa.array(np.array(cols[0], np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([key, *[pa.array(c, pa.int64()) for c in cols[1:4]], pa.array(cols[4], pa.binary())], ["shard", "sd_id", "start", "size", "words"])
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([key, *[pa.array(c, k) for c, k in zip(cols[1:], kinds)]], ["shard", "sd_id", "starts", "size", "words"])
 
     return run
 
 
-def shard_spans(rows: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, int, int]]:
-    """(id, start, end) of the removed spans of one shard's runs (id, start, words)."""
+def _any_shard(key: int, doc: int) -> int:
+    return (key ^ doc * 0x9E3779B97F4A7C15) % (1 << 64)
+
+
+def shard_spans(rows: list[tuple[int, list[int], bytes]]) -> Iterator[tuple[int, int, int]]:
+    """(id, start, end) of the removed spans of one shard's runs (id, starts, words)."""
     known: set[bytes] = set()
-    automaton = Automaton()
+    automaton, waiting = Automaton(), []  # runs join the automaton when some other run is to be streamed
     for doc, group in itertools.groupby(sorted(rows), key=lambda r: r[0]):
         fresh: dict[bytes, list[bytes]] = {}
-        for _, start, joined in group:
+        for _, starts, joined in group:
             words = joined.split(b" ")
             if joined in known:
-                yield doc, start, start + len(words)
+                yield from ((doc, s, s + len(words)) for s in starts)
                 continue
             until, whole = -1, len(known) > 0
             if known:
                 begin = 0
+                while waiting:
+                    automaton.add(waiting.pop())
                 for i, size in enumerate(automaton.statistics(words)):
                     if size >= WINDOW:
                         if i - WINDOW + 1 > until and until >= 0:
-                            yield doc, start + begin, start + until
+                            yield from ((doc, s + begin, s + until) for s in starts)
                         if until < 0 or i - WINDOW + 1 > until:
                             begin = i - WINDOW + 1
                         until = i + 1
                     elif i >= WINDOW - 1:
                         whole = False
                 if until >= 0:
-                    yield doc, start + begin, start + until
+                    yield from ((doc, s + begin, s + until) for s in starts)
             if not whole:
                 fresh[joined] = words
         for joined, words in fresh.items():
-            automaton.add(words)
+            waiting.append(words)
             known.add(joined)
 
 
@@ -237,18 +245,21 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not got:
         return
     table = pa.Table.from_batches(got)
-    shard, doc, start, size = (table.column(c).to_numpy() for c in ("shard", "sd_id", "start", "size"))
-    text = table.column("words")
+    shard, doc, size = (table.column(c).to_numpy() for c in ("shard", "sd_id", "size"))
+    text, starts = table.column("words"), table.column("starts")
     sure = np.asarray(text.is_null())
-    spans = [np.stack((doc[sure], start[sure], start[sure] + size[sure]), 1)]
+    lost = starts.filter(pa.array(sure))
+    times = np.array(pc.list_value_length(lost), np.int64)
+    begin = np.array(pc.list_flatten(lost), np.int64)
+    spans = [np.stack((np.repeat(doc[sure], times), begin, begin + np.repeat(size[sure], times)), 1)]
     rest = np.flatnonzero(~sure)
     rest = rest[np.argsort(shard[rest], kind="stable")]
     cuts = np.concatenate(([0], np.flatnonzero(np.diff(shard[rest])) + 1, [len(rest)]))
     found: list[tuple[int, int, int]] = []
+    rows = list(zip(doc[rest].tolist(), starts.take(pa.array(rest)).to_pylist(), text.take(pa.array(rest)).to_pylist()))
     for a, b in itertools.pairwise(cuts.tolist()):
         if b - a > 1:
-            own = rest[a:b]
-            found += shard_spans(list(zip(doc[own].tolist(), start[own].tolist(), text.take(pa.array(own)).to_pylist())))
+            found += shard_spans(rows[a:b])
     spans.append(np.array(found, np.int64).reshape(-1, 3))
     every = np.concatenate(spans)
     yield pa.RecordBatch.from_arrays([pa.array(every[:, i]) for i in range(3)], ["sd_id", "start", "stop"])
@@ -277,12 +288,12 @@ def removed_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     hot_docs = max(HOT_DOCS, rows.count() // 50)
     owned = rows.mapInArrow(_announce(parts), PACKED).repartition("part")
-    shared = materialize(owned.mapInArrow(_resolve(hot_docs), "sd_id long, sd_codes binary"), "minimizers")
-    hot = [np.frombuffer(r.sd_codes, np.uint64) for r in shared.where("sd_id is null and length(sd_codes) > 0").collect()]
-    hot_codes = spark.sparkContext.broadcast(np.concatenate([*hot, np.zeros(0, np.uint64)]))
-    by_doc = shared.where("sd_id is not null").groupBy(F.col("sd_id").alias("sd_doc")).agg(F.collect_list("sd_codes").alias("sd_codes"))
+    shared = materialize(owned.mapInArrow(_resolve(hot_docs), "sd_id long, sd_code long"), "minimizers")
+    hot = [r.sd_code for r in shared.where("sd_id is null").collect()]  # words / (5 * hot_docs) at most: some thousands
+    hot_codes = spark.sparkContext.broadcast(np.array(hot, np.int64).view(np.uint64))
+    by_doc = shared.where("sd_id is not null").groupBy(F.col("sd_id").alias("sd_doc")).agg(F.collect_list("sd_code").alias("sd_codes"))
     met = rows.join(by_doc, rows.sd_id == by_doc.sd_doc).select("sd_id", "sd_text", "sd_codes")
-    runs = met.mapInArrow(_runs(hot_codes), "shard long, sd_id long, start long, size long, words binary").repartition("shard")
+    runs = met.mapInArrow(_runs(hot_codes), "shard long, sd_id long, starts array<long>, size long, words binary").repartition("shard")
     spans = runs.mapInArrow(_shards, "sd_id long, start long, stop long")
     out = materialize(spans.groupBy("sd_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "removed")
     discard(shared)
