@@ -1 +1,4 @@
-"""Land-use analytics on Spark."""
+"""Queries over the driver's tables; importing this package registers them."""
+
+from . import models, rasters, records  # noqa: F401
+from .registry import QUERIES, SQL  # noqa: F401
