@@ -78,6 +78,18 @@ def ring_area(ring: Column) -> Column:
     return F.abs(F.aggregate(cross, F.lit(0.0), lambda s, c: s + c)) / 2
 
 
+def centroid(ring: Column) -> Column:
+    """Centre of mass as an (x, y) struct; null for rings without area."""
+
+    def moment(k: str) -> Column:
+        cross = lambda e: e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]
+        both = F.transform(_edges(ring), lambda e: F.struct(((e["a"][k] + e["b"][k]) * cross(e)).alias("m"), cross(e).alias("c")))
+        total = lambda f: F.aggregate(F.transform(both, lambda v: v[f]), F.lit(0.0), lambda s, v: s + v)
+        return ratio(total("m"), total("c") * 3)
+
+    return F.struct(moment("x").alias("x"), moment("y").alias("y"))
+
+
 def ring_length(ring: Column) -> Column:
     far = F.transform(_edges(ring), lambda e: F.hypot(e["a"]["x"] - e["b"]["x"], e["a"]["y"] - e["b"]["y"]))
     return F.aggregate(far, F.lit(0.0), lambda s, c: s + c)
