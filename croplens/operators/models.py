@@ -5,9 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,19 +41,6 @@ def importance(rows: DataFrame, features: Sequence[str], label: str, fits: int =
     return sorted(total.items(), key=lambda x: (-x[1], x[0]))[:top]
 
 
-def search(rows: DataFrame, features: Sequence[str], label: str, grid: dict[str, list], folds: int = 5, top: int = 3, seed: int = 1) -> list[tuple[int, str, float]]:
-    """(place, settings, accuracy) of the best combinations of the grid by cross-validation; equals keep their grid order."""
-    forest = RandomForestClassifier(featuresCol="md_x", labelCol=label, seed=seed)
-    maps = ParamGridBuilder()
-    for name, values in grid.items():
-        maps = maps.addGrid(forest.getParam(name), values)
-    combos = maps.build()
-    judge = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
-    scores = CrossValidator(estimator=forest, estimatorParamMaps=combos, evaluator=judge, numFolds=folds, seed=seed, parallelism=2).fit(assemble(rows, features)).avgMetrics
-    best = sorted(zip(scores, combos), key=lambda x: -x[0])[:top]
-    return [(n, ", ".join(f"{p.name}={v}" for p, v in sorted(m.items(), key=lambda x: x[0].name)), float(s)) for n, (s, m) in enumerate(best, 1)]
-
-
 def explained_variance(rows: DataFrame, features: Sequence[str], k: int) -> list[float]:
     """Share of the variance of the first k components."""
     return PCA(k=k, inputCol="md_x", outputCol="md_pc").fit(assemble(rows, features)).explainedVariance.toArray().tolist()

@@ -117,13 +117,3 @@ def boxes_without_overlap(spark, sf_dir):
     boxes = z.withColumn("box", F.struct(F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + 4).alias("x1"), (F.col("y") + 4).alias("y1")))
     met = G.box_pairs(boxes, boxes, "id", "box", 8.0).where("a < b").select(F.col("b").alias("id")).distinct()
     return z.join(met, "id", "left_anti").select("id")
-
-
-@query()
-def search_top3(spark, sf_dir):
-    """Cross-validated forests over a small grid, best three; folds are random, so rows only."""
-    from ..operators import models as M
-    from .models import FEATURES, vectors
-
-    found = M.search(vectors(spark, sf_dir), FEATURES[:16], "label", {"numTrees": [10, 20], "maxDepth": [4, 8]}, folds=2, top=3)
-    return spark.createDataFrame(found, "place int, settings string, score double")

@@ -87,8 +87,3 @@ def test_savgol_keeps_cubics_and_short_series(spark):
 def test_stratified_third_passes_small_tables(spark):
     rows = spark.createDataFrame([(0, i) for i in range(5)] + [(1, 9)], "c int, k int")
     assert T.stratified_third(rows, "c", [F.col("k")]).count() == 6
-
-
-def test_search_keeps_the_best_three(spark):
-    rows = plans.QUERIES["search_top3"](spark, FOLDER).orderBy("place").collect()
-    assert [r.place for r in rows] == [1, 2, 3] and rows[0].score >= rows[1].score >= rows[2].score
