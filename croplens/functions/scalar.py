@@ -67,14 +67,14 @@ def county_key(state: Column, county: Column) -> Column:
     return F.concat(F.lpad(state.cast("string"), 2, "0"), F.lpad(county.cast("string"), 3, "0"))
 
 
-def _edges(ring: Column) -> Column:
+def edges(ring: Column) -> Column:
     """Pairs of neighbouring points; the ring is closed if it isn't."""
     return F.zip_with(ring, F.concat(F.slice(ring, F.lit(2), F.size(ring) - 1), F.slice(ring, 1, 1)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
 
 def ring_area(ring: Column) -> Column:
     """Shoelace area of an array of (x, y) points."""
-    cross = F.transform(_edges(ring), lambda e: e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"])
+    cross = F.transform(edges(ring), lambda e: e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"])
     return F.abs(F.aggregate(cross, F.lit(0.0), lambda s, c: s + c)) / 2
 
 
@@ -83,7 +83,7 @@ def centroid(ring: Column) -> Column:
 
     def moment(k: str) -> Column:
         cross = lambda e: e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]
-        both = F.transform(_edges(ring), lambda e: F.struct(((e["a"][k] + e["b"][k]) * cross(e)).alias("m"), cross(e).alias("c")))
+        both = F.transform(edges(ring), lambda e: F.struct(((e["a"][k] + e["b"][k]) * cross(e)).alias("m"), cross(e).alias("c")))
         total = lambda f: F.aggregate(F.transform(both, lambda v: v[f]), F.lit(0.0), lambda s, v: s + v)
         return ratio(total("m"), total("c") * 3)
 
@@ -91,7 +91,7 @@ def centroid(ring: Column) -> Column:
 
 
 def ring_length(ring: Column) -> Column:
-    far = F.transform(_edges(ring), lambda e: F.hypot(e["a"]["x"] - e["b"]["x"], e["a"]["y"] - e["b"]["y"]))
+    far = F.transform(edges(ring), lambda e: F.hypot(e["a"]["x"] - e["b"]["x"], e["a"]["y"] - e["b"]["y"]))
     return F.aggregate(far, F.lit(0.0), lambda s, c: s + c)
 
 
@@ -113,7 +113,7 @@ def within(x: Column, y: Column, ring: Column) -> Column:
         a, b = e["a"], e["b"]
         return ((a["y"] > y) != (b["y"] > y)) & (x < ratio((b["x"] - a["x"]) * (y - a["y"]), b["y"] - a["y"]) + a["x"])
 
-    return F.size(F.filter(_edges(ring), crosses)) % 2 == 1
+    return F.size(F.filter(edges(ring), crosses)) % 2 == 1
 
 
 def rectangle(x0: Column, y0: Column, w: Column, h: Column) -> Column:

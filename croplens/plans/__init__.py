@@ -1,4 +1,4 @@
 """Queries over the driver's tables; importing this package registers them."""
 
-from . import models, rasters, records, streams, terrain  # noqa: F401
+from . import accuracy, areas, models, rasters, records, streams, terrain  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,3 +28,8 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder in the shared checkpoint folder; a local one only where none is set."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/plans/{uuid.uuid4().hex}"

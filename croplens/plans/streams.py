@@ -2,18 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..streaming import events as E
-from .registry import query
-
-
-def scratch(spark) -> str:
-    """A new folder in the shared checkpoint folder; a local one only where none is set."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/streams/{uuid.uuid4().hex}"
+from .registry import query, scratch
 
 
 @query("SELECT user_id, CAST(ts AS DATE) AS day, max(value) AS value FROM events GROUP BY ALL")

@@ -87,3 +87,37 @@ def test_savgol_keeps_cubics_and_short_series(spark):
 def test_stratified_third_passes_small_tables(spark):
     rows = spark.createDataFrame([(0, i) for i in range(5)] + [(1, 9)], "c int, k int")
     assert T.stratified_third(rows, "c", [F.col("k")]).count() == 6
+
+
+def test_apart_is_the_greedy_choice(spark, tmp_path):
+    from croplens.operators import polygons as P
+
+    order = [5, 3, 3, 9, 1, 4, 2, 8]
+    meets = [(0, 1), (1, 2), (2, 4), (3, 5), (5, 6), (6, 7), (0, 7), (4, 4)]
+    kept = []
+    for k in sorted(range(8), key=lambda k: (order[k], k)):
+        if not any((k, o) in meets or (o, k) in meets for o in kept):
+            kept.append(k)
+    rows = spark.createDataFrame(list(enumerate(order)), "id long, o int")
+    pairs = spark.createDataFrame([*meets, (1, 0)], "a long, b long")
+    assert sorted(r.id for r in P.apart(rows, pairs, "id", ["o"], f"file://{tmp_path}").collect()) == sorted(kept)
+    assert P.apart(rows.limit(0), pairs, "id", ["o"], f"file://{tmp_path}").count() == 0
+
+
+def test_albers_published_example(spark):
+    from croplens.operators import polygons as P
+
+    clarke = (6378206.4, 1 / 294.9786982)
+    at = spark.range(1).select(P.albers(F.lit(-75.0), F.lit(35.0), ellipsoid=clarke).alias("p")).first().p
+    assert abs(at.x - 1885472.7) < 0.5 and abs(at.y - 1535925.0) < 0.5
+
+
+def test_rings_that_hold_or_touch(spark):
+    from croplens.operators import polygons as P
+
+    box = lambda x, y, w: S.rectangle(F.lit(x), F.lit(y), F.lit(w), F.lit(w))
+    cases = [(0, 0, 9, 2, 2, 1, True), (0, 0, 2, 2, 2, 2, True), (0, 0, 2, 3, 0, 2, False), (2, 2, 1, 0, 0, 9, True)]
+    for x, y, w, u, v, z, want in cases:
+        assert spark.range(1).select(P.ring_intersects(box(x, y, w), box(u, v, z))).first()[0] is want
+    far = spark.range(1).select(P.ring_distance(F.lit(5.0), F.lit(6.0), box(0, 0, 2)), P.ring_distance(F.lit(1.0), F.lit(1.0), box(0, 0, 2))).first()
+    assert far[0] == 5.0 and far[1] == 0.0
