@@ -39,6 +39,16 @@ def test_model_queries(spark):
     assert rows.count() > 0 and rows.columns == ["vec_id", "label", "pred"]
 
 
+def test_forest_comparison(spark):
+    from croplens.operators import accuracy as A
+
+    rows = spark.createDataFrame([(i, float(i % 2), float(i % 7), i % 2) for i in range(80)], "k long, a double, b double, label int")
+    best = A.compare_forests(rows, ["a", "b"], "label", "k", {"depth": [2], "trees": [3, 5]}, folds=2)
+    assert [r[0] for r in best] == [1, 1] and best[0][2] > 0.9
+    curve = A.feature_curve(rows, ["b", "a"], "label", "k", trees=5, depth=3)
+    assert [c[:2] for c in curve] == [(1, "b"), (2, "a")] and curve[1][2] > 0.9
+
+
 def test_thresholds_and_expressions():
     assert [rules.Threshold(5, 2016, 2025).at(y) for y in (2015, 2016, 2020, 2024, 2030)] == [5, 8, 4, 0, 0]
     assert [rules.Threshold(5, 2016, 2021).at(y) for y in (2015, 2016, 2020, 2022)] == [5, 4, 0, 0]
