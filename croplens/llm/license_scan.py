@@ -59,6 +59,11 @@ def labelled(found: Column, phrase: str, label: str) -> Column:
     return F.transform(places(found, phrase), lambda i: F.struct(i.alias("start"), F.lit(label).alias("label")))
 
 
+def may_stand(low: Column, phrase: str) -> Column:
+    """Whether the phrase's words follow each other in lower-cased text, ends of words aside: needed for a place."""
+    return low.rlike(GAPS.join(re.escape(w) for w in phrase.split()))
+
+
 def containments(blocks: DataFrame, templates: Sequence[tuple[str, str]], freq: Mapping[str, int], threshold: float) -> DataFrame:
     """(ls_id, ls_hash, block, label, containment) of all pairs at or over the threshold.
 
@@ -75,7 +80,7 @@ def containments(blocks: DataFrame, templates: Sequence[tuple[str, str]], freq:
     spark = blocks.sparkSession
     prefix = spark.createDataFrame(index, "tok string, t int, label string, wanted array<string>, need int, i int")
     # template tokens of the block in global order; tokens outside the vocabulary cannot match
-    held = F.filter(F.array(*map(F.lit, vocab)), lambda w: F.array_contains("tokens", w))
+    held = F.array_intersect(F.array(*map(F.lit, vocab)), "tokens")
     rows = blocks.select("ls_id", "ls_hash", "block", F.size("tokens").alias("n"), held.alias("held"))
     rows = rows.select("*", F.posexplode("held").alias("j", "tok"))
     pairs = rows.join(F.broadcast(prefix), "tok").where(F.col("n") >= F.col("need"))
@@ -104,13 +109,11 @@ def scan_licenses(
     for tokens in template_tokens(templates):
         may = may | (F.size(F.array_intersect("seen", F.array(*map(F.lit, tokens)))) >= math.ceil(threshold * len(tokens) - 1e-9))
     exact = words(F.translate("ls_text", UPPER, LOWER))
-    base = [labelled(F.col("x"), p, label) for p, label in phrases.items()]
-    each = each.withColumns({"seen": seen, "n_words": F.size("w").cast("long")})
     low2 = F.lower("ls_text")
-    named = F.lit(False)
-    for p in phrases:
-        named = named | (low2.contains(p.split()[0]) & low2.contains(p.split()[-1]))
-    each = each.withColumn("x", F.when(named, exact).otherwise(F.array().cast("array<string>")))
+    each = each.withColumns({"seen": seen, "n_words": F.size("w").cast("long"), "named": F.array(*[may_stand(low2, p) for p in phrases])})
+    each = each.withColumn("x", F.when(F.array_contains("named", True), exact).otherwise(F.array().cast("array<string>")))
+    none = F.array().cast("array<struct<start:int,label:string>>")
+    base = [F.when(F.get("named", i), labelled(F.col("x"), p, label)).otherwise(none) for i, (p, label) in enumerate(phrases.items())]
     each = materialize(
         each.select("ls_id", "ls_hash", "n_words", "seen", F.concat(*base).alias("base"), F.when(may, F.col("ls_text")).alias("maybe")), "license_words"
     )
