@@ -160,14 +160,15 @@ def nested_split(spark, sf_dir):
 
 
 @query(
-    "WITH m AS (SELECT user_id AS k, CAST(ts AS DATE) AS day, sum(CAST(value AS DECIMAL(18, 2))) AS v FROM events GROUP BY ALL), d AS (SELECT k, day, CAST(v AS DOUBLE) AS v, avg(CAST(v AS DOUBLE)) OVER (PARTITION BY k) AS mean FROM m) "
-    "SELECT k, day, round(CASE WHEN v < mean THEN v ELSE mean END, 4) AS base, round(abs(v - mean), 4) AS height FROM d"
+    "WITH m AS (SELECT user_id AS k, CAST(ts AS DATE) AS day, sum(CAST(value AS DECIMAL(18, 2))) AS v FROM events GROUP BY ALL), d AS (SELECT k, day, CAST(v AS DOUBLE) AS v, CAST(sum(v) OVER (PARTITION BY k) AS DOUBLE) / count(*) OVER (PARTITION BY k) AS mean FROM m) "
+    "SELECT k, day, CASE WHEN v < mean THEN v ELSE mean END AS base, abs(v - mean) AS height FROM d"
 )
 def signed_bars(spark, sf_dir):
     """Bars of a series about its mean: they stand on the value below it and on the mean above."""
-    daily = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("k"), F.to_date("ts").alias("day")).agg(F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("v"))
-    rows = daily.withColumn("mean", F.avg("v").over(Window.partitionBy("k")))
-    return rows.select("k", "day", F.round(F.least("v", "mean"), 4).alias("base"), F.round(F.abs(F.col("v") - F.col("mean")), 4).alias("height"))
+    daily = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("k"), F.to_date("ts").alias("day")).agg(F.sum(F.col("value").cast("decimal(18,2)")).alias("v"))
+    own = Window.partitionBy("k")
+    rows = daily.withColumn("mean", F.sum("v").over(own).cast("double") / F.count("*").over(own)).withColumn("v", F.col("v").cast("double"))
+    return rows.select("k", "day", F.least("v", "mean").alias("base"), F.abs(F.col("v") - F.col("mean")).alias("height"))
 
 
 @query(
