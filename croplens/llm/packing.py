@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import functools
 import itertools
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -34,6 +36,20 @@ SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+@functools.cache
+def tokenizer_file(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
+def added_tokens(path: str) -> list[dict]:
+    """The file's added tokens; those that take spaces with them or need a word's edges are refused, not misread."""
+    found = [t for t in tokenizer_file(path).get("added_tokens") or [] if t["content"]]
+    if odd := [t["content"] for t in found if t.get("single_word") or t.get("lstrip") or t.get("rstrip")]:
+        raise ValueError(f"added tokens with single_word, lstrip or rstrip: {odd}")
+    return found
+
+
 @functools.cache
 def encoding(path: str):
     """The byte-level BPE of a tokenizers file as a tiktoken encoding: equal ids, several times as fast.
@@ -41,21 +57,35 @@ def encoding(path: str):
     The file writes each byte as a printable character: printable bytes as
     themselves, the others as 256, 257, ... in order.
     """
-    import json
-
     import tiktoken
 
-    with open(path, encoding="utf-8") as f:
-        vocab = json.load(f)["model"]["vocab"]
+    vocab = tokenizer_file(path)["model"]["vocab"]
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte_of = {chr(b): b for b in plain}
     byte_of |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(plain))}
-    ranks = {bytes(byte_of[c] for c in word): n for word, n in vocab.items() if all(c in byte_of for c in word)}
-    special = max(ranks.values())
-    ranks = {w: n for w, n in ranks.items() if n != special or w != b"<|endoftext|>"}
+    own = {t["content"] for t in added_tokens(path)}
+    ranks = {bytes(byte_of[c] for c in word): n for word, n in vocab.items() if word not in own and all(c in byte_of for c in word)}
     return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@functools.cache
+def encoder(path: str):
+    """Text to ids: texts are split at the file's added tokens, the longest first, and the parts between are encoded alone."""
+    ordinary, ids = encoding(path).encode_ordinary, {t["content"]: t["id"] for t in added_tokens(path)}
+    if not ids:
+        return ordinary
+    marker = re.compile("|".join(re.escape(t) for t in sorted(ids, key=len, reverse=True)))
+
+    def encode(text: str) -> list[int]:
+        out, at = [], 0
+        for m in marker.finditer(text):
+            out += [*ordinary(text[at : m.start()]), ids[m[0]]]
+            at = m.end()
+        return out + ordinary(text[at:]) if at else ordinary(text)
+
+    return encode
+
+
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 200) -> np.ndarray:
     """x >= 0 that makes |ax - b| least, by coordinate descent."""
     gram, rhs, x = a.T @ a, a.T @ b, np.zeros(a.shape[1])
@@ -125,7 +155,7 @@ def plan(lengths: np.ndarray, window: int = WINDOW) -> list[list[tuple[int, int,
 
 def _pack(path: str, id_name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, task, number = encoding(path).encode_ordinary, (TaskContext.get().partitionId() if TaskContext.get() else 0), 0
+        encode, task, number = encoder(path), (TaskContext.get().partitionId() if TaskContext.get() else 0), 0
         held: list[np.ndarray] = []
         keys: list[pa.Array] = []
         tokens = 0

@@ -304,6 +304,14 @@ def test_packing_whole_documents(spark):
     check_pieces({r.doc_id: r.text for r in d.select("doc_id", "text").collect()}, queries.op10_packing(spark, FOLDER).collect())
 
 
+def test_packing_added_tokens(spark):
+    end = "<|endoftext|>"
+    texts = dict(enumerate([f"a {end} b", end, f"{end}{end} \n {end}x", f"Größe  {end}  日本 <|endoftext| > |>", "<|endoftext|"], 1))
+    pieces = packing.pack(docs(spark, list(texts.values())), queries.tokenizer_path()).collect()
+    check_pieces(texts, pieces)
+    assert packing.encoder(queries.tokenizer_path())(f"a {end} b") == [64, 220, 50256, 275]
+
+
 # pipeline
 def test_pipeline_equals_brute_force(spark):
     import corpus_pipeline as pipe
