@@ -1,6 +1,8 @@
 """License scan by an exact set-similarity join (built-in functions only).
 
-Text blocks (sentences and lines) join license templates on shared tokens. Tokens
+Text blocks join license templates on shared tokens: sentences within a line, and
+overlapping runs of words within a paragraph, so that a notice wrapped over lines lies
+whole in a block. Tokens
 are ordered by global document frequency, rarest first. A block that holds at least
 ``threshold`` of a template's tokens must hold one of the template's first
 n - need + 1 (prefix filter), must have at least ``need`` tokens (length filter), and
@@ -36,7 +38,9 @@ TEMPLATES = (
 )
 THRESHOLD = 0.8
 GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-BLOCKS = r"[\r\n]+|(?<=[.!?])\s+"
+LINES = r"[\r\n]+|(?<=[.!?])\s+"
+#: Between paragraphs: a blank line.
+BLOCKS = r"(?:\r\n|\n|\r(?!\n))[ \t]*(?:\r\n|\n|\r(?!\n))\s*"
 
 
 def words(text: Column) -> Column:
@@ -47,6 +51,18 @@ def template_tokens(templates: Sequence[tuple[str, str]]) -> list[list[str]]:
     return [sorted(set(re.findall(r"[0-9a-z]+", t.lower()))) for _, t in templates]
 
 
+def run_length(templates: Sequence[tuple[str, str]]) -> int:
+    """Words in a run: twice the longest template's, at least 4."""
+    return 2 * max([2, *[len(re.findall(r"[0-9a-z]+", t.lower())) for _, t in templates]])
+
+
+def runs(w: Column, length: int) -> Column:
+    """Overlapping runs of words, a quarter of their length apart: every three quarters of a run lie whole in one."""
+    step = max(1, length // 4)
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(w) - length + step - 1), F.lit(step))
+    return F.transform(starts, lambda i: F.slice(w, i + 1, F.lit(length)))
+
+
 def places(found: Column, phrase: str) -> Column:
     """Word numbers at which the phrase's words stand consecutively."""
     parts = phrase.split()
@@ -97,6 +113,8 @@ def scan_licenses(
 ) -> DataFrame:
     """One row per document: id, n_words, phrase places (array of start, label), template labels and best containment.
 
+    A notice is found across line breaks and sentence ends within a paragraph if it
+    stands in one and a half times the longest template's words; blank lines end it.
     Null text counts as empty: no words, no labels, score 0. Rows repeated with one
     id and text stay repeated with equal results; null ids are kept.
     """
@@ -118,8 +136,13 @@ def scan_licenses(
         each.select("ls_id", "ls_hash", "n_words", "seen", F.concat(*base).alias("base"), F.when(may, F.col("ls_text")).alias("maybe")), "license_words"
     )
     counts = each.select(F.explode("seen").alias("tok")).groupBy("tok").agg(F.count("*").alias("n")).collect()  # a row per template token
-    blocks = each.where(F.col("maybe").isNotNull()).select("ls_id", "ls_hash", F.explode(F.split("maybe", BLOCKS)).alias("block"))
-    blocks = blocks.withColumn("tokens", F.array_distinct(words(F.lower("block"))))
+    rows = each.where(F.col("maybe").isNotNull())
+    lines = rows.select("ls_id", "ls_hash", F.explode(F.split("maybe", LINES)).alias("block"))
+    lines = lines.withColumn("tokens", F.array_distinct(words(F.lower("block"))))
+    spans = rows.select("ls_id", "ls_hash", F.explode(F.split("maybe", BLOCKS)).alias("part")).where(F.col("part").rlike(r"[\r\n]|[.!?]\s"))
+    spans = spans.select("ls_id", "ls_hash", words(F.lower("part")).alias("w"))
+    spans = spans.select("ls_id", "ls_hash", F.explode(runs(F.col("w"), run_length(templates))).alias("run"))
+    blocks = lines.unionByName(spans.select("ls_id", "ls_hash", F.array_join("run", " ").alias("block"), F.array_distinct("run").alias("tokens")))
     found = containments(blocks, templates, {r.tok: r.n for r in counts}, threshold)
     found = found.groupBy("ls_id", "ls_hash").agg(F.collect_set("label").alias("labels"), F.max("containment").alias("score"))
     found = materialize(found.select(F.col("ls_id").alias("f_id"), F.col("ls_hash").alias("f_hash"), "labels", "score"), "license_labels")

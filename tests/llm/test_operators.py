@@ -212,6 +212,23 @@ def test_license_places_and_containment(spark):
         assert set(got[i].labels) == labels and got[i].score == pytest.approx(best)
 
 
+def test_license_wrapped_notices(spark):
+    import textwrap
+
+    whole = [(label, t) for label, t in license_scan.TEMPLATES if len(t) > 78]
+    texts, want = [], []
+    for label, t in whole:
+        for width, mark, end in ((72, "", "\n"), (66, " * ", "\r\n"), (30, "# ", "\n"), (78, "REM ", "\r")):
+            for before in (0, 7, 30, 31, 200):
+                texts.append(f"{'word ' * before}{end}{end.join(mark + x for x in textwrap.wrap(t, width))}{end}{'more words ' * 40}")
+                want.append(label)
+    apart = "Permission is hereby granted, free of charge, to any\n\nperson obtaining a copy of this software and associated documentation files"
+    got = {r.doc_id: r for r in license_scan.scan_licenses(docs(spark, [*texts, apart, " ".join(["x"] * 5000)])).collect()}
+    for i, label in enumerate(want, 1):
+        assert label in got[i].labels and got[i].score == 1.0, texts[i - 1]
+    assert not got[len(want) + 1].labels and not got[len(want) + 2].labels
+
+
 # 9
 def brute_print(text):
     words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
