@@ -9,8 +9,11 @@ links is its own component.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import html.entities
+import re
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +24,7 @@ ADDRESS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 CANONICAL = r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)"
 REFRESH = r"(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)"
 HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
+BASE = r"(?is)(<base\b[^>]*\bhref\s*=[^>]*>)"
 TARGET = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"
 
 
@@ -47,18 +51,67 @@ def node_of(url: Column) -> Column:
     return F.substring_index(url, "#", 1)
 
 
+_PARTS = re.compile(r"^(.*?:)(//[^/?#]*)([^?#]*)(\?[^#]*)?", re.S)
+_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:")
+_ENTITY = re.compile(r"&(#[xX][0-9a-fA-F]++;?|#[0-9]++;?|[A-Za-z][A-Za-z0-9]*+(?:;|(?!=)))")
+
+
+def unescaped(value: str) -> str:
+    """An attribute's value with its entities decoded; a name without semicolon only if no letter, digit or = follows."""
+    return _ENTITY.sub(lambda m: html.unescape(m[0]) if m[1][0] == "#" or m[1] in html.entities.html5 else m[0], value)
+
+
+def without_dots(path: str) -> str:
+    """The path with its . and .. segments carried out."""
+    out: list[str] = []
+    parts = path.split("/")[1:]
+    for p in parts:
+        if p == "..":
+            out = out[:-1]
+        elif p != ".":
+            out.append(p)
+    return "/" + "/".join([*out, ""] if out and parts[-1] in (".", "..") else out)
+
+
+def resolve(base: str | None, target: str) -> str | None:
+    """The address of a target on a page, written as its base is; None where it has none (no base, or javascript: and such)."""
+    if scheme := _SCHEME.match(target):
+        return target if target.startswith("//", scheme.end()) else None
+    if not (m := _PARTS.match(base or "")):
+        return None
+    scheme, host, path, query = m.groups("")
+    if target.startswith("//"):
+        return scheme + target
+    to, mark, rest = re.fullmatch(r"(?s)([^?#]*)([?#]?)(.*)", target).groups()
+    if not to:
+        return scheme + host + path + (mark + rest if mark == "?" else query)
+    if not to.startswith("/"):
+        to = (path.rpartition("/")[0] if path else "") + "/" + to
+    return scheme + host + without_dots(to) + mark + rest
+
+
+def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = []
+        for own, url, base, to in zip(*[c.to_pylist() for c in batch.columns]):
+            at = (resolve(url, unescaped(base)) if base else None) or url
+            found.append((own, resolve(at, unescaped(to))))
+        found = [(u, v.partition("#")[0]) for u, v in found if v is not None]
+        yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.string()), pa.array([v for _, v in found], pa.string())], ["u", "v"])
+
+
 def link_edges(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """Edges (u, v) between a page's address and its canonical or refresh target."""
-    url, html = F.col(url_col), F.col(html_col)
-    origin = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)
-    canonical = F.regexp_extract(F.regexp_extract(html, CANONICAL, 1), HREF, 1)
-    refresh = F.regexp_extract(F.regexp_extract(html, REFRESH, 1), TARGET, 1)
-    found = pages.select(node_of(url).alias("u"), origin.alias("o"), F.explode(F.array(canonical, refresh)).alias("to"))
-    found = found.where(F.length("to") > 0)
-    full = F.when(F.col("to").startswith("//"), F.concat(F.substring_index("o", "//", 1), "to")).when(
-        F.col("to").startswith("/"), F.concat("o", "to")
-    )
-    return found.select("u", node_of(F.coalesce(full, F.col("to"))).alias("v"))
+    """Edges (u, v) between a page's address and its canonical or refresh target.
+
+    Targets are unescaped and resolved against the page's <base> or its url; those
+    without an address (relative ones on a page without, javascript:) are no edges.
+    """
+    url, body = F.col(url_col), F.col(html_col)
+    canonical = F.regexp_extract(F.regexp_extract(body, CANONICAL, 1), HREF, 1)
+    refresh = F.regexp_extract(F.regexp_extract(body, REFRESH, 1), TARGET, 1)
+    base = F.when(F.length(canonical) + F.length(refresh) > 0, F.regexp_extract(F.regexp_extract(body, BASE, 1), HREF, 1))
+    found = pages.select(node_of(url).alias("u"), url.alias("o"), base.alias("b"), F.explode(F.array(canonical, refresh)).alias("to"))
+    return found.where(F.length("to") > 0).mapInArrow(_resolved, "u string, v string")
 
 
 def filter_urls(

@@ -99,6 +99,26 @@ def test_url_components(spark):
     assert got[7] == ("www.example.com", "/en/a", "www.example.com/en/", "allow") and got[8][2:] == ("example.com/en/", "block") and got[9][3] == "allow"
 
 
+def test_url_targets_are_resolved(spark):
+    from urllib.parse import urljoin
+
+    base = "http://a.org/b/c/d.html?q=1"
+    for to in ["index.html", "../x", "../../../x", "./", "..", "?id=3", "/y/../z?a=../b", "//h.net/p", "http://o.net/", "e/./f", "g?x#s", "../c/"]:
+        assert url_filter.resolve(base, to) == urljoin(base, to), to
+        assert url_filter.resolve("http://a.org", to) == urljoin("http://a.org", to), to
+    assert url_filter.resolve("nothing", "x") is None and url_filter.resolve(base, "javascript:go('http://x.y/')") is None
+    assert url_filter.unescaped("?a=1&amp;b&#61;2&copy=3&copyx&ampx=4&#38=&lt") == "?a=1&b=2&copy=3&copyx&ampx=4&=<"
+    go = lambda to: f'<meta http-equiv="refresh" content="0; url={to}">'
+    rows = [
+        (1, "http://a.org/d/1", go("index.html")), (2, "http://c.org/d/1", go("index.html")), (3, "http://a.org/d/index.html", go("http://b.net/es/x")),
+        (4, "http://e.org/1", '<link rel="canonical" href="http://e.org/p?a=1&amp;b=2">'), (5, "http://e.org/p?a=1&b=2", go("http://b.net/es/y")),
+        (6, "plain", go("x")), (7, "http://f.org/1", '<base href="http://a.org/d/">' + go("1")), (8, None, go("x")),
+        (9, "http://g.org/1", go("javascript:a")), (10, "http://b.net/es/z", go("javascript:a")),
+    ]
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string"), queries.URL_RULES).collect()}
+    assert got == {1: "block", 2: "allow", 3: "block", 4: "block", 5: "block", 6: "allow", 7: "block", 8: "allow", 9: "allow", 10: "block"}
+
+
 # 3
 def test_exact_dedup_with_small_buckets(spark):
     rng = random.Random(1)
