@@ -5,6 +5,10 @@ stands in a text with at most e edits, n - q + 1 - q * e of its q-grams stand th
 diagonals at most e apart. So q-gram hits are counted in overlapping diagonal bands
 of width 2e; regions that meet the bound go to a banded edit-distance alignment,
 which decides.
+
+Every verbatim quotation of SEGMENT + STEP - 1 = 79 normalised characters or more
+holds a segment; of shorter ones, down to SEGMENT, some do, and of those under it none,
+whole shorter items aside.
 """
 
 from __future__ import annotations
@@ -18,12 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Q = 8
-SEGMENT = 96
-STEP = 48
+SEGMENT = 64
+STEP = 16
 #: Edits allowed per character of a segment.
 EDIT_RATE = 0.1
 #: Benchmark characters indexed at once; a larger benchmark is taken slice by slice.
-SLICE_CHARS = 8_000_000
+SLICE_CHARS = 4_000_000
 BITS = 22
 #: Everything but a single space between letters or digits.
 _GAP = re.compile(r"(?:[^\w ]|_)[\W_]*| [\W_]+")

@@ -84,6 +84,18 @@ def test_decontaminate_equals_alignment():
         assert {h[:2] for h in index.find(text)} == brute_segments(index, decontaminate.normalize(text)), trial
 
 
+def test_decontaminate_finds_quotations_at_every_offset():
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate((16, 30, 60))]
+    index = decontaminate.Index(items)
+    before, after = (" ".join("xyz"[k % 3] * 4 for k in range(20)) for _ in range(2))
+    for item, text in items:
+        for at in range(max(1, len(text) - 79 + 1)):
+            assert item in {h[0] for h in index.find(f"{before} {text[at : at + 79]} {after}")}, (item, at)
+    assert not index.find(f"{before} {after}")
+
+
 # 2
 def test_url_components(spark):
     link = lambda to: f'<link rel="canonical" href="{to}">'
