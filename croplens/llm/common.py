@@ -7,19 +7,22 @@ executor costs a re-read and never a recomputed shuffle.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where the setting is empty."""
+    """The folder all executors share; a temporary one only in local mode with the setting empty, an error on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         named = f"file://{tempfile.mkdtemp(prefix='croplens-')}"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -56,6 +59,49 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(conf).delete(path, True)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, or the name with underscores after it, so that it is no column of df (case aside)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def row_hash(df: DataFrame, first: int = 42) -> Column:
+    """Hash of all columns of a row, maps aside, to tell rows apart that share an id."""
+    return F.xxhash64(F.lit(first), *[F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.typeName() != "variant"])
+
+
+def drop_rows(docs: DataFrame, id_col: str, members: DataFrame, group: list[str]) -> DataFrame:
+    """docs with one row of each group.
+
+    members: (id, hash, kept, *group) of every row in a group of several, hash being
+    row_hash(docs). Rows that are not kept go; where several are (they share an id), the
+    one with the greatest hash stays, and of rows equal in every column one.
+    """
+    members = materialize(members, "members")
+    twice = materialize(members.where("kept").groupBy(*group).agg(F.count("*").alias("n"), F.max("hash").alias("win")).where("n > 1"), "twice")
+    lost, spare = members.where("not kept").select("id", "hash"), None
+    if not twice.isEmpty():
+        again = members.where("kept").join(twice.drop("n"), group)
+        lost = lost.unionAll(again.where("hash != win").select("id", "hash"))
+        spare = materialize(again.where("hash = win").groupBy("id", "hash", *group).agg(F.count("*").alias("n")).where("n > 1").select("id", "hash"), "spare")
+        if spare.isEmpty():
+            spare = None
+        else:
+            lost = lost.unionAll(spare)
+    i, h, v = (fresh(docs, x) for x in ("lost_id", "lost_hash", "lost_row"))
+    same = F.col(id_col).eqNullSafe(F.col(i)) & (row_hash(docs) == F.col(h))
+    named = lambda df: df.select(F.col("id").alias(i), F.col("hash").alias(h))
+    lost = materialize(named(lost), "lost")
+    discard(members, twice)
+    kept = docs.join(lost, same, "left_anti")
+    if spare is None:
+        return kept
+    rows = docs.join(named(spare), same).groupBy(i, h).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias(v))
+    return kept.unionAll(rows.select(*[F.col(v).getField(c).alias(c) for c in docs.columns]))
+
+
 def digest(df: DataFrame) -> tuple[int, int]:
     """Row count and an order-free hash of (u, v), to see whether two edge tables are equal."""
     row = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
