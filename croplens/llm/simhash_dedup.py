@@ -2,10 +2,10 @@
 
 Fingerprints that differ in at most ``radius`` bits agree on some choice of blocks
 (pigeonhole), so one shard tree per agreeing block value sees every link. A shard
-over the cap is cut in pieces and each pair of pieces gets a tree of its own, sent
-to one task: nothing is capped or dropped. A tree's children are keyed by their
-integer Hamming distance to the parent and a search follows only edges within the
-radius of the distance to the node.
+over the cap is divided by further blocks; what stays over it is cut in pieces, and
+each pair of pieces gets a tree of its own: nothing is capped or dropped. A tree's
+children are keyed by their integer Hamming distance to the parent and a search
+follows only edges within the radius of the distance to the node.
 """
 
 from __future__ import annotations
@@ -19,13 +19,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, materialize
+from .common import connected_components, discard, drop_rows, materialize, row_hash
 
 RADIUS = 4
 SHINGLE = 4
-#: Fingerprints in one shard tree before the shard is cut.
+#: Fingerprints in one shard tree before the shard is divided.
 SHARD_CAP = 1024
-#: Shards over the cap are listed in a broadcast of at most this many rows.
+#: Rows of a list of divided shards that is broadcast; a longer one is joined by shuffle.
 MAX_HOT = 50_000
 
 
@@ -54,22 +54,22 @@ def fingerprint(text: str | None, k: int = SHINGLE) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        prints = [fingerprint(t.as_py()) for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, np.uint64).view(np.int64))], ["sh_id", "fp"])
+        prints = [fingerprint(t.as_py()) for t in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(prints, np.uint64).view(np.int64))], ["sh_id", "sh_hash", "fp"])
 
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(sh_id, fp): the fingerprint as a signed long."""
+    """(sh_id, sh_hash, fp): id, hash of the whole row, and the fingerprint as a signed long."""
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("sh_id"), F.col(text_col).alias("sh_text")).mapInArrow(
-        _fingerprints, f"sh_id {kind}, fp long"
-    )
+    rows = docs.select(F.col(id_col).alias("sh_id"), row_hash(docs).alias("sh_hash"), F.col(text_col).alias("sh_text"))
+    return rows.mapInArrow(_fingerprints, f"sh_id {kind}, sh_hash long, fp long")
 
 
 def block_masks(n: int, radius: int = RADIUS) -> list[int]:
     """Masks such that two prints within the radius agree on at least one; more blocks as n grows.
 
-    radius + j blocks, of which any j are tried: a shard then holds about 256 prints or fewer.
+    radius + j blocks, of which any j are tried: a shard of evenly spread bits then holds about 256 prints
+    or fewer, up to a million million prints, where j ends at 4.
     """
     for j in itertools.count(1):
         blocks = radius + j
@@ -106,41 +106,71 @@ def tree_links(prints: list[int], radius: int = RADIUS) -> list[tuple[int, int]]
 
 
 def _shard_links(radius: int):
+    """Rows (shard, fp) in order -> links; one shard is held at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        table = pa.Table.from_batches(got)
-        keys = [table.column(c).to_numpy() for c in ("c", "v", "i", "j")]
-        fp = table.column("fp").to_numpy()
-        order = np.lexsort((fp, *keys[::-1]))
-        keys, fp = [k[order] for k in keys], fp[order].view(np.uint64)
-        new = np.any([k[1:] != k[:-1] for k in keys], axis=0)
-        cuts = np.concatenate(([0], np.flatnonzero(new) + 1, [len(fp)]))
-        links = [x for a, b in itertools.pairwise(cuts.tolist()) if b - a > 1 for x in tree_links(fp[a:b].tolist(), radius)]
-        ends = np.array(links, np.uint64).reshape(-1, 2).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["u", "v"])
+        held, key = [np.zeros(0, np.uint64)], None
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None and not batch.num_rows:
+                continue
+            found: list[tuple[int, int]] = []
+            shard = np.zeros(0, np.int64) if batch is None else batch.column(0).to_numpy()
+            fp = np.zeros(0, np.uint64) if batch is None else batch.column(1).to_numpy().view(np.uint64)
+            cuts = np.concatenate(([0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(fp)])).tolist()
+            for a, b in itertools.pairwise(cuts):
+                if a == b or shard[a] != key:
+                    own = np.unique(np.concatenate(held))
+                    if len(own) > 1:
+                        found += tree_links(own.tolist(), radius)
+                    held, key = [], shard[a] if a < b else None
+                held.append(fp[a:b])
+            ends = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["u", "v"])
 
     return run
 
 
+def sub_masks(mask: int, radius: int = RADIUS) -> list[int]:
+    """Masks over the bits outside ``mask``, cut in radius + 2 blocks of which two prints within the radius agree on two."""
+    free = [i for i in range(64) if not mask >> i & 1]
+    blocks = [sum(1 << i for i in free[k :: radius + 2]) for k in range(radius + 2)]
+    return [a | b for a, b in itertools.combinations(blocks, 2)]
+
+
+def signed(n: int) -> int:
+    return n - (1 << 64) if n >> 63 else n
+
+
+def marked(rows: DataFrame, keys: list[str], cap: int, name: str) -> DataFrame:
+    """rows with the column ``name``: the size of their group where it is over the cap, else null.
+
+    The list of such groups is broadcast while it has at most MAX_HOT rows and joined by shuffle beyond.
+    """
+    hot = materialize(rows.groupBy(*keys).agg(F.count("*").alias(name)).where(F.col(name) > cap), "hot")
+    return rows.join(F.broadcast(hot) if hot.count() <= MAX_HOT else hot, keys, "left")
+
+
 def links(prints: DataFrame, radius: int = RADIUS, cap: int = SHARD_CAP) -> DataFrame:
-    """Edges (u, v) over distinct fingerprints (column fp) whose components are those of all links."""
-    n = prints.count()
-    masks = block_masks(n, radius)
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    rows = prints.select(
-        "fp", F.explode(F.array(*[F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("v")) for i, m in enumerate(signed)])).alias("s")
-    ).select("fp", "s.c", "s.v")
-    limit = max(cap, len(masks) * n // MAX_HOT)  # so at most MAX_HOT shards are over it
-    hot = rows.groupBy("c", "v").agg(F.count("*").alias("n")).where(F.col("n") > limit)
-    hot = hot.select("c", "v", F.ceil(F.col("n") / limit).cast("int").alias("pieces"))
-    piece = F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int")
-    cut = rows.join(F.broadcast(hot), ["c", "v"], "left").withColumn("p", F.coalesce(piece, F.lit(0)))
+    """Edges (u, v) over distinct fingerprints (column fp) whose components are those of all links.
+
+    A shard of over ``cap`` prints is divided by further blocks of its own; what is
+    still over the cap is cut in pieces, and each pair of pieces is searched.
+    """
+    masks = block_masks(prints.count(), radius)
+    under = lambda masks: F.array(*[F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")).alias("v")) for i, m in enumerate(masks)])
+    rows = marked(prints.select("fp", F.explode(under(masks)).alias("s")).select("fp", "s.c", "s.v"), ["c", "v"], cap, "n")
+    whole = F.array(F.struct(F.lit(-1).alias("c"), F.lit(0).cast("long").alias("v")))
+    further = whole
+    for i, m in enumerate(masks):
+        further = F.when(F.col("n").isNotNull() & (F.col("c") == i), under(sub_masks(m, radius))).otherwise(further)
+    rows = rows.select("fp", "c", "v", F.explode(further).alias("s")).select("fp", "c", "v", F.col("s.c").alias("c2"), F.col("s.v").alias("v2"))
+    rows = marked(rows.where("c2 >= 0"), ["c", "v", "c2", "v2"], cap, "n").unionByName(rows.where("c2 < 0").withColumn("n", F.lit(None).cast("long")))
+    pieces = F.ceil(F.col("n") / cap).cast("int")
+    cut = rows.withColumn("pieces", pieces).withColumn("p", F.coalesce(F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int"), F.lit(0)))
     other = F.expr("if(pieces is null, array(0), filter(sequence(0, pieces - 1), q -> q != p))")
-    pairs = cut.select("c", "v", "fp", "p", F.explode(other).alias("q"))
-    pairs = pairs.select("c", "v", F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), "fp")
-    return pairs.repartition("c", "v", "i", "j").mapInArrow(_shard_links(radius), "u long, v long")
+    pairs = cut.select("c", "v", "c2", "v2", "fp", "p", F.explode(other).alias("q"))
+    shard = F.xxhash64("c", "v", "c2", "v2", F.least("p", "q"), F.greatest("p", "q")).alias("shard")  # two shards under one hash are only searched together
+    return pairs.select(shard, "fp").repartition("shard").sortWithinPartitions("shard", "fp").mapInArrow(_shard_links(radius), "u long, v long")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
@@ -149,9 +179,9 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     component_id is the least id reachable over links of at most ``radius`` differing
     bits. Null and blank texts have fingerprint zero and link like any other; rows
     with a null id get the component of their fingerprint. Repeated rows give
-    repeated rows; an empty table an empty result.
+    repeated rows; an empty table an empty result; other columns are ignored.
     """
-    each = materialize(with_fingerprints(docs, id_col, text_col), "fingerprints")
+    each = materialize(with_fingerprints(docs.select(id_col, text_col), id_col, text_col), "fingerprints")
     member = component_map(each, radius)
     return each.join(member, "fp").select(
         F.col("sh_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
@@ -159,7 +189,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def component_map(each: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(fp, component_id) for the distinct fingerprints of (sh_id, fp)."""
+    """(fp, root, component_id) for the distinct fingerprints of (sh_id, fp); root is the component's least fingerprint."""
     prints = materialize(each.groupBy("fp").agg(F.min("sh_id").alias("first_id")), "prints")
     edges = materialize(links(prints, radius), "links")
     roots = materialize(connected_components(edges), "roots")
@@ -167,17 +197,22 @@ def component_map(each: DataFrame, radius: int = RADIUS) -> DataFrame:
         prints.join(roots, prints.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root")), "rooted"
     )
     least = materialize(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "components")
-    member = materialize(rooted.join(least, "root").select("fp", "component_id"), "members")
+    member = materialize(rooted.join(least, "root").select("fp", "root", "component_id"), "members")
     discard(prints, edges, roots, rooted, least)
     return member
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The document with the least id of each component, with all its columns.
+    """One row of docs per component, with all its columns: that with the least id, null ids after all others.
 
-    Rows with a null id stay: nothing tells which of them is first.
+    Null and blank texts are one group. Of rows that share the least id, that with the
+    greatest hash stays, and of wholly equal rows one; a row whose text is near no
+    other stays whatever its id. An empty table gives an empty result; columns may
+    have any names.
     """
     each = materialize(with_fingerprints(docs, id_col, text_col), "fingerprints")
     member = component_map(each, radius)
-    drop = each.join(member, "fp").where(F.col("sh_id") != F.col("component_id")).select(F.col("sh_id").alias("sh_drop"))
-    return docs.join(materialize(drop, "dropped"), F.col(id_col) == F.col("sh_drop"), "left_anti")
+    groups = each.join(member, "fp").select(F.col("sh_id").alias("id"), F.col("sh_hash").alias("hash"), F.col("sh_id").eqNullSafe(F.col("component_id")).alias("kept"), "root")
+    kept = drop_rows(docs, id_col, groups, ["root"])
+    discard(each, member)
+    return kept
