@@ -146,6 +146,33 @@ def test_exact_dedup_with_small_buckets(spark):
     for r in got:
         per[r.bucket].add(r.text_sha256)
     assert len(got) == 400 and len(per) > 8 and max(map(len, per.values())) <= 4
+    kept = exact_dedup.keep_one(docs(spark, texts), bucket_capacity=4).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(map(max, groups.values()))
+
+
+def test_buckets_split_until_all_fit(spark):
+    rng = random.Random(4)
+    keys = [rng.getrandbits(64) for _ in range(60)] + [5 << 50 | k << 20 for k in range(8)]  # some share their first 40 bits
+    frame = spark.createDataFrame([(simhash_dedup.signed(k),) for k in keys], "dd_key long")
+    for levels in (1, 8):
+        got = {(r.depth, r.prefix % (1 << 64)) for r in exact_dedup.split_buckets(frame, 4, levels).collect()}
+        want, todo = set(), [(0, 0)]
+        while todo:
+            d, p = todo.pop()
+            held = [k for k in keys if k >> 64 - d == p]
+            if len(held) <= 4:
+                want |= {(d, p)} if held else set()
+            else:
+                todo += [(d + 1, 2 * p), (d + 1, 2 * p + 1)]
+        assert got == want, levels
+
+
+def test_results_come_through_the_index(spark):
+    index = exact_dedup.Index(docs(spark, ["a", "b", "a"]), "doc_id", "text")
+    rows = docs(spark, ["a"]).select(exact_dedup.F.xxhash64("text").alias("dd_key"), exact_dedup.F.sha2("text", 256).alias("text_sha256"))
+    assert [(r.keep_id, r.group_size, r.chain) for r in index.probe(rows).collect()] == [(3, 2, 1)]
+    index.directory = index.directory.where("false")
+    assert index.probe(rows).isEmpty()
 
 
 # 4
@@ -198,6 +225,8 @@ def brute_repeats(texts):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_substring_dedup_equals_windows(spark, seed, monkeypatch):
     monkeypatch.setattr(substring_dedup, "HOT_DOCS", 6)
+    monkeypatch.setattr(substring_dedup, "HOT_LIST", seed % 2 * 1000)
+    monkeypatch.setattr(substring_dedup, "PART_BYTES", 1000 * seed)
     rng = random.Random(seed)
     passages = [[rng.choice("abcdefghijklmnopqrst") * rng.randint(1, 2) for _ in range(rng.randint(10, 60))] for _ in range(12)]
     texts = {}
@@ -212,6 +241,24 @@ def test_substring_dedup_equals_windows(spark, seed, monkeypatch):
     assert got == brute_repeats(texts)
 
 
+def test_rows_that_share_an_id_lose_nothing_of_their_own(spark):
+    own, seen = " ".join(f"w{k}" for k in range(40)), " ".join(f"s{k}" for k in range(30))
+    texts, ids = [seen, own + " end", seen + " tail of the second", None, own + " end"], [3, 7, 7, 7, 7]
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring_dedup.remove_repeats(docs(spark, texts, ids)).collect())
+    assert got == sorted([(3, 30, 0, seen), (7, 41, 0, own + " end"), (7, 34, 30, "tail of the second"), (7, 0, 0, ""), (7, 41, 0, own + " end")])
+    # near-dedup and exact dedup drop rows, not ids
+    words = [f"v{k}" for k in range(400)]
+    near, other = " ".join(words[:-1] + ["x"]), " ".join(f"u{k}" for k in range(400))
+    left = [(r.doc_id, r.text) for r in simhash_dedup.keep_one(docs(spark, [" ".join(words), near, other], [3, 7, 7])).collect()]
+    assert sorted(left) == [(3, " ".join(words)), (7, other)]
+    for keep in (simhash_dedup.keep_one, exact_dedup.keep_one):
+        assert [r.text for r in keep(docs(spark, ["same", "same", "same"], [1, 1, 1])).collect()] == ["same"]
+        assert [r.doc_id for r in keep(docs(spark, ["same", "same"], [None, 1])).collect()] == [1]
+        assert [r.doc_id for r in keep(docs(spark, ["same", "same"], [None, None])).collect()] == [None]
+        two = spark.createDataFrame([(1, "t", "a"), (1, "t", "b")], "doc_id long, text string, lost_id string")
+        assert keep(two).count() == 1
+
+
 # 7
 def test_warc_roundtrip(spark):
     html = [None, "", "x" * 99, "x" * 99, "é" * 60, "é" * 60, "é" * 60, "<p>\r\n\r\nWARC/1.1</p>" * 20]
@@ -295,7 +342,9 @@ def test_simhash_equals_all_pairs(spark, monkeypatch):
     assert {i: c for i, (_, c) in got.items()} == brute_components(prints)
 
 
-def test_shards_over_the_cap(spark):
+@pytest.mark.parametrize("listed", [0, 50_000])
+def test_shards_over_the_cap(spark, listed, monkeypatch):
+    monkeypatch.setattr(simhash_dedup, "MAX_HOT", listed)
     rng = random.Random(6)
     prints = [rng.getrandbits(64) for _ in range(40)]
     prints = sorted({p ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) for p in prints for _ in range(12)})
