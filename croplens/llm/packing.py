@@ -68,10 +68,29 @@ def encoding(path: str):
     return tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+#: White space that the pattern's search cannot take at once: it remembers every character of a run.
+_LONG_SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
+
+
+def ordinary_encoder(path: str):
+    """Text without added tokens to ids; of a long run of white space all but the last character, or at the text's end the whole, is one piece of the pattern."""
+    enc = encoding(path)
+
+    def encode(text: str) -> list[int]:
+        out, at = [], 0
+        for m in _LONG_SPACE.finditer(text):
+            end = m.end() - (m.end() < len(text))
+            out += enc.encode_ordinary(text[at : m.start()]) + enc._encode_single_piece(text[m.start() : end])
+            at = end
+        return out + enc.encode_ordinary(text[at:]) if at else enc.encode_ordinary(text)
+
+    return encode
+
+
 @functools.cache
 def encoder(path: str):
     """Text to ids: texts are split at the file's added tokens, the longest first, and the parts between are encoded alone."""
-    ordinary, ids = encoding(path).encode_ordinary, {t["content"]: t["id"] for t in added_tokens(path)}
+    ordinary, ids = ordinary_encoder(path), {t["content"]: t["id"] for t in added_tokens(path)}
     if not ids:
         return ordinary
     marker = re.compile("|".join(re.escape(t) for t in sorted(ids, key=len, reverse=True)))
@@ -194,8 +213,9 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every document ends in END_ID, so null and empty texts have one token. Repeated
-    rows are packed each; null ids are kept; an empty table gives an empty result.
-    sequence_id is unique, not dense.
+    rows are packed each, so pieces of rows that share an id stand side by side; null
+    ids are kept; an empty table gives an empty result; other columns are ignored.
+    Texts of any length are encoded whole. sequence_id is unique, not dense.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("pk_id"), F.col(text_col).alias("pk_text")).mapInArrow(_pack(tokenizer, "pk_id"), f"pk_id {kind}, {SCHEMA}")
