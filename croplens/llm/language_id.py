@@ -8,26 +8,31 @@ Scoring is two matrix products per batch: presence rows by landmarks, then by we
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
+
+from .common import fresh
 
 MAX_N = 3
 #: n-grams that the kernel looks at: the most frequent of the training sample.
 GRAMS = 8192
 LANDMARKS = 128
 RIDGE = 1e-2
-#: Bound of the training sample: documents per language, of at most SAMPLE_CHARS characters each.
+#: Bound of the training sample: documents per language, in all (or one per language, where those are more),
+#: and characters of each that are learned from.
 SAMPLE_DOCS = 400
-SAMPLE_CHARS = 20_000
+SAMPLE_TOTAL = 8000
+SAMPLE_CHARS = 5000
 SLOTS = 1 << 20
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def grams(text: str) -> list[np.ndarray]:
@@ -67,7 +72,7 @@ class Model:
         """Labels and scores from 0 to 1; UNKNOWN and 0 where a text is null or has no letter."""
         known = [n for n, t in enumerate(texts) if t and _LETTER.search(t)]
         labels, sure = [UNKNOWN] * len(texts), np.zeros(len(texts))
-        for at in range(0, len(known) if self.labels else 0, 256):
+        for at in range(0, len(known) if self.labels else 0, 256):  # 8 MB of presence rows
             part = known[at : at + 256]
             s = self.scores([texts[n] for n in part])
             best = s.argmax(1)
@@ -105,40 +110,47 @@ def train(rows: list[tuple[str, str]]) -> Model:
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train_on: Column) -> list[tuple[str, str]]:
-    """About SAMPLE_DOCS labelled rows a language, those with the smallest hashes; languages are counted first."""
-    rows = docs.where(train_on & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col).between(1, SAMPLE_CHARS)))
-    counts = {r.lang: r.n for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect()}
+    """(text, label) of labelled rows, those of each language with the smallest hashes; every language of the table has some.
+
+    At most about SAMPLE_DOCS a language and SAMPLE_TOTAL in all, of long texts the first
+    SAMPLE_CHARS characters. The driver holds the list of languages.
+    """
+    rows = docs.where(train_on & F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
+    place = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)), F.lit(1 << 30)) / float(1 << 30)
+    rows = rows.select(F.substring(text_col, 1, SAMPLE_CHARS).alias("t"), F.col(lang_col).cast("string").alias("y"), place.alias("p"))
+    counts = rows.groupBy("y").agg(F.count("*").alias("n"), F.min("p").alias("least")).collect()
     if not counts:
         return []
-    share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, SAMPLE_DOCS / n))])
-    place = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)), F.lit(1 << 30)) / float(1 << 30)
-    bound = SAMPLE_DOCS * len(counts) * 2
-    picked = rows.where(place < F.try_element_at(share, F.col(lang_col))).select(F.col(text_col).alias("t"), F.col(lang_col).alias("y"), place.alias("p"))
-    return [(r.t, r.y) for r in picked.orderBy("p", "t").limit(bound).collect()]
+    each = max(1, min(SAMPLE_DOCS, SAMPLE_TOTAL // len(counts)))
+    limits = docs.sparkSession.createDataFrame([(r.y, max(r.least, each / r.n)) for r in counts], "ly string, bound double")
+    picked = rows.join(F.broadcast(limits), (F.col("y") == F.col("ly")) & (F.col("p") <= F.col("bound"))).select("t", "y", "p")
+    return [(r.t, r.y) for r in picked.orderBy("p", "t").limit(2 * each * len(counts)).collect()]
 
 
 def fit(docs: DataFrame, train_on: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Model of a bounded sample of the labelled rows for which train_on holds."""
+    """Model of a bounded sample of the labelled rows for which train_on holds; one that knows no label where there are none."""
     return train(sample(docs, id_col, text_col, lang_col, train_on))
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with the columns li_pred and li_score added; nothing but the text is looked at."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most GRAMS x LANDMARKS floats and the slot table
+def predict(docs: DataFrame, model: Model, text_col: str = "text", pred_col: str = "li_pred", score_col: str = "li_score") -> DataFrame:
+    """docs with the columns pred_col and score_col added; nothing but the text is looked at.
+
+    Null texts and texts without a letter are UNKNOWN with score 0, as is everything for
+    a model without labels. Repeated rows stay repeated; an empty table gives an empty
+    result. Columns of docs under the two names are replaced; others may have any name.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most GRAMS floats a landmark and the slot table
+    held, names = fresh(docs, "li_text"), [c for c in docs.columns if c not in (pred_col, score_col)]
+    schema = StructType([docs.schema[c] for c in names]).add(pred_col, StringType()).add(score_col, DoubleType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                labels, sure = shared.value.predict(part.column(part.schema.get_field_index("li_text")).to_pylist())
-                cols = [c for c, n in zip(part.columns, part.schema.names) if n != "li_text"]
-                names = [n for n in part.schema.names if n != "li_text"]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(labels, pa.string()), pa.array(sure)], [*names, "li_pred", "li_score"])
-
-    from pyspark.sql.types import DoubleType, StringType, StructType
+                *cols, text = batch.slice(at, 1000).columns
+                labels, sure = shared.value.predict(text.to_pylist())
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(labels, pa.string()), pa.array(sure)], [*names, pred_col, score_col])
 
-    schema = StructType(docs.schema.fields).add("li_pred", StringType()).add("li_score", DoubleType())
-    return docs.withColumn("li_text", F.col(text_col)).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in names], F.col(text_col).alias(held)).mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
