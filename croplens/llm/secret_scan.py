@@ -3,9 +3,14 @@
 Long alphanumeric runs are read in the encoding that their characters imply (hex,
 base32 or base64). Each gets a chi-squared test of alphabet uniformity, a runs test
 about the alphabet's middle and a lag-1 serial-correlation test; Fisher's method
-combines the three into one p-value of the hypothesis "uniformly random". Within
-each (encoding, length class) the Benjamini-Hochberg step-up rule picks the runs
-shown to be non-random; the others are reported as ``random`` spans.
+combines the three into one p-value p of the hypothesis "uniformly random".
+
+A run is reported if p is at least ALPHA and at least its class's limit. Classes are
+(encoding, length): lengths from 2**k to 2**(k+1) - 1 are one. Of m random runs,
+m (1 - t) have a p over t; m is estimated, a standard error upwards, from the number
+of runs with p over a half. What a class has over t beyond that counts as false alarms. Its limit is the least
+t at which that excess is within FDR of the runs over t, so the estimated share of
+non-random runs among the reported ones is held at FDR.
 """
 
 from __future__ import annotations
@@ -23,7 +28,12 @@ RUN = r"([A-Za-z0-9+/_-]{20,})"
 KINDS = ("assign", "access", "hex", "random")
 #: Least length at which the battery has power, by encoding.
 LEAST = {"hex": 32, "base32": 26, "base64": 24}
+#: Share of false alarms among the reported runs of a class.
 FDR = 0.05
+#: Runs with a smaller p are never reported, however few their class has: so is this share of the random ones.
+ALPHA = 0.01
+#: Bins of p, by quarter-powers of two; the last holds all under 2**-10, which ALPHA leaves out.
+BINS = 40
 SPAN = "array<struct<start:int,stop:int,kind:int,text:string>>"
 
 
@@ -114,13 +124,17 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def bh_limits(tests: DataFrame, fdr: float) -> DataFrame:
-    """(class, limit): largest binned p that the step-up rule rejects; quarter-powers of two bin the p-values."""
-    binned = tests.select("class", F.least(F.floor(-F.log2(F.greatest("p", F.lit(1e-60))) * 4), F.lit(800)).alias("bin"))
+def limits(tests: DataFrame, fdr: float) -> DataFrame:
+    """(class, limit) from (class, p): least p that is reported; one aggregate of at most BINS + 1 rows a class."""
+    binned = tests.select("class", F.least(F.floor(-F.log2(F.greatest("p", F.lit(1e-9))) * 4), F.lit(BINS)).cast("int").alias("bin"))
     held = binned.groupBy("class", "bin").agg(F.count("*").alias("n"))
-    up = Window.partitionBy("class").orderBy(F.desc("bin"))
-    ranked = held.withColumns({"upto": F.sum("n").over(up), "m": F.sum("n").over(Window.partitionBy("class")), "edge": F.pow(F.lit(2.0), -F.col("bin") / 4)})
-    return ranked.where(F.col("edge") <= F.col("upto") * fdr / F.col("m")).groupBy("class").agg(F.min("bin").alias("limit"))
+    every = held.select("class").distinct().select("class", F.explode(F.sequence(F.lit(0), F.lit(BINS))).alias("bin")).join(held, ["class", "bin"], "left")
+    whole = Window.partitionBy("class")
+    half = F.sum(F.when(F.col("bin") < 4, F.col("n"))).over(whole)  # bins 0 to 3: p over a half
+    over = every.withColumns({"over": F.coalesce(F.sum("n").over(whole.orderBy("bin")), F.lit(0)), "half": F.coalesce(half, F.lit(0))})
+    random, edge = 2 * (F.col("half") + F.sqrt("half") + 1), F.pow(F.lit(2.0), -(F.col("bin") + 1) / 4)  # bin b holds p over 2 ** (-(b + 1) / 4)
+    fits = F.col("over") - random * (1 - edge) <= F.col("over") * fdr
+    return over.groupBy("class").agg(F.coalesce(F.min(F.when(fits, edge)), F.lit(1.0)).alias("limit"))
 
 
 def joined(found: Column) -> Column:
@@ -132,8 +146,10 @@ def joined(found: Column) -> Column:
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = FDR) -> DataFrame:
     """One row per document: id, base spans, random spans (arrays of start, stop, kind, text).
 
-    Null text counts as empty and has no spans. Repeated rows stay repeated. The
-    thresholds of the randomness battery come from every run of the table.
+    Null text counts as empty and has no spans. Repeated rows and null ids stay; an
+    empty table gives an empty result; other columns are ignored. The limits of the
+    randomness battery come from every run of the table, so what else a table holds
+    can change a run's verdict, but never that of a run under ALPHA.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     low = F.lower(text)
@@ -155,10 +171,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     each = docs.select(F.col(id_col).alias("ss_id"), F.concat(assign, access, hexes).alias("base"), F.transform(enc, measured).alias("runs"))
     each = materialize(each, "spans")
-    limits = bh_limits(each.select(F.explode("runs").alias("r")).select("r.class", "r.p"), fdr).collect()  # a row per class, under 100
-    limit = F.create_map(*[F.lit(x) for r in limits for x in (r["class"], float(2.0 ** (-r["limit"] / 4)))]) if limits else None
-
-    def stays(r: Column) -> Column:
-        return F.lit(True) if limit is None else r["p"] > F.coalesce(F.try_element_at(limit, r["class"]), F.lit(-1.0))
-
+    found = limits(each.select(F.explode("runs").alias("r")).select("r.class", "r.p"), fdr).collect()  # a row per class, under 100
+    limit = F.create_map(*[F.lit(x) for r in found for x in (r["class"], r["limit"])]) if found else F.create_map().cast("map<string,double>")
+    stays = lambda r: (r["p"] >= ALPHA) & (r["p"] >= F.try_element_at(limit, r["class"]))
     return each.select(F.col("ss_id").alias(id_col), "base", F.transform(F.filter("runs", stays), lambda r: r["span"]).alias("random"))
