@@ -8,30 +8,38 @@ which decides.
 
 Every verbatim quotation of SEGMENT + STEP - 1 = 79 normalised characters or more
 holds a segment; of shorter ones, down to SEGMENT, some do, and of those under it none,
-whole shorter items aside.
+whole shorter items aside. An item under WHOLE characters ("yes", "the cat is") is no
+evidence inside a text: it is found in documents that consist of it alone.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
+
+from .common import fresh, materialize
 
 Q = 8
 SEGMENT = 64
 STEP = 16
 #: Edits allowed per character of a segment.
 EDIT_RATE = 0.1
-#: Benchmark characters indexed at once; a larger benchmark is taken slice by slice.
-SLICE_CHARS = 4_000_000
+#: Normalised characters from which an item is looked for inside texts.
+WHOLE = 2 * Q
+#: Benchmark characters indexed at once; a larger benchmark is taken slice by slice. A slice's index takes some 70 bytes a character.
+SLICE_CHARS = 2_000_000
 BITS = 22
 #: Everything but a single space between letters or digits.
 _GAP = re.compile(r"(?:[^\w ]|_)[\W_]*| [\W_]+")
-HITS = "dc_hits array<struct<item_id:long,segment:int,start:int,distance:int>>"
+HIT = ("item_id", "segment", "start", "distance")
 
 
 def normalize(text: str | None) -> str:
@@ -61,15 +69,19 @@ def slot(code: np.ndarray) -> np.ndarray:
 class Index:
     """Segments of the items (item_id, text) with their q-grams."""
 
-    def __init__(self, items: list[tuple[int, str]]):
-        self.segments: list[tuple[int, int, str]] = []
+    def __init__(self, items: list[tuple[Any, str]]):
+        self.segments: list[tuple[Any, int, str]] = []
+        self.short: dict[str, list] = {}
         for item, raw in items:
             text = normalize(raw)
+            if len(text) < WHOLE:
+                if text:
+                    self.short.setdefault(text, []).append(item)
+                continue
             last = max(0, len(text) - SEGMENT)
-            for at in sorted({*range(0, last, STEP), last}) if text else []:
+            for at in sorted({*range(0, last, STEP), last}):
                 self.segments.append((item, at, text[at : at + SEGMENT]))
         grams = [codes(s) for _, _, s in self.segments]
-        self.short = [n for n, g in enumerate(grams) if not len(g)]  # under Q characters: looked up as words
         code = np.concatenate([*grams, np.zeros(0, np.uint64)])
         seg = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
         pos = np.concatenate([np.arange(len(g)) for g in grams] or [np.zeros(0, np.int64)])
@@ -93,15 +105,14 @@ class Index:
         own, first, times = np.unique(place, return_index=True, return_counts=True)
         self.first, self.times, self.entry = np.append(0, first), np.append(0, times), np.zeros(1 << BITS, np.int32)
         self.entry[own] = np.arange(1, len(own) + 1)
-        full = np.array([bool(len(g)) for g in grams], bool)
-        self.least = int(self.need[full].min()) if full.any() else 0
+        self.least = int(self.need.min()) if len(size) else 0
         self.most = int((size + self.edits).max()) if len(size) else 0
         self.width = max(1, int(self.edits.max())) if len(size) else 1
 
-    def find(self, raw: str | None) -> list[tuple[int, int, int, int]]:
+    def find(self, raw: str | None) -> list[tuple[Any, int, int, int]]:
         """(item_id, segment start, start in the normalised text, distance) of every segment in the text."""
         text = normalize(raw)
-        found = [(self.segments[n][0], self.segments[n][1], p.start(), 0) for n in self.short for p in re.finditer(rf"\b{re.escape(self.segments[n][2])}\b", text)]
+        found = [(item, 0, 0, 0) for item in self.short.get(text, ())]
         entry = self.entry[slot(codes(text))]
         at = np.flatnonzero(entry)
         if not self.least or len(at) < self.least or (at[self.least - 1 :] - at[: len(at) - self.least + 1]).min() >= self.most:
@@ -150,45 +161,70 @@ def align(segment: str, text: str, low: int, high: int, limit: int) -> tuple[int
     return int(row.min()), max(0, low + int(row.argmin()))
 
 
-def _search(shared):
+def _search(shared, kind: pa.DataType, name: str):
+    """Adds the hits in each batch's last column, the text, in its place."""
+    hits = pa.list_(pa.struct([(HIT[0], kind), *[(n, pa.int32()) for n in HIT[1:]]]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("item_id", pa.int64()), ("segment", pa.int32()), ("start", pa.int32()), ("distance", pa.int32())]))
         for batch in batches:
-            names = batch.schema.names
-            text, old = batch.column(names.index("dc_text")), batch.column(names.index("dc_hits")).to_pylist()
-            new = [[*o, *[dict(zip(("item_id", "segment", "start", "distance"), h)) for h in shared.value.find(t.as_py())]] for t, o in zip(text, old)]
-            cols = [pa.array(new, kind) if n == "dc_hits" else c for n, c in zip(names, batch.columns)]
-            yield pa.RecordBatch.from_arrays(cols, names)
+            *cols, text = batch.columns
+            found = [[dict(zip(HIT, h)) for h in shared.value.find(t.as_py())] for t in text]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(found, hits)], [*batch.schema.names[:-1], name])
 
     return run
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """docs with the column dc_hits: the benchmark segments found in each text."""
-    from pyspark.sql.types import StructType
+def with_hits(
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", hits_col: str = "dc_hits", slice_chars: int = SLICE_CHARS
+) -> DataFrame:
+    """docs with the column hits_col: array of (item_id, segment, start, distance), the benchmark segments found in each text.
 
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).alias("text")).where(F.length("text") > 0)
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    slices = -(-chars // SLICE_CHARS)
-    rows = docs.withColumns({"dc_hits": F.array().cast(HITS.split(" ", 1)[1]), "dc_text": F.col(text_col)})
-    schema = StructType(rows.schema.fields)
+    One slice of the benchmark is indexed and broadcast at a time. With one slice a row
+    only streams by; with more, each slice's pass over the texts writes the hits it
+    found before the next begins, and they are joined to the rows by the hash of the text.
+    """
+    spark, item = docs.sparkSession, benchmark.schema[item_col].dataType.simpleString()
+    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text")).where(F.length("text") > 0)
+    slices = max(1, -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // slice_chars))
+    held, kind = fresh(docs, "dc_text"), f"array<struct<item_id:{item},segment:int,start:int,distance:int>>"
+    names = [F.col(f"`{c}`") for c in docs.columns]
+
+    def search(rows: DataFrame, n: int):
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == n).toArrow()  # about SLICE_CHARS
+        shared = spark.sparkContext.broadcast(Index(list(zip(own.column(0).to_pylist(), own.column(1).to_pylist()))))
+        schema = StructType(rows.schema.fields[:-1]).add(hits_col, DataType.fromDDL(kind))
+        return rows.mapInArrow(_search(shared, own.schema.field(0).type, hits_col), schema), shared
+
+    if slices == 1:
+        return search(docs.select(*names, F.col(text_col).alias(held)), 0)[0]
+    texts, parts = docs.select(F.xxhash64(text_col).alias("dc_hash"), F.col(text_col).alias(held)).where(F.length(text_col) > 0), []
     for n in range(slices):
-        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == n).collect()  # about SLICE_CHARS
-        rows = rows.mapInArrow(_search(spark.sparkContext.broadcast(Index([(r.item_id, r.text) for r in own]))), schema)
-    return rows.drop("dc_text")
+        found, shared = search(texts, n)
+        parts.append(materialize(found.where(F.size(hits_col) > 0), "hits"))
+        shared.destroy()
+    every = functools.reduce(DataFrame.unionAll, parts).groupBy("dc_hash").agg(F.array_distinct(F.flatten(F.collect_list(hits_col))).alias(hits_col))
+    mark = fresh(docs, "dc_mark")
+    every = every.withColumnRenamed("dc_hash", mark)
+    both = docs.join(every, F.xxhash64(docs[text_col]) == F.col(mark), "left")
+    return both.select(*[docs[f"`{c}`"] for c in docs.columns], F.coalesce(every[hits_col], F.array().cast(kind)).alias(hits_col))
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", slice_chars: int = SLICE_CHARS) -> DataFrame:
     """One row per document: id, contaminated, hits (item, segment start, place in the normalised text, distance).
 
     Null and empty texts have no hits; null or empty items find nothing; an empty
-    benchmark leaves every document clean. Repeated rows stay repeated.
+    benchmark leaves every document clean. Item ids may be of any type. Repeated rows
+    stay repeated; other columns are ignored.
     """
-    rows = with_hits(docs.select(F.col(id_col), F.col(text_col).alias("dc_doc")), benchmark, "dc_doc")
+    rows = with_hits(docs.select(F.col(id_col), F.col(text_col).alias("dc_doc")), benchmark, "dc_doc", slice_chars=slice_chars)
     return rows.select(id_col, (F.size("dc_hits") > 0).alias("contaminated"), F.col("dc_hits").alias("hits"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs without hits, with all their columns."""
-    return with_hits(docs, benchmark, text_col).where(F.size("dc_hits") == 0).select(*docs.columns)
+    """The rows of docs without hits, with all their columns, whatever their names.
+
+    Null and empty texts, repeated rows and null ids stay; an empty benchmark drops
+    nothing; an empty table gives an empty result.
+    """
+    hits = fresh(docs, "dc_hits")
+    return with_hits(docs, benchmark, text_col, hits_col=hits).where(F.size(hits) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
