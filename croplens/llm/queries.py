@@ -110,12 +110,14 @@ def _op2_sql() -> str:
     )
     said, rule = f"CASE {arms(lambda s, r: s)} END", f"CASE {arms(lambda s, r: r)} END"
     return rf"""
-WITH RECURSIVE found AS (
-  SELECT split_part(url, '#', 1) AS u, regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) AS o, unnest([
-    regexp_extract(regexp_extract(html, '(?is)(<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>)', 1), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-    regexp_extract(regexp_extract(html, '(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>)', 1), '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)]) AS t
+WITH RECURSIVE raw AS (
+  SELECT url, {_decoded(r"regexp_extract(regexp_extract(html, '(?is)(<base\b[^>]*\bhref\s*=[^>]*>)', 1), '(?is)\bhref\s*=\s*[\"'']?([^\"''\s>]+)', 1)")} AS base,
+    {_decoded(r"""unnest([
+      regexp_extract(regexp_extract(html, '(?is)(<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>)', 1), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
+      regexp_extract(regexp_extract(html, '(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>)', 1), '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)])""")} AS t
   FROM pages),
-edges AS (SELECT u, split_part(CASE WHEN t LIKE '//%' THEN split_part(o, '//', 1) || t WHEN t LIKE '/%' THEN o || t ELSE t END, '#', 1) AS v FROM found WHERE length(t) > 0),
+found AS (SELECT split_part(url, '#', 1) AS u, t, coalesce(CASE WHEN length(base) > 0 THEN {_resolved("url", "base")} END, url) AS stand FROM raw WHERE length(t) > 0),
+edges AS (SELECT u, split_part({_resolved("stand", "t")}, '#', 1) AS v FROM found),
 both_ways AS (SELECT u, v FROM edges WHERE u <> v UNION SELECT v, u FROM edges WHERE u <> v),
 reach(a, b) AS (SELECT u, u FROM both_ways UNION SELECT reach.a, both_ways.v FROM reach JOIN both_ways ON reach.b = both_ways.u),
 nodes AS (SELECT b, {judged('b')} FROM (SELECT DISTINCT b FROM reach)),
@@ -127,6 +129,28 @@ FROM judged LEFT JOIN carried ON judged.node = carried.a
 """
 
 
+def _decoded(value: str) -> str:
+    """SQL of a value with the most usual entities decoded, & last."""
+    for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        value = f"replace({value}, '{entity}', '{sign}')"
+    return value
+
+
+def _resolved(base: str, to: str) -> str:
+    """SQL of a link target on a page, null where it has no address."""
+    part = lambda pattern, of=base: f"coalesce(regexp_extract({of}, '(?s){pattern}', 1), '')"
+    scheme, host = part("^(.*?:)//"), part("^.*?:(//[^/?#]*)")
+    path, query = part("^.*?://[^/?#]*([^?#]*)"), part(r"^.*?://[^/?#]*[^?#]*(\?[^#]*)")
+    asked, rest = part("^([^?#]*)", to), part("^[^?#]*(.*)$", to)
+    steps = f"string_split(CASE WHEN {to} LIKE '/%' THEN {asked} ELSE {part('^(.*)/', path)} || '/' || {asked} END, '/')[2:]"
+    walked = f"list_reduce(list_prepend([]::VARCHAR[], list_transform({steps}, lambda x: [x])), lambda a, s: CASE WHEN s[1] = '..' THEN a[:-2] WHEN s[1] = '.' THEN a ELSE a || s END)"
+    last = f"CASE WHEN len({walked}) > 0 AND ({steps})[-1] IN ('.', '..') THEN '/' ELSE '' END"
+    return f"""CASE WHEN regexp_matches({to}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN CASE WHEN regexp_matches({to}, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN {to} END
+      WHEN {host} = '' THEN NULL WHEN {to} LIKE '//%' THEN {scheme} || {to}
+      WHEN {asked} = '' THEN {scheme} || {host} || {path} || CASE WHEN {to} LIKE '?%' THEN {rest} ELSE {query} END
+      ELSE {scheme} || {host} || '/' || array_to_string({walked}, '/') || {last} || {rest} END"""
+
+
 def _parts(rule: str) -> tuple[str, str]:
     host, _, path = rule.partition("/")
     return host, "/" + path

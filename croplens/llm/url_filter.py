@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import connected_components, discard, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ADDRESS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -128,12 +128,14 @@ def filter_urls(
     rule, verdict = pick_rule(F.col("host"), F.col("path"), rules)
     judged = pages.select(F.col(id_col), node_of(url).alias("uf_node"), host.alias("host"), path.alias("path"))
     judged = judged.withColumns({"rule": rule, "uf_own": verdict})
-    roots = materialize(connected_components(link_edges(pages, url_col, html_col)), "url_roots")
+    edges = materialize(link_edges(pages, url_col, html_col), "url_links")
+    roots = materialize(connected_components(edges), "url_roots")
     _, said = pick_rule(F.col("h"), F.col("p"), rules)
     nodes = roots.select("node", "root", host_of(F.col("node")).alias("h"), path_of(F.col("node")).alias("p")).withColumn("said", said)
     decided = nodes.groupBy("root").agg(F.bool_or(F.col("said") == "allow").alias("ok"), F.bool_or(F.col("said") == "block").alias("bad"))
     decided = materialize(decided, "url_components")
     carried = materialize(roots.join(decided, "root").select("node", F.expr("if(coalesce(bad, false) and not coalesce(ok, false), 'block', 'allow')").alias("uf_said")), "url_verdicts")
+    discard(edges, roots, decided)
     return judged.join(carried, judged.uf_node == carried.node, "left").select(
         id_col, "host", "path", "rule", F.coalesce("uf_own", "uf_said", F.lit("allow")).alias("verdict")
     )
