@@ -37,10 +37,14 @@ READ = "page_id {kind}, payload_bytes long, payload_digest string, record_type s
 
 
 def record(page, url, payload: bytes, digest: str, size: int, first) -> bytes:
-    """One WARC/1.1 record; a revisit of page ``first`` where that is set."""
+    """One WARC/1.1 record; a revisit of page ``first`` where that is set.
+
+    Its id names the page, so rows that repeat a page id repeat it; a null id gets a random one.
+    """
     kind = "response" if first is None else "revisit"
+    own = f"urn:uuid:{uuid.uuid4()}" if page is None else f"urn:page:{page}"
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page is None else page}>", "WARC-Date: 1970-01-01T00:00:00Z",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{own}>", "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Payload-Length: {size}", "Content-Type: text/html",
     ]
     if url is not None:
@@ -124,7 +128,7 @@ def read_archive(stream) -> Iterator[bytes]:
         raise ValueError("the archive ends inside a record")
 
 
-def _write(folder: str):
+def _write(folder: str, most: int = ARCHIVE_RECORDS):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         archive, done = None, []
         for batch in batches:
@@ -132,7 +136,7 @@ def _write(folder: str):
                 archive = archive or Archive(folder, f"{uuid.uuid4().hex}.warc.zst")
                 payload = (row["html"] or "").encode("utf-8", "surrogatepass")
                 archive.add(record(row["page_id"], row["url"], payload, row["digest"], len(payload), row["first_id"]))
-                if archive.count >= ARCHIVE_RECORDS:
+                if archive.count >= most:
                     done.append((archive.close(), archive.count))
                     archive = None
         if archive:
@@ -146,7 +150,7 @@ def _read(folder: str, number: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri", "archive"]
         fs, _ = pa.fs.FileSystem.from_uri(folder)
-        page = lambda urn: re.fullmatch(r"<urn:page:(.*)>", urn)[1] or None
+        page = lambda urn: m[1] if (m := re.fullmatch(r"<urn:page:(.*)>", urn)) else None
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 with fs.open_input_stream(path, compression=None) as stream:
@@ -177,7 +181,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     """Write the pages to archives in folder; returns the list (archive, records) of those the job committed.
 
     The list is written beside them and is what readers follow: files of task
-    attempts that were lost are not in it.
+    attempts that were lost are not in it. Nulls, repeats and empty tables are as in
+    roundtrip(); other columns are left out.
     """
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"))
