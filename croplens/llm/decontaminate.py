@@ -86,16 +86,19 @@ class Index:
         seg = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
         pos = np.concatenate([np.arange(len(g)) for g in grams] or [np.zeros(0, np.int64)])
         size = np.array([len(s) for _, _, s in self.segments], np.int64)
+        self.size, self.chars = size, np.full((len(size), SEGMENT), -2, np.int32)
+        for n, (_, _, t) in enumerate(self.segments):
+            self.chars[n, : len(t)] = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
         self.edits = np.array([edits(n) for n in size.tolist()], np.int64)
         self.need = size - Q + 1 - Q * self.edits
-        # Each segment leaves out its most frequent q-grams, half of those that it needs, and needs as many less:
+        # Each segment leaves out its most frequent q-grams, a quarter of those that it needs, and needs as many less:
         # the bound still holds, and the q-grams that most texts share are not looked up.
         place = slot(code)
         often = np.bincount(place, minlength=1 << BITS)[place]
         order = np.lexsort((-often, seg))
         rank = np.empty(len(seg), np.int64)
         rank[order] = np.arange(len(seg)) - np.searchsorted(seg[order], seg[order])
-        spare = self.need // 2
+        spare = self.need // 4
         keep = rank >= spare[seg] if len(seg) else np.zeros(0, bool)
         self.need = self.need - spare
         place, seg, pos = place[keep], seg[keep], pos[keep]
@@ -128,37 +131,44 @@ class Index:
         both[:-1] += np.where(key[1:] == key[:-1] + 1, count[1:], 0)
         key = key[both >= self.need[key // bands]]
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for k in key.tolist():
-            s, start = k // bands, (k % bands) * self.width - SEGMENT
-            item, where, segment = self.segments[s]
-            d, place = align(segment, text, start, start + 2 * self.width, int(self.edits[s]))
+        seg, start = key // bands, (key % bands) * self.width - SEGMENT
+        for s, d, place in zip(seg.tolist(), *self.align(seg, text, start)):
             if d <= self.edits[s]:
                 best[s, place // SEGMENT] = min(best.get((s, place // SEGMENT), (d, place)), (d, place))
         return found + [(self.segments[s][0], self.segments[s][1], place, d) for (s, _), (d, place) in sorted(best.items())]
 
 
-def align(segment: str, text: str, low: int, high: int, limit: int) -> tuple[int, int]:
-    """Least edits of segment against any part of text on the diagonals from low to high, give or take limit; and its start."""
-    low, high = low - limit, high + limit
-    begin = max(0, low)
-    region = text[begin : max(0, high) + len(segment) + 1]
-    exact = region.find(segment)
-    if exact >= 0:
-        return 0, begin + exact
-    big, width = len(segment) + 1, high - low + 1
-    t = np.full(len(segment) + width, -1, np.int64)  # character at text position low + i
-    chars = np.frombuffer(region.encode("utf-32-le", "surrogatepass"), np.uint32)[: len(t) - (begin - low)]
-    t[begin - low : begin - low + len(chars)] = chars
-    s = np.frombuffer(segment.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    steps = np.arange(width)
-    row = np.zeros(width, np.int64)  # cost on each diagonal before the first character: a start is free
-    for i, c in enumerate(s):
-        sub = row + (t[i : i + width] != c)
-        sub[:-1] = np.minimum(sub[:-1], row[1:] + 1)  # a segment character is missing in the text
-        row = np.minimum(np.minimum.accumulate(sub - steps) + steps, big)  # the text has characters more
-        if row.min() > limit:
-            return big, low
-    return int(row.min()), max(0, low + int(row.argmin()))
+    def align(self, seg: np.ndarray, text: str, start: np.ndarray) -> tuple[list[int], list[int]]:
+        """Least edits of each segment against any part of text on the diagonals from start to start + 2 * width, give or take its edits; and the part's start.
+
+        All regions of a text go through the rows of the banded table together. A region whose
+        every diagonal is over its limit leaves them; it has more edits than that.
+        """
+        slack = self.width
+        low, wide = start - slack, 2 * self.width + 2 * slack + 1
+        chars = np.full(len(text) + 2 * (SEGMENT + wide) + slack, -1, np.int32)  # text position p is at p + margin
+        margin = SEGMENT + slack
+        chars[margin : margin + len(text)] = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        done, place = np.full(len(seg), SEGMENT + 1, np.int64), np.zeros(len(seg), np.int64)
+        steps, live = np.arange(wide, dtype=np.int32), np.arange(len(seg))
+        row = np.zeros((len(seg), wide), np.int32)  # cost on each diagonal before the first character: a start is free
+        window = np.lib.stride_tricks.sliding_window_view(chars, wide)
+        for i in range(int(self.size[seg].max(initial=0))):
+            ended = self.size[seg[live]] == i
+            if ended.any():
+                done[live[ended]], place[live[ended]] = row[ended].min(1), low[live[ended]] + row[ended].argmin(1)
+                live, row = live[~ended], row[~ended]
+            sub = row + (window[low[live] + (margin + i)] != self.chars[seg[live], i][:, None])
+            sub[:, :-1] = np.minimum(sub[:, :-1], row[:, 1:] + 1)  # a segment character is missing in the text
+            row = np.minimum.accumulate(sub - steps, 1) + steps  # the text has characters more
+            if i % 8 == 7:
+                stays = row.min(1) <= self.edits[seg[live]]
+                live, row = live[stays], row[stays]
+            if not len(live):
+                break
+        if len(live):
+            done[live], place[live] = row.min(1), low[live] + row.argmin(1)
+        return done.tolist(), np.maximum(place, 0).tolist()
 
 
 def _search(shared, kind: pa.DataType, name: str):
