@@ -1,93 +1,96 @@
 """Year rules that refine a class map, step by step, as CASE expressions.
 
-A rule is a chain ``condition ? class : condition ? class : IRR`` over the columns
-IRR, SUM, NDVI, SLOPE and PIVOT. Each step sees the IRR of the step before it; the
-other columns keep their first values. Steep irrigated pixels become class 3.
+A step is plain data: from a year on, arms of (conditions, class), tried in order; a
+pixel that fits none keeps its class. Conditions are (column, sign, value) over IRR,
+SUM, NDVI, SLOPE and PIVOT, with T for the year's threshold. Each step sees the IRR of
+the step before it; the other columns keep their first values. Steep irrigated pixels
+become class 3.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import operator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+T = "T"
+SIGNS = {"==": operator.eq, "!=": operator.ne, "<": operator.lt, ">": operator.gt}
+INPUTS = ("IRR", "SUM", "NDVI", "SLOPE", "PIVOT")
 
-@dataclass(frozen=True)
-class Step:
-    rule: str
-    variables: tuple[str, ...]
-    min_year: int = 0
+#: Arms of the steps.
+GREEN_BUT_DRY = ((("IRR", "==", 1), ("NDVI", ">", 0.75), ("SUM", ">", T)), 0)
+SELDOM = ((("IRR", "==", 0), ("SUM", "<", T)), 1)
+RESCUE = ((("IRR", "!=", 0), ("NDVI", ">", 0.68), ("PIVOT", "==", 1), ("SUM", ">", T)), 0)
 
 
-@dataclass(frozen=True)
-class Threshold:
-    before: int
-    switch: int = 9999
-    horizon: int = 9999
+def steep(limit: int):
+    return (("IRR", "==", 0), ("SLOPE", ">", limit)), 3
 
-    def at(self, year: int) -> int:
-        return self.before if year < self.switch else max(self.horizon - year - 1, 0)
 
-
-def _base(slope: int) -> Step:
-    return Step(f"(IRR == 1) && (NDVI > 0.75) && (SUM > {{t}}) ? 0: (IRR == 0) && (SUM < {{t}}) ? 1: (IRR == 0) && (SLOPE > {slope}) ? 3: IRR", ("IRR", "SUM", "NDVI", "SLOPE"))
-
-
-def _rescue(min_year: int) -> Step:
-    return Step("(IRR != 0) && (NDVI > 0.68) && (PIVOT == 1) && (SUM > {t}) ? 0: IRR", ("IRR", "SUM", "NDVI", "PIVOT"), min_year)
-
-
-_WEST = (_base(10), _rescue(2012))
-#: Thresholds and steps by state; a state without steps is copied.
-STATES: dict[str, tuple[Threshold, tuple[Step, ...]]] = {
-    "AZ": (Threshold(0), ()),
-    "CA": (Threshold(5, 2016, 2021), _WEST),
-    "CO": (Threshold(5, 2016, 2025), (_base(4),)),
+PLAIN_10 = (0, (GREEN_BUT_DRY, SELDOM, steep(10)))
+PLAIN_4 = (0, (GREEN_BUT_DRY, SELDOM, steep(4)))
+#: By state, the threshold as (before, switch year, horizon) and the steps as (first year, arms); without steps a state is copied.
+STATES: dict[str, tuple[tuple[int, int, int], tuple]] = {
+    "AZ": ((0, 9999, 9999), ()),
+    "CA": ((5, 2016, 2021), (PLAIN_10, (2012, (RESCUE,)))),
+    "CO": ((5, 2016, 2025), (PLAIN_4,)),
     "ID": (
-        Threshold(5),
+        (5, 9999, 9999),
         (
-            Step("(IRR == 0) && (NDVI < 0.68) && (SUM > {t}) ? 1: (IRR != 0) && (NDVI > 0.75) && (SUM > {t}) ? 0: (IRR == 0) && (SUM < {t}) ? 1: IRR", ("IRR", "SUM", "NDVI")),
-            Step("(IRR == 0) && (SLOPE > 6) ? 3: IRR", ("IRR", "SLOPE")),
-            _rescue(2011),
+            (0, (((("IRR", "==", 0), ("NDVI", "<", 0.68), ("SUM", ">", T)), 1), ((("IRR", "!=", 0), ("NDVI", ">", 0.75), ("SUM", ">", T)), 0), SELDOM)),
+            (0, (steep(6),)),
+            (2011, (RESCUE,)),
         ),
     ),
-    "MT": (Threshold(6), (_base(10), Step("(IRR != 0) && (NDVI > 0.68) && (PIVOT == 1) ? 0: IRR", ("IRR", "SUM", "NDVI", "PIVOT"), 2008))),
-    "NM": (Threshold(5, 2016, 2025), _WEST),
-    "NV": (Threshold(5, 2016, 2025), _WEST),
-    "OR": (Threshold(5, 2016, 2025), _WEST),
-    "UT": (Threshold(5, 2016, 2025), (_base(4),)),
-    "WA": (Threshold(5, 2016, 2025), _WEST),
-    "WY": (Threshold(5, 2016, 2025), (_base(4),)),
+    "MT": ((6, 9999, 9999), (PLAIN_10, (2008, (((("IRR", "!=", 0), ("NDVI", ">", 0.68), ("PIVOT", "==", 1)), 0),)))),
+    "NM": ((5, 2016, 2025), (PLAIN_10, (2012, (RESCUE,)))),
+    "NV": ((5, 2016, 2025), (PLAIN_10, (2012, (RESCUE,)))),
+    "OR": ((5, 2016, 2025), (PLAIN_10, (2012, (RESCUE,)))),
+    "UT": ((5, 2016, 2025), (PLAIN_4,)),
+    "WA": ((5, 2016, 2025), (PLAIN_10, (2012, (RESCUE,)))),
+    "WY": ((5, 2016, 2025), (PLAIN_4,)),
 }
 #: Years from which another survey of pivots is used in MT.
 PIVOT_VINTAGES = ((2010, "2009"), (2012, "2011"), (2014, "2013"), (2019, "2015"))
 LAST_VINTAGE = "2019"
 
 
+def threshold(state: str, year: int) -> int:
+    before, switch, horizon = STATES[state][0]
+    return before if year < switch else max(0, horizon - year - 1)
+
+
+def steps_of(state: str, year: int) -> list[tuple]:
+    """The arms of each step that applies in a year, the threshold filled in."""
+    t = threshold(state, year)
+    filled = lambda conditions: tuple((name, sign, t if value is T else value) for name, sign, value in conditions)
+    return [tuple((filled(when), then) for when, then in arms) for first, arms in STATES[state][1] if first <= year]
+
+
+def text_of(arms: tuple) -> str:
+    """The step as a chain of conditions, as it is stamped on a result."""
+    return "".join(f"{' && '.join(f'({name} {sign} {value})' for name, sign, value in when)} ? {then}: " for when, then in arms) + "IRR"
+
+
 def expressions(state: str, year: int) -> list[str]:
-    """The rule texts that apply in a year, thresholds filled in."""
-    threshold, steps = STATES[state]
-    return [s.rule.replace("{t}", str(threshold.at(year))) for s in steps if s.min_year <= year]
+    """The texts of the steps that apply in a year."""
+    return [text_of(arms) for arms in steps_of(state, year)]
 
 
-def case_of(rule: str, variables: tuple[str, ...], else_on_null: bool = False) -> Column:
-    """The rule as CASE; null where a listed variable is null, unless else_on_null."""
-    *arms, last = (part.strip() for part in rule.split(":"))
-    pairs = [[side.strip().replace("&&", "AND") for side in arm.split("?")] for arm in arms]
-    case = F.expr("CASE " + " ".join(f"WHEN {when} THEN {then}" for when, then in pairs) + f" ELSE {last} END")
+def case_of(arms: tuple, else_on_null: bool = False) -> Column:
+    """The step as CASE; null where a column it reads is null, unless else_on_null."""
+    fits = lambda when: reduce(operator.and_, [SIGNS[sign](F.col(name), value) for name, sign, value in when])
+    case = reduce(lambda rest, arm: F.when(fits(arm[0]), arm[1]).otherwise(rest), reversed(arms), F.col("IRR"))
     if else_on_null:
         return case
-    known = F.lit(True)
-    for name in variables:
-        known = known & F.col(name).isNotNull()
-    return F.when(known, case)
+    read = {name for when, _ in arms for name, _, _ in when}
+    return F.when(reduce(operator.and_, [F.col(name).isNotNull() for name in INPUTS if name in read]), case)
 
 
 def postprocess(stack: DataFrame, state: str, year: int, else_on_null: bool = False) -> DataFrame:
     """stack (with IRR, SUM, NDVI, SLOPE, PIVOT) with IRR refined by the state's steps."""
-    threshold, steps = STATES[state]
-    for step in steps:
-        if step.min_year <= year:
-            stack = stack.withColumn("IRR", case_of(step.rule.replace("{t}", str(threshold.at(year))), step.variables, else_on_null))
+    for arms in steps_of(state, year):
+        stack = stack.withColumn("IRR", case_of(arms, else_on_null))
     return stack

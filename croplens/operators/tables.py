@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
 
 
 def label_filter(rows: DataFrame, label: str = "POINT_TYPE", nd: str = "nd_max_gs") -> DataFrame:
@@ -20,35 +22,63 @@ def drop_containing(rows: DataFrame, parts: Sequence[str]) -> DataFrame:
     return rows.select(*[c for c in rows.columns if not any(p in c for p in parts)])
 
 
-def first_per(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], n: Column | int = 1) -> DataFrame:
-    """The first n rows of each group in the given order; a group is ranked, never collected."""
-    ranked = rows.withColumn("tb_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return ranked.where(F.col("tb_rank") <= n).drop("tb_rank")
+def ranked(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, folder: str) -> DataFrame:
+    """rows with their number from 1 within each group of keys, in the given order of columns.
 
-
-def stratified_third(rows: DataFrame, label: str, order: Sequence[Column]) -> DataFrame:
+    The table is written in ranges of (keys, order) below folder, which the executors
+    share; each range is numbered alone and the counts of the ranges before it are
+    added, so that a group of any size is spread over many tasks. The broadcast has a
+    row per range and group in it: about as many as there are partitions and groups.
+    """
+    path, part, begin = f"{folder}/{uuid.uuid4().hex}", "tb_part", "tb_begin"
+    ranges = rows.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, *order)
+    ranges.withColumn(part, F.spark_partition_id()).write.parquet(path)
+    written = rows.sparkSession.read.schema(StructType([*rows.schema.fields]).add(part, IntegerType())).parquet(path)
+    sizes = written.groupBy(*keys, part).agg(F.count("*").alias("tb_n"))
+    before = sizes.withColumn(begin, F.sum("tb_n").over(Window.partitionBy(*keys).orderBy(part)) - F.col("tb_n"))
+    before = before.select(*[F.col(k).alias(f"tb_{i}") for i, k in enumerate(keys)], F.col(part).alias("tb_p"), begin)
+    number = F.row_number().over(Window.partitionBy(*keys, part).orderBy(*order))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"tb_{i}")) for i, k in enumerate(keys)], F.col(part) == F.col("tb_p"))
+    both = written.withColumn(name, number).join(F.broadcast(before), same).withColumn(name, (F.col(name) + F.col(begin)).cast("long"))
+    return both.select(*rows.columns, name)
+
+
+def first_per(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
+    """The first n rows of each group in the given order, n being small: Spark drops rows over n before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.withColumn("tb_rank", rank).where(F.col("tb_rank") <= n).drop("tb_rank")
+
+
+def stratified_third(rows: DataFrame, label: str, order: Sequence[str], folder: str) -> DataFrame:
     """Class 0 whole and a third of its count of each other class; classes with fewer rows are left out.
 
     With fewer than six rows of class 0 the table passes as it is.
     """
-    sizes = rows.groupBy(label).agg(F.count("*").alias("tb_n"))
+    sizes = rows.groupBy(F.col(label).alias("tb_label")).agg(F.count("*").alias("tb_n"))
     zero = rows.agg(F.count_if(F.col(label) == 0).alias("tb_zero"))
-    ranked = rows.withColumn("tb_rank", F.row_number().over(Window.partitionBy(label).orderBy(*order)))
-    both = ranked.join(F.broadcast(sizes), label).join(F.broadcast(zero))  # a row per class, and one row
+    both = ranked(rows, [label], order, "tb_rank", folder).join(F.broadcast(sizes), F.col(label).eqNullSafe(F.col("tb_label"))).join(F.broadcast(zero))  # a row per class, and one row
     third = F.floor(F.col("tb_zero") / 3)
     keep = (F.col("tb_zero") < 6) | (F.col(label) == 0) | ((F.col("tb_n") >= third) & (F.col("tb_rank") <= third))
     return both.where(keep).select(*rows.columns)
 
 
 def fallback_join(left: DataFrame, right: DataFrame, first: tuple[str, str], second: tuple[str, str], value: str) -> DataFrame:
-    """left with value of right, by the first pair of keys or else by the second; rows without either drop out."""
-    a = right.select(F.col(first[1]).alias("fb_a"), F.col(value).alias("fb_va"))
-    b = right.select(F.col(second[1]).alias("fb_b"), F.col(value).alias("fb_vb"))
+    """left with value of right, by the first pair of keys or else by the second; rows without either drop out.
+
+    Of right rows that repeat a key the least value counts, so no row of left is multiplied.
+    """
+    a = right.groupBy(F.col(first[1]).alias("fb_a")).agg(F.min(value).alias("fb_va"))
+    b = right.groupBy(F.col(second[1]).alias("fb_b")).agg(F.min(value).alias("fb_vb"))
     both = left.join(a, F.col(first[0]) == F.col("fb_a"), "left").join(b, F.col(second[0]) == F.col("fb_b"), "left")
     out = both.withColumn(value, F.coalesce("fb_va", "fb_vb")).where(F.col(value).isNotNull())
     return out.drop("fb_a", "fb_b", "fb_va", "fb_vb")
 
 
+def suffixed(names: Sequence[str]) -> list[str]:
+    """The names, repeats with _1, _2, ... after them in order."""
+    return [n if not (k := list(names[:i]).count(n)) else f"{n}_{k}" for i, n in enumerate(names)]
+
+
 def union_tables(*tables: DataFrame) -> DataFrame:
     """Union by name; absent columns are null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)

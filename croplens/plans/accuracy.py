@@ -9,7 +9,7 @@ from ..operators import accuracy as A
 from ..operators import tables as T
 from .models import vectors
 from .rasters import OBS, YEAR_MAP, observations, year_map
-from .registry import query, table
+from .registry import query, scratch, table
 
 _PAIRS = "WITH p AS (SELECT c_nationkey AS state, year(o_orderdate) AS yr, o_orderkey % 3 = 0 AS truth, o_custkey % 4 < 2 AS pred FROM orders JOIN customer ON o_custkey = c_custkey)"
 
@@ -139,8 +139,8 @@ def sample_per_class(spark, sf_dir):
     """A stated number of rows of each class, in hash order."""
     cls = F.col("p_size") % 5
     wanted = F.when(cls == 0, 20).when(cls == 1, 10).otherwise(5)
-    rows = table(spark, sf_dir, "part").where(cls < 4).withColumn("cls", cls)
-    return T.first_per(rows, ["cls"], [F.md5(F.col("p_partkey").cast("string").cast("binary")), F.col("p_partkey")], wanted).select(F.col("p_partkey").alias("k"))
+    rows = table(spark, sf_dir, "part").where(cls < 4).select("p_partkey", cls.alias("cls"), F.md5(F.col("p_partkey").cast("string").cast("binary")).alias("draw"), wanted.alias("wanted"))
+    return T.ranked(rows, ["cls"], ["draw", "p_partkey"], "k", scratch(spark)).where("k <= wanted").select(F.col("p_partkey").alias("k"))
 
 
 _SHARE = "CAST('0x' || substr(md5('{0}' || {1}), 1, 8) AS BIGINT) % {2}"
@@ -209,7 +209,7 @@ def season_windows(spark, sf_dir):
 @query()
 def forest_search(spark, sf_dir):
     """The best of four settings over two folds; a forest's trees have no SQL form, so rows only."""
-    names = [f"f{i}" for i in range(8)]
+    names = [f"f{i}" for i in range(64)]
     rows = vectors(spark, sf_dir).select("vec_id", "label", *names).cache()
     found = A.compare_forests(rows, names, "label", "vec_id", {"depth": [3, 6], "trees": [5, 10]}, folds=2)
     rows.unpersist()
@@ -218,7 +218,9 @@ def forest_search(spark, sf_dir):
 
 @query()
 def feature_curve(spark, sf_dir):
-    rows = vectors(spark, sf_dir).select("vec_id", "label", "f0", "f1", "f2").cache()
-    found = A.feature_curve(rows, ["f0", "f1", "f2"], "label", "vec_id", trees=10, depth=5)
+    """Score of class 0 with the first 1, 2, 3, ... of all 64 features, one fit each."""
+    names = [f"f{i}" for i in range(64)]
+    rows = vectors(spark, sf_dir).select("vec_id", "label", *names).cache()
+    found = A.feature_curve(rows, names, "label", "vec_id", trees=10, depth=5)
     rows.unpersist()
     return spark.createDataFrame(found, "n int, feature string, score double")

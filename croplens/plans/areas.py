@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar as S
 from ..operators import grids as G
 from ..operators import polygons as P
+from ..operators import tables as T
 from .registry import query, scratch, table
 
 #: Crop codes (first, last) and their class: 1 grain, 2 vegetable, 3 forage, 4 orchard; every other code is 5.
@@ -99,7 +100,8 @@ def merge_sources(spark, sf_dir):
     z = boxes(spark, sf_dir)
     moved = z.withColumn("ring", F.transform("ring", lambda p: F.struct(p["x"].alias("x"), (p["y"] - 60).alias("y"))))
     both = z.withColumn("src", F.lit("north")).unionByName(moved.withColumn("src", F.lit("south"))).where(F.abs(S.centroid(F.col("ring"))["y"]) <= 50)
-    return P.numbered(both, ["src", "id"], "fid").select("fid", "src", "id")
+    # one group of all rows, so that numbers run through both sources
+    return T.ranked(both.select("src", "id", F.lit(0).alias("one")), ["one"], ["src", "id"], "fid", scratch(spark)).select("fid", "src", "id")
 
 
 @query(

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import rules
-from .registry import query, table
+from ..operators import tables as T
+from .registry import query, scratch, table
 
 OBS = """WITH obs AS (SELECT l_partkey AS pixel, l_shipdate AS ts, CAST(year(l_shipdate) + 20 AS BIGINT) AS yr, month(l_shipdate) AS mo,
  l_extendedprice AS nir, l_quantity * 1000 AS red, l_returnflag AS sensor, CAST(l_linenumber AS BIGINT) AS qa, CAST(l_linenumber % 4 AS BIGINT) AS cls,
@@ -35,35 +36,49 @@ def year_map(obs: DataFrame) -> DataFrame:
 
 
 def stack(spark: SparkSession, sf_dir: str, year: int) -> DataFrame:
-    """IRR, SUM (years in class 0), NDVI, SLOPE and PIVOT of a year: one shuffle by pixel, no join.
+    """IRR, SUM (years in class 0), NDVI, SLOPE and PIVOT of a year.
 
-    The map by pixel and year is small against the observations; a window over the
-    pixel reuses its partitioning.
+    Observations are aggregated by pixel and year before any shuffle; the window goes
+    over the map that is left, one row a pixel and year.
     """
-    obs = observations(spark, sf_dir).repartition("pixel")
     freq = F.count_if(F.col("irr") == 0).over(Window.partitionBy("pixel"))
-    return year_map(obs).withColumn("SUM", freq).where(F.col("yr") == year).select(
+    return year_map(observations(spark, sf_dir)).withColumn("SUM", freq).where(F.col("yr") == year).select(
         "pixel", F.col("irr").alias("IRR"), "SUM", F.col("ndvi").alias("NDVI"), F.col("slope").alias("SLOPE"), F.col("pivot").alias("PIVOT")
     )
 
 
+#: Rule years: before and after each step's first year and the ramp's switch and end.
+RULE_YEARS = (2007, 2008, 2010, 2011, 2012, 2015, 2018, 2022, 2025)
+
+
 def _rule_sql(state: str) -> str:
-    t, slope, rescue = {"MT": (6, 10, "TRUE"), "ID": (5, 6, "s > 5"), "CA": (2, 10, "s > 2")}.get(state, (6, 4 if state in ("CO", "WY", "UT") else 10, "s > 6"))
-    if state in ("CO", "WY", "UT"):
-        rescue = "FALSE"
-    one = f"CASE WHEN irr = 1 AND ndvi > 0.75 AND s > {t} THEN 0 WHEN irr = 0 AND s < {t} THEN 1 WHEN irr = 0 AND slope > {slope} THEN 3 ELSE irr END"
+    """The state's rules of each year over the map of YEAR, written out by hand apart from the operator."""
+    horizon = {"MT": "6", "ID": "5", "CA": "CASE WHEN y < 2016 THEN 5 ELSE greatest(2020 - y, 0) END"}.get(state, "CASE WHEN y < 2016 THEN 5 ELSE greatest(2024 - y, 0) END")
+    slope = 4 if state in ("CO", "WY", "UT") else 10
+    rescue = {"MT": "y >= 2008", "ID": "y >= 2011 AND s > 5", "CO": "FALSE", "WY": "FALSE", "UT": "FALSE"}.get(state, "y >= 2012 AND s > t")
+    one = f"CASE WHEN irr = 1 AND ndvi > 0.75 AND s > t THEN 0 WHEN irr = 0 AND s < t THEN 1 WHEN irr = 0 AND slope > {slope} THEN 3 ELSE irr END"
     if state == "ID":
         one = "CASE WHEN irr = 0 AND ndvi < 0.68 AND s > 5 THEN 1 WHEN irr <> 0 AND ndvi > 0.75 AND s > 5 THEN 0 WHEN irr = 0 AND s < 5 THEN 1 ELSE irr END"
         one = f"CASE WHEN ({one}) = 0 AND slope > 6 THEN 3 ELSE ({one}) END"
-    return f"""{YEAR_MAP}, first AS (SELECT pixel, irr AS before, s, ndvi, piv, {one} AS irr FROM ym JOIN freq USING (pixel) WHERE yr = {YEAR})
-SELECT pixel, before, CAST(s AS BIGINT) AS freq, CAST(CASE WHEN irr <> 0 AND ndvi > 0.68 AND piv = 1 AND {rescue} THEN 0 ELSE irr END AS BIGINT) AS class FROM first"""
+    years = ", ".join(f"({y})" for y in RULE_YEARS)
+    return f"""{YEAR_MAP}, every AS (SELECT y, {horizon} AS t FROM (VALUES {years}) v(y)),
+first AS (SELECT y, t, pixel, irr AS before, s, ndvi, piv, {one} AS irr FROM ym JOIN freq USING (pixel), every WHERE yr = {YEAR})
+SELECT y AS year, pixel, before, CAST(s AS BIGINT) AS freq, CAST(CASE WHEN irr <> 0 AND ndvi > 0.68 AND piv = 1 AND {rescue} THEN 0 ELSE irr END AS BIGINT) AS class FROM first"""
 
 
 def _rule_query(state: str) -> None:
     @query(_rule_sql(state), f"rule_postprocess_{state.lower()}")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = rules.postprocess(stack(spark, sf_dir, YEAR).withColumn("before", F.col("IRR")), state, YEAR)
-        return out.select("pixel", "before", F.col("SUM").alias("freq"), F.col("IRR").cast("long").alias("class"))
+        """The map of YEAR under the rules of each year: one scan, a column per year, then a row per year."""
+        out = stack(spark, sf_dir, YEAR)
+        inputs = out.columns
+        for y in RULE_YEARS:
+            out = out.withColumn("first", F.col("IRR"))
+            out = rules.postprocess(out, state, y).withColumnRenamed("IRR", f"c{y}").withColumnRenamed("first", "IRR")
+            inputs.append(f"c{y}")
+            out = out.select(*inputs)
+        each = F.explode(F.array(*[F.struct(F.lit(y).alias("year"), F.col(f"c{y}").cast("long").alias("class")) for y in RULE_YEARS]))
+        return out.select("pixel", F.col("IRR").alias("before"), F.col("SUM").alias("freq"), each.alias("r")).select("r.year", "pixel", "before", "freq", "r.class")
 
 
 for _state, (_, _steps) in rules.STATES.items():
@@ -232,10 +247,19 @@ def zonal_mode(spark, sf_dir):
 @query(f"""{OBS}, z AS (SELECT n_name AS zone, nd FROM obs {_ZONE}), q AS (SELECT zone, quantile_cont(nd, 0.15) AS p15, median(nd) AS med FROM z GROUP BY zone)
 SELECT zone, round(avg(nd), 6) AS trimmed, round(any_value(med), 6) AS med FROM z JOIN q USING (zone) WHERE nd <= p15 GROUP BY zone""")
 def zonal_trimmed_mean(spark, sf_dir):
-    """Mean of the values up to the 15th percentile. percentile() keeps counts of distinct values, not rows."""
-    z = zoned(spark, sf_dir).select("zone", "nd")
-    q = z.groupBy("zone").agg(F.percentile("nd", 0.15).alias("p15"), F.median("nd").alias("med"))
-    return z.join(q, "zone").where(F.col("nd") <= F.col("p15")).groupBy("zone").agg(F.round(F.avg("nd"), 6).alias("trimmed"), F.round(F.any_value("med"), 6).alias("med"))
+    """Mean of the values up to the 15th percentile, and median, from the places of the values in their zone.
+
+    Zones are numbered over ranges of (zone, value); percentiles are drawn between two
+    neighbouring places, so no zone's values are held together.
+    """
+    z = T.ranked(zoned(spark, sf_dir).select("zone", "nd").where("nd is not null"), ["zone"], ["nd"], "k", scratch(spark))
+    sizes = z.groupBy(F.col("zone").alias("z")).agg(F.count("*").alias("n"))
+    at = lambda q: (F.col("n") - 1) * q + 1
+    near = lambda q: F.sum(F.when(F.col("k") == F.floor(at(q)), F.col("nd") * (1 - at(q) + F.floor(at(q)))).when(F.col("k") == F.floor(at(q)) + 1, F.col("nd") * (at(q) - F.floor(at(q)))))
+    both = z.join(F.broadcast(sizes), F.col("zone") == F.col("z"))  # a row per zone
+    cuts = both.groupBy("z").agg(near(0.15).alias("p15"), near(0.5).alias("med"))
+    low = z.join(F.broadcast(cuts), F.col("zone") == F.col("z")).where(F.col("nd") <= F.col("p15") + 1e-9)
+    return low.groupBy("zone").agg(F.round(F.avg("nd"), 6).alias("trimmed"), F.round(F.any_value("med"), 6).alias("med"))
 
 
 @query(f"{OBS} SELECT sensor, yr, CAST(count(*) AS BIGINT) AS scenes FROM obs WHERE ts > TIMESTAMP '1995-02-01' AND ts < TIMESTAMP '2001-06-30' AND dayofyear(ts) > 59 AND dayofyear(ts) < 365 GROUP BY sensor, yr")

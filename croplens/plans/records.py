@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import tables as T
-from .registry import query, table
+from .registry import query, scratch, table
 
 _PTS = "WITH p AS (SELECT p_partkey AS fid, p_size % 5 AS pt, CAST(p_size AS DOUBLE) / 50 AS nd, 1990 + p_partkey % 7 AS yr, p_retailprice AS b2 FROM part)"
 
@@ -45,7 +45,8 @@ def southern_columns(spark, sf_dir):
 @query(f"""{_PTS}, r AS (SELECT *, row_number() OVER (PARTITION BY pt ORDER BY (fid * 7919) % 10007, fid) AS k, count(*) OVER (PARTITION BY pt) AS n, (SELECT count(*) FROM p WHERE pt = 0) AS z FROM p)
 SELECT fid, pt, nd, yr, b2 FROM r WHERE z < 6 OR pt = 0 OR (n >= z // 3 AND k <= z // 3)""")
 def stratified_third(spark, sf_dir):
-    return T.stratified_third(training_points(spark, sf_dir), "pt", [F.col("fid") * 7919 % 10007, F.col("fid")])
+    rows = training_points(spark, sf_dir).withColumn("draw", F.col("fid") * 7919 % 10007)
+    return T.stratified_third(rows, "pt", ["draw", "fid"], scratch(spark)).drop("draw")
 
 
 @query(f"""{_PTS}, r AS (SELECT *, row_number() OVER (PARTITION BY pt ORDER BY fid) AS k FROM p), z AS (SELECT count(*) AS n FROM p WHERE pt = 0)
@@ -54,7 +55,7 @@ def balance_classes(spark, sf_dir):
     """The first row of classes 0 to 3, then class 0 whole and a third as many of each other class."""
     p = training_points(spark, sf_dir)
     zero = p.agg(F.count_if(F.col("pt") == 0).alias("z"))
-    ranked = p.withColumn("k", F.row_number().over(Window.partitionBy("pt").orderBy("fid"))).join(F.broadcast(zero))  # one row
+    ranked = T.ranked(p, ["pt"], ["fid"], "k", scratch(spark)).join(F.broadcast(zero))  # one row
     head = ranked.where((F.col("pt") <= 3) & (F.col("k") == 1))
     return head.unionByName(ranked.where((F.col("pt") == 0) | (F.col("k") <= F.rint(F.col("z") / 3)))).select("fid", "pt")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -31,5 +32,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the shared checkpoint folder; a local one only where none is set."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/plans/{uuid.uuid4().hex}"
+    """A new folder in the shared checkpoint folder; a local one only in local mode with none set."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+        raise ValueError("spark.checkpoint.dir names no shared folder")
+    return f"{(named or 'file://' + tempfile.mkdtemp()).rstrip('/')}/plans/{uuid.uuid4().hex}"

@@ -50,11 +50,13 @@ def test_forest_comparison(spark):
 
 
 def test_thresholds_and_expressions():
-    assert [rules.Threshold(5, 2016, 2025).at(y) for y in (2015, 2016, 2020, 2024, 2030)] == [5, 8, 4, 0, 0]
-    assert [rules.Threshold(5, 2016, 2021).at(y) for y in (2015, 2016, 2020, 2022)] == [5, 4, 0, 0]
-    assert rules.STATES["MT"][0].at(2030) == 6 and rules.STATES["ID"][0].at(2030) == 5
+    assert [rules.threshold("WA", y) for y in (2015, 2016, 2020, 2024, 2030)] == [5, 8, 4, 0, 0]
+    assert [rules.threshold("CA", y) for y in (2015, 2016, 2020, 2022)] == [5, 4, 0, 0]
+    assert rules.threshold("MT", 2030) == 6 and rules.threshold("ID", 2030) == 5
     assert [len(rules.expressions(s, y)) for s, y in (("MT", 2007), ("ID", 2010), ("WA", 2011), ("AZ", 2022))] == [1, 2, 1, 0]
     assert rules.expressions("WA", 2022)[1] == "(IRR != 0) && (NDVI > 0.68) && (PIVOT == 1) && (SUM > 2) ? 0: IRR"
+    assert rules.expressions("MT", 2022)[0] == "(IRR == 1) && (NDVI > 0.75) && (SUM > 6) ? 0: (IRR == 0) && (SUM < 6) ? 1: (IRR == 0) && (SLOPE > 10) ? 3: IRR"
+    assert rules.expressions("ID", 2022)[1] == "(IRR == 0) && (SLOPE > 6) ? 3: IRR"
 
 
 def test_rule_nulls(spark):
@@ -94,9 +96,25 @@ def test_savgol_keeps_cubics_and_short_series(spark):
     assert np.allclose([r.v for r in got[:40]], [r[2] for r in rows[:40]], atol=1e-6) and all(r.v is None for r in got[40:])
 
 
-def test_stratified_third_passes_small_tables(spark):
+def test_stratified_third_passes_small_tables(spark, tmp_path):
     rows = spark.createDataFrame([(0, i) for i in range(5)] + [(1, 9)], "c int, k int")
-    assert T.stratified_third(rows, "c", [F.col("k")]).count() == 6
+    assert T.stratified_third(rows, "c", ["k"], f"file://{tmp_path}").count() == 6
+
+
+def test_ranks_of_a_class_spread_over_tasks(spark, tmp_path):
+    rows = spark.createDataFrame([(c, k * 7 % 1009, k) for c in (0, None) for k in range(1000)] + [(5, 1, 1)], "c int, v int, k int")
+    out = T.ranked(rows, ["c"], ["v", "k"], "n", f"file://{tmp_path}")
+    got = sorted(((r.c is None, r.c or 0, r.v, r.k, r.n) for r in out.collect()))
+    want = [(c is None, c or 0, v, k, n) for c in (0, 5, None) for n, (v, k) in enumerate(sorted((v, k) for cc, v, k in [tuple(r) for r in rows.collect()] if cc == c), 1)]
+    assert got == sorted(want)
+    parts = out.where("c = 0").select(F.col("n"), F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(parts) > 1
+
+
+def test_fallback_join_repeats_no_row(spark):
+    left = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "z")], "k string, l string")
+    right = spark.createDataFrame([("a", "q", 2), ("a", "q", 1), ("n", "y", 5)], "k string, l string, v int")
+    assert sorted(tuple(r) for r in T.fallback_join(left, right, ("k", "k"), ("l", "l"), "v").collect()) == [("a", "x", 1), ("b", "y", 5)]
 
 
 def test_apart_is_the_greedy_choice(spark, tmp_path):
