@@ -60,10 +60,10 @@ def compare_forests(rows: DataFrame, features: Sequence[str], label: str, key: s
     return sorted(r for r in ranked if r[0] <= top)
 
 
-def feature_curve(rows: DataFrame, features: Sequence[str], label: str, key: str, cls: int = 0, **settings) -> list[tuple[int, str, float | None]]:
-    """(features used, last one, share of the class's held-out rows found) for each prefix of the features."""
+def feature_curve(rows: DataFrame, features: Sequence[str], label: str, key: str, cls: int = 0, counts: Sequence[int] | None = None, **settings) -> list[tuple[int, str, float | None]]:
+    """(features used, last one, share of the class's held-out rows found) for the first features, as many as counts says or 1 to all."""
     held, curve = share_of(F.col(key)) < 33, []
-    for n in range(1, len(features) + 1):
+    for n in counts or range(1, len(features) + 1):
         model = models.train_forest(rows.where(~held), features[:n], label, **settings)
         out = models.classify(model, rows.where(held & (F.col(label) == cls)), features[:n])
         curve.append((n, features[n - 1], out.agg(F.avg((F.col("pred") == cls).cast("double"))).first()[0]))

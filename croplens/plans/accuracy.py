@@ -76,10 +76,10 @@ def missing_bands(spark, sf_dir):
     return counts.unpivot("n", rows.columns, "band", "missing").select("band", "missing", "n")
 
 
-@query("SELECT p_partkey AS k, p_retailprice AS price, 0 AS slope FROM part WHERE p_size % 7 = 0")
+@query("SELECT p_partkey AS k, p_retailprice AS price, 0 AS slope FROM part")
 def usable_columns(spark, sf_dir):
     """Columns with a null go, wanted ones that are absent are zero."""
-    rows = table(spark, sf_dir, "part").where("p_size % 7 = 0").select(F.col("p_partkey").alias("k"), F.col("p_retailprice").alias("price"), F.when(F.col("p_size") % 2 == 0, 1).alias("odd"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_retailprice").alias("price"), F.when(F.col("p_size") % 2 == 0, 1).alias("odd"))
     return A.absent_as_zero(rows.select(*A.complete_columns(rows)), ["price", "slope"])
 
 
@@ -218,9 +218,9 @@ def forest_search(spark, sf_dir):
 
 @query()
 def feature_curve(spark, sf_dir):
-    """Score of class 0 with the first 1, 2, 3, ... of all 64 features, one fit each."""
+    """Score of class 0 with the first 1 to 5, 10, 20, 50 and all 64 features, one fit each."""
     names = [f"f{i}" for i in range(64)]
     rows = vectors(spark, sf_dir).select("vec_id", "label", *names).cache()
-    found = A.feature_curve(rows, names, "label", "vec_id", trees=10, depth=5)
+    found = A.feature_curve(rows, names, "label", "vec_id", counts=(1, 2, 3, 4, 5, 10, 20, 50, 64))
     rows.unpersist()
     return spark.createDataFrame(found, "n int, feature string, score double")
