@@ -72,3 +72,29 @@ def test_plane_has_constant_slope(spark):
     cells = spark.range(25).select(F.floor(F.col("id") / 5).alias("r"), (F.col("id") % 5).alias("c")).withColumn("e", F.col("c") * 30.0)
     rows = grids.slope_aspect(cells, "r", "c", "e", 30.0).collect()
     assert len(rows) == 9 and all(abs(r.slope - 45) < 1e-9 and abs(r.aspect - 270) < 1e-9 for r in rows)
+
+
+def test_plan_execute_and_manifest(spark, tmp_path):
+    import json
+
+    from croplens.operators import rules
+    from croplens.sources import runs
+
+    settings = {"run": {"states": ["AZ", "MT", "WA"], "years": [2007, 2022]}, "product": {"name": "x", "version": "1"}}
+    planned = {(r.state, r.year): r for r in runs.plan(spark, settings).collect()}
+    assert len(planned) == 6 and planned["AZ", 2022].copied and planned["MT", 2007].steps == 1 and planned["WA", 2022].stamp == rules.expressions("WA", 2022)[-1]
+    with pytest.raises(ValueError):
+        runs.plan(spark, settings, ["TX"])
+    rows = [(s, y, p, irr, n, nd, sl, pv) for s in ("AZ", "MT", "WA", "CO") for y in (2007, 2022) for p, (irr, n, nd, sl, pv) in enumerate([(1, 9, 0.8, 1.0, 0), (0, 1, 0.5, 1.0, 0), (0, 9, 0.5, 11.0, 0), (2, 9, 0.7, 1.0, 1), (1, None, 0.8, 1.0, 1)])]
+    stack = spark.createDataFrame(rows, "state string, year int, pixel int, IRR int, SUM int, NDVI double, SLOPE double, PIVOT int")
+    folder = f"file://{tmp_path}/maps"
+    assert runs.execute(stack, settings, folder).count() == 6
+    got = {(r.state, r.year, r.pixel): r.IRR for r in spark.read.parquet(folder).collect()}
+    for state, year in planned:
+        own = stack.where((stack.state == state) & (stack.year == year))
+        assert {(state, year, r.pixel): r.IRR for r in rules.postprocess(own, state, year).collect()} == {k: v for k, v in got.items() if k[:2] == (state, year)}
+    assert runs.pending(runs.plan(spark, settings), folder).isEmpty() and runs.execute(stack, settings, folder).isEmpty()
+    a, b = (json.loads(runs.manifest(settings, "c", t)) for t in ("t1", "t2"))
+    assert a["digest"] == b["digest"] and a["at"] != b["at"]
+    runs.write_manifest(spark, runs.manifest(settings, "c", "t"), f"file://{tmp_path}/manifest")
+    assert json.loads("\n".join(r.value for r in spark.read.text(f"file://{tmp_path}/manifest").collect()))["settings"] == settings
