@@ -72,12 +72,13 @@ def row_hash(df: DataFrame, first: int = 42) -> Column:
     return F.xxhash64(F.lit(first), *[F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.typeName() != "variant"])
 
 
-def drop_rows(docs: DataFrame, id_col: str, members: DataFrame, group: list[str]) -> DataFrame:
+def drop_rows(docs: DataFrame, id_col: str, members: DataFrame, group: list[str], how: str | None = None) -> DataFrame:
     """docs with one row of each group.
 
     members: (id, hash, kept, *group) of every row in a group of several, hash being
     row_hash(docs). Rows that are not kept go; where several are (they share an id), the
-    one with the greatest hash stays, and of rows equal in every column one.
+    one with the greatest hash stays, and of rows equal in every column one. how is a join
+    hint; without one Spark broadcasts a short list of rows that go and shuffles docs for a longer one.
     """
     members = materialize(members, "members")
     twice = materialize(members.where("kept").groupBy(*group).agg(F.count("*").alias("n"), F.max("hash").alias("win")).where("n > 1"), "twice")
@@ -95,7 +96,7 @@ def drop_rows(docs: DataFrame, id_col: str, members: DataFrame, group: list[str]
     named = lambda df: df.select(F.col("id").alias(i), F.col("hash").alias(h))
     lost = materialize(named(lost), "lost")
     discard(members, twice)
-    kept = docs.join(lost, same, "left_anti")
+    kept = docs.join(lost.hint(how) if how else lost, same, "left_anti")
     if spare is None:
         return kept
     rows = docs.join(named(spare), same).groupBy(i, h).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias(v))

@@ -110,4 +110,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bu
     rows = docs.select(F.col(id_col).alias("id"), row_hash(docs).alias("hash"), F.xxhash64(text).alias("dd_key"), F.sha2(text, 256).alias("text_sha256"))
     copies = index.probe(rows).where("group_size > 1")
     copies = copies.select("id", "hash", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), "dd_key", "text_sha256")
-    return drop_rows(docs, id_col, copies, ["dd_key", "text_sha256"])
+    # copies are a fixed share of the rows, so their list outgrows any broadcast: the join is the same at every size
+    return drop_rows(docs, id_col, copies, ["dd_key", "text_sha256"], "merge")
