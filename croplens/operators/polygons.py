@@ -88,17 +88,26 @@ def buffered_inside(x: Column, y: Column, ring: Column, distance: float) -> Colu
     return (S.within(x, y, ring) | (edge <= distance)) if distance >= 0 else (S.within(x, y, ring) & (edge >= -distance))
 
 
+def authalic(s: float, e2: float) -> float:
+    e = math.sqrt(e2)
+    return (1 - e2) * (s / (1 - e2 * s * s) - math.log((1 - e * s) / (1 + e * s)) / (2 * e))
+
+
+def cone(grid: Sequence[float], e2: float) -> tuple[float, float, float]:
+    """(n, c, q0) of an equal-area cone: its constant, the squared radius at the equator in n, the origin's authalic value."""
+    sines = [math.sin(math.radians(d)) for d in grid[:3]]
+    m1, m2 = [(1 - s * s) / (1 - e2 * s * s) for s in sines[:2]]  # squares of the parallels' radii
+    q1, q2, q0 = [authalic(s, e2) for s in sines]
+    n = (m1 - m2) / (q2 - q1) if grid[0] != grid[1] else sines[0]
+    return n, m1 + n * q1, q0
+
+
 def albers(lon: Column, lat: Column, grid: Sequence[float] = CONUS_ALBERS, ellipsoid: tuple[float, float] = GRS80) -> Column:
     """(x, y) of degrees in an equal-area conic projection with two standard parallels."""
     a, f = ellipsoid
     e2 = f * (2 - f)
     e = math.sqrt(e2)
-    authalic = lambda s: (1 - e2) * (s / (1 - e2 * s * s) - math.log((1 - e * s) / (1 + e * s)) / (2 * e))
-    sines = [math.sin(math.radians(d)) for d in grid[:3]]
-    m1, m2 = [(1 - s * s) / (1 - e2 * s * s) for s in sines[:2]]  # squares of the parallels' radii
-    q1, q2, q0 = map(authalic, sines)
-    n = (m1 - m2) / (q2 - q1) if grid[0] != grid[1] else sines[0]
-    c = m1 + n * q1
+    n, c, q0 = cone(grid, e2)
     s = F.sin(F.radians(lat))
     q = (s / (1 - s * s * e2) - F.log((1 - s * e) / (1 + s * e)) / (2 * e)) * (1 - e2)
     radius = F.sqrt(F.lit(c) - q * n) * (a / n)
@@ -106,6 +115,20 @@ def albers(lon: Column, lat: Column, grid: Sequence[float] = CONUS_ALBERS, ellip
     return F.struct((radius * F.sin(angle)).alias("x"), (F.lit(a * math.sqrt(c - n * q0) / n) - radius * F.cos(angle)).alias("y"))
 
 
+def albers_inverse(x: Column, y: Column, grid: Sequence[float] = CONUS_ALBERS, ellipsoid: tuple[float, float] = GRS80) -> Column:
+    """(lon, lat) in degrees of a point of the projection; latitudes by the series in the authalic latitude, good to 1e-8 degrees."""
+    a, f = ellipsoid
+    e2 = f * (2 - f)
+    n, c, q0 = cone(grid, e2)
+    down = F.lit(a * math.sqrt(c - n * q0) / n) - y
+    q = (F.lit(c) - (x * x + down * down) * (n / a) ** 2) / n
+    b = F.asin(F.greatest(F.least(q / authalic(1.0, e2), F.lit(1.0)), F.lit(-1.0)))
+    terms = (e2 / 3 + 31 * e2**2 / 180 + 517 * e2**3 / 5040, 23 * e2**2 / 360 + 251 * e2**3 / 3780, 761 * e2**3 / 45360)
+    lat = b + F.sin(b * 2) * terms[0] + F.sin(b * 4) * terms[1] + F.sin(b * 6) * terms[2]
+    lon = F.atan2(x, down) / n if n > 0 else F.atan2(-x, -down) / n
+    return F.struct((F.degrees(lon) + grid[3]).alias("lon"), F.degrees(lat).alias("lat"))
+
+
 def class_of(code: Column, ranges: Sequence[tuple[int, int, int]], other: int) -> Column:
     """Class of a code by ranges (first, last, class); ``other`` outside of them, null for null."""
     out = F.when(code.isNotNull(), other)

@@ -53,6 +53,11 @@ def csv_after(spark: SparkSession, path: str, skip: int = 4) -> DataFrame:
     return rows.where(F.col("line").isNull() | (F.col("line") > skip)).select(F.from_csv("text", schema).alias("r")).select("r.*")
 
 
+def json_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Files that hold a JSON document or a list of them each; a file has to fit a task's memory."""
+    return spark.read.json(path, multiLine=True)
+
+
 def positional(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     """Header-less file whose columns are named by place, all strings."""
     return spark.read.csv(path, schema=", ".join(f"`{n}` string" for n in names))

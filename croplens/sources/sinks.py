@@ -35,6 +35,22 @@ def write_lines(rows: DataFrame, column: str, path: str) -> None:
     rows.select(F.col(column).cast("string")).write.text(path)
 
 
+def write_json(rows: DataFrame, path: str) -> None:
+    """A JSON document per line; fails where the path is there."""
+    rows.write.json(path, mode="error")
+
+
+def property_table(rows: DataFrame, props: str) -> DataFrame:
+    """A row per row with a string column for each key that any JSON map in props has, in order of name; absent ones are null.
+
+    The keys become the schema, so their names alone reach the driver. A key that is a column already gets _1 after it.
+    """
+    keys = [r[0] for r in rows.select(F.explode(F.json_object_keys(props))).distinct().collect()]
+    fixed = [c for c in rows.columns if c != props]
+    parsed = F.from_json(props, "map<string,string>")
+    return rows.select(*fixed, parsed.alias("pt_m")).select(*fixed, *[F.col("pt_m")[k].alias(k if k not in fixed else f"{k}_1") for k in sorted(keys)])
+
+
 def manifest(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows and an order-free digest per key: 60 bits of each row's SHA-256 over its JSON, summed."""
     names = sorted(rows.columns)

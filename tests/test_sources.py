@@ -98,3 +98,19 @@ def test_plan_execute_and_manifest(spark, tmp_path):
     assert a["digest"] == b["digest"] and a["at"] != b["at"]
     runs.write_manifest(spark, runs.manifest(settings, "c", "t"), f"file://{tmp_path}/manifest")
     assert json.loads("\n".join(r.value for r in spark.read.text(f"file://{tmp_path}/manifest").collect()))["settings"] == settings
+
+
+def test_json_documents_and_property_columns(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{\n "k": 1,\n "name": "x"\n}')
+    (tmp_path / "in" / "b.json").write_text('[{"k": 2}, {"k": 3, "name": "y"}]')
+    rows = files.json_documents(spark, str(tmp_path / "in"))
+    assert sorted((r.k, r.name) for r in rows.collect()) == [(1, "x"), (2, None), (3, "y")]
+    sinks.write_json(rows, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).count() == 3
+    with pytest.raises(AnalysisException):
+        sinks.write_json(rows, str(tmp_path / "out"))
+    made = spark.createDataFrame([(1, '{"b": "2", "a": 1}'), (2, '{"id": "z"}'), (3, None)], "id int, props string")
+    out = sinks.property_table(made, "props").orderBy("id")
+    assert out.columns == ["id", "a", "b", "id_1"]
+    assert [tuple(r) for r in out.collect()] == [(1, "1", "2", None), (2, None, None, "z"), (3, None, None, None)]
