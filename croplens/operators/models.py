@@ -31,6 +31,11 @@ def classify(model, rows: DataFrame, features: Sequence[str]) -> DataFrame:
     return out.drop("md_x", "rawPrediction", "probability")
 
 
+def tree_texts(model) -> list[tuple[int, int, int, str]]:
+    """(tree, depth, nodes, text) of each tree of a forest; the model bounds their size."""
+    return [(n, tree.depth, tree.numNodes, tree.toDebugString) for n, tree in enumerate(model.trees)]
+
+
 def importance(rows: DataFrame, features: Sequence[str], label: str, fits: int = 10, top: int = 50, **kw) -> list[tuple[str, float]]:
     """Importances summed over fits on random 67 % shares, largest first."""
     total = dict.fromkeys(usable(rows, features), 0.0)

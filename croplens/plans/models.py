@@ -22,6 +22,21 @@ def rf_train_predict(spark, sf_dir):
     return M.classify(model, rows.where("vec_id % 3 = 0"), FEATURES).select("vec_id", "label", F.col("pred").cast("int").alias("pred"))
 
 
+@query()
+def rf_wide_bags(spark, sf_dir):
+    """The same forest with four fifths of the rows in each tree's bag."""
+    rows = vectors(spark, sf_dir)
+    model = M.train_forest(rows.where("vec_id % 3 != 0"), FEATURES, "label", trees=150, bag=0.8)
+    return M.classify(model, rows.where("vec_id % 3 = 0"), FEATURES).select("vec_id", "label", F.col("pred").cast("int").alias("pred"))
+
+
+@query()
+def forest_trees(spark, sf_dir):
+    """The trees of a forest of all rows, written out as conditions."""
+    found = M.tree_texts(M.train_forest(vectors(spark, sf_dir), FEATURES, "label"))
+    return spark.createDataFrame(found, "tree int, depth int, nodes int, conditions string")
+
+
 @query()
 def forest_importance(spark, sf_dir):
     """Importances of all features, summed over ten fits on two thirds of the rows, the greatest 50."""

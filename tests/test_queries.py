@@ -39,6 +39,18 @@ def test_model_queries(spark):
     assert rows.count() > 0 and rows.columns == ["vec_id", "label", "pred"]
 
 
+def test_trees_as_text_and_bags(spark):
+    from croplens.operators import models as M
+
+    rows = spark.createDataFrame([(float(i % 2), float(i % 7), i % 2) for i in range(80)], "a double, b double, label int")
+    model = M.train_forest(rows, ["a", "b", "gone"], "label", trees=4, bag=0.8, depth=2)
+    texts = M.tree_texts(model)
+    assert [t[0] for t in texts] == [0, 1, 2, 3] and model.getSubsamplingRate() == 0.8
+    assert all(nodes == text.count("Predict:") * 2 - 1 and depth <= 2 for _, depth, nodes, text in texts)
+    assert M.classify(model, rows, ["a", "b"]).where("pred != label").count() == 0
+    assert {"rf_wide_bags", "forest_trees"} <= set(plans.QUERIES)
+
+
 def test_forest_comparison(spark):
     from croplens.operators import accuracy as A
 
