@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, license_scan, packing, secret_scan, simhash_dedup, substring_dedup, url_filter, warc_writer
+from . import (
+    decontaminate, divergence, exact_dedup, fingerprints, language_id, license_scan, packing, resampling,
+    secret_scan, simhash_dedup, substring_dedup, url_filter, warc_writer,
+)
 
 #: The URL rules of op2, as (verdict, host and path).
 URL_RULES = (
@@ -88,11 +91,24 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.neighbours(table(spark, sf_dir, "documents"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, max_n=1)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_url_filter, op3_exact_dedup, op4_secret_scan, op5_language_id,
         op6_substring_dedup, op7_warc, op8_license_scan, op9_simhash, op10_packing,
+        op11_divergence, op12_fingerprints, op13_resampling,
     )
 }
 
@@ -180,5 +196,42 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
 FROM q
+""",
+    "op11_divergence": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+words AS (SELECT r, lang, source, unnest(ts) AS t FROM d),
+kept AS (SELECT lang, t, count(*) AS c FROM words GROUP BY lang, t HAVING count(DISTINCT r) >= 30),
+seen AS (SELECT lang, source, t, count(*) AS c FROM words SEMI JOIN kept USING (lang, t) GROUP BY lang, source, t),
+pairs AS (SELECT DISTINCT lang, source FROM d),
+vs AS (SELECT lang, count(t) AS v, coalesce(sum(c), 0) AS n FROM (SELECT DISTINCT lang FROM d) LEFT JOIN kept USING (lang) GROUP BY lang),
+ns AS (SELECT pairs.lang, pairs.source, coalesce(sum(c), 0) AS n FROM pairs LEFT JOIN seen USING (lang, source) GROUP BY ALL),
+p AS (SELECT ns.lang, ns.source, kept.t, coalesce(seen.c, 0) AS c,
+    1 + (1000000000::HUGEINT * (coalesce(seen.c, 0) + 5)) // (ns.n + 5 * vs.v)::HUGEINT AS p,
+    1 + (1000000000::HUGEINT * (kept.c + 5)) // (vs.n + 5 * vs.v)::HUGEINT AS q
+  FROM ns JOIN vs USING (lang) JOIN kept USING (lang) LEFT JOIN seen ON seen.lang = ns.lang AND seen.source = ns.source AND seen.t = kept.t),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL),
+rows AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM pairs a JOIN pairs b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums ON sums.lang = a.lang AND sums.source = a.source AND sums.item = b.source
+  UNION ALL SELECT lang, source, 'term', t, (p - q)::BIGINT FROM p WHERE c > 0 AND p > q)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM rows QUALIFY part = 'pair' OR rank <= 50
+""",
+    "op13_resampling": rf"""
+WITH bits AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)) ORDER BY i) AS crcs FROM range(256) AS t(i)),
+split AS (SELECT row_number() OVER () AS r, 'd' AS side, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+  UNION ALL SELECT row_number() OVER (), 'b', NULL, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+words AS (SELECT r, side, unnest(ws) AS w FROM split),
+hexes AS (SELECT DISTINCT w, hex(encode(w)) AS x FROM words),
+hashed AS (SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(x), 2), lambda i: ('0x' || x[i:i + 1])::BIGINT)),
+  lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS bucket FROM hexes, bits),
+counts AS (SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM words JOIN hashed USING (w) GROUP BY bucket),
+gains AS (SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * ((SELECT sum(s) FROM counts) + 10000)::DOUBLE) / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM counts) + 10000)::DOUBLE)))::BIGINT AS gain FROM counts),
+means AS (SELECT r, floor(sum(gain) / count(*))::BIGINT AS weight FROM words JOIN hashed USING (w) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY r),
+scored AS (SELECT doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('2024:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT + 0.5) / 4294967296.0::DOUBLE)))::BIGINT AS score
+  FROM split LEFT JOIN means USING (r) WHERE side = 'd'),
+ranks AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS k FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND k <= (SELECT 10 * count(*) // 100 FROM scored WHERE n_features >= 20) THEN k END AS rank FROM ranks
 """,
 }
