@@ -91,16 +91,49 @@ def copy_only_state(spark, sf_dir):
     return rules.postprocess(stack(spark, sf_dir, YEAR), "AZ", YEAR).select("pixel", F.col("IRR").alias("class"))
 
 
-@query("""SELECT yr, CAST(CASE WHEN yr < 2016 THEN 5 ELSE greatest(2025 - yr - 1, 0) END AS BIGINT) AS t_2025,
-CAST(CASE WHEN yr < 2016 THEN 5 ELSE greatest(2021 - yr - 1, 0) END AS BIGINT) AS t_2021 FROM (SELECT unnest(range(1985, 2031)) AS yr)""")
+def rule_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every year of an observation, and those 7, 14 and 21 years before and 7 after."""
+    years = observations(spark, sf_dir).select("yr").distinct()
+    return years.select(F.explode(F.array(*[F.col("yr") + k for k in (-21, -14, -7, 0, 7)])).alias("yr")).distinct()
+
+
+_YEARS = f"{OBS}, years AS (SELECT DISTINCT yr + k AS yr FROM obs, (VALUES (-21), (-14), (-7), (0), (7)) AS t(k))"
+
+
+@query(f"""{_YEARS} SELECT yr, CAST(CASE WHEN yr < 2016 THEN 5 ELSE greatest(2025 - yr - 1, 0) END AS BIGINT) AS t_2025,
+CAST(CASE WHEN yr < 2016 THEN 5 ELSE greatest(2021 - yr - 1, 0) END AS BIGINT) AS t_2021 FROM years""")
 def rule_threshold_ramp(spark, sf_dir):
     t = lambda horizon: S.ramp(F.col("yr"), 5, 2016, horizon).cast("long")
-    return spark.range(1985, 2031).select(F.col("id").alias("yr")).select("yr", t(2025).alias("t_2025"), t(2021).alias("t_2021"))
+    return rule_years(spark, sf_dir).select("yr", t(2025).alias("t_2025"), t(2021).alias("t_2021"))
 
 
-@query("SELECT yr, CASE WHEN yr < 2010 THEN '2009' WHEN yr < 2012 THEN '2011' WHEN yr < 2014 THEN '2013' WHEN yr < 2019 THEN '2015' ELSE '2019' END AS vintage FROM (SELECT unnest(range(1985, 2031)) AS yr)")
+@query(f"{_YEARS} SELECT yr, CASE WHEN yr < 2010 THEN '2009' WHEN yr < 2012 THEN '2011' WHEN yr < 2014 THEN '2013' WHEN yr < 2019 THEN '2015' ELSE '2019' END AS vintage FROM years")
 def pivot_schedule(spark, sf_dir):
-    return spark.range(1985, 2031).select(F.col("id").alias("yr"), S.schedule(F.col("id"), rules.PIVOT_VINTAGES, rules.LAST_VINTAGE).alias("vintage"))
+    return rule_years(spark, sf_dir).select("yr", S.schedule(F.col("yr"), rules.PIVOT_VINTAGES, rules.LAST_VINTAGE).alias("vintage"))
+
+
+@query(f"""{YEAR_MAP}, own(k, state, slope_limit, fixed, horizon, since, needs) AS (VALUES
+ (0, 'AZ', NULL, 0, NULL, NULL, FALSE), (1, 'CA', 10, NULL, 2021, 2012, TRUE), (2, 'CO', 4, NULL, 2025, NULL, FALSE), (3, 'ID', 6, 5, NULL, 2011, TRUE),
+ (4, 'MT', 10, 6, NULL, 2008, FALSE), (5, 'NM', 10, NULL, 2025, 2012, TRUE), (6, 'NV', 10, NULL, 2025, 2012, TRUE), (7, 'OR', 10, NULL, 2025, 2012, TRUE),
+ (8, 'UT', 4, NULL, 2025, NULL, FALSE), (9, 'WA', 10, NULL, 2025, 2012, TRUE), (10, 'WY', 4, NULL, 2025, NULL, FALSE)),
+placed AS (SELECT ym.*, s, CAST(yr + 7 * (pixel % 3 - 1) AS INT) AS y FROM ym JOIN freq USING (pixel)),
+ruled AS (SELECT placed.pixel, state, y, irr, s, ndvi, placed.slope, piv, slope_limit, since, needs, coalesce(fixed, CASE WHEN y < 2016 THEN 5 ELSE greatest(horizon - y - 1, 0) END) AS t
+  FROM placed JOIN own ON pixel % 11 = k),
+one AS (SELECT *, CASE WHEN state = 'AZ' THEN irr
+  WHEN state = 'ID' THEN CASE WHEN irr = 0 AND ndvi < 0.68 AND s > t THEN 1 WHEN irr <> 0 AND ndvi > 0.75 AND s > t THEN 0 WHEN irr = 0 AND s < t THEN 1 ELSE irr END
+  WHEN irr = 1 AND ndvi > 0.75 AND s > t THEN 0 WHEN irr = 0 AND s < t THEN 1 WHEN irr = 0 AND slope > slope_limit THEN 3 ELSE irr END AS c FROM ruled),
+two AS (SELECT *, CASE WHEN state = 'ID' AND c = 0 AND slope > 6 THEN 3 ELSE c END AS d FROM one)
+SELECT pixel, state, y AS year, CAST(CASE WHEN y >= since AND d <> 0 AND ndvi > 0.68 AND piv = 1 AND (s > t OR NOT needs) THEN 0 ELSE d END AS BIGINT) AS class FROM two""")
+def rule_run(spark, sf_dir):
+    """Every state and year in one plan, from the rules' texts. Pixels are dealt to the states and years by their number."""
+    freq = F.count_if(F.col("irr") == 0).over(Window.partitionBy("pixel"))
+    placed = year_map(observations(spark, sf_dir)).withColumn("SUM", freq).select(
+        "pixel", F.element_at(F.array(*map(F.lit, sorted(rules.PUBLISHED))), (F.col("pixel") % 11 + 1).cast("int")).alias("state"),
+        (F.col("yr") + (F.col("pixel") % 3 - 1) * 7).cast("int").alias("year"),
+        F.col("irr").alias("IRR"), "SUM", F.col("ndvi").alias("NDVI"), F.col("slope").alias("SLOPE"), F.col("pivot").alias("PIVOT"),
+    )
+    every = rules.rule_table(spark, rules.checked(rules.PUBLISHED), rules.PUBLISHED, range(1985, 2041))
+    return rules.refine(placed, every).select("pixel", "state", "year", F.col("IRR").alias("class"))
 
 
 @query(f"{YEAR_MAP} SELECT pixel, s AS freq FROM freq")

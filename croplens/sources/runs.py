@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from typing import Any
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..operators import rules
 from . import settings as settings_file
 from . import sinks
 
 
-def plan(spark: SparkSession, settings: dict[str, Any], states: Sequence[str] | None = None) -> DataFrame:
-    """A row per state and year: steps, stamp (the last rule's text), and whether the state is only copied.
+def rules_of(settings: Mapping[str, Any]) -> Mapping[str, Any]:
+    """The checked rules of the settings, or the published ones where they name none."""
+    return rules.checked(settings["postproc"]) if settings.get("postproc") else rules.PUBLISHED
+
+
+def plan(spark: SparkSession, settings: Mapping[str, Any], states: Sequence[str] | None = None) -> DataFrame:
+    """A row per state and year with threshold, steps, stamp (the last rule's text), survey of pivots, and whether the state is only copied.
 
     This is the whole of a dry run: nothing is read or written. States outside the
     settings are an error.
@@ -24,12 +28,7 @@ def plan(spark: SparkSession, settings: dict[str, Any], states: Sequence[str] |
     known = settings["run"]["states"]
     if odd := set(states or ()) - set(known):
         raise ValueError(f"states outside the run: {sorted(odd)}")
-    rows = []
-    for state in states or known:
-        for year in settings["run"]["years"]:
-            texts = rules.expressions(state, year)
-            rows.append((state, int(year), len(texts), texts[-1] if texts else None, not rules.STATES[state][1]))
-    return spark.createDataFrame(rows, "state string, year int, steps int, stamp string, copied boolean")
+    return rules.rule_table(spark, rules_of(settings), states or known, settings["run"]["years"])
 
 
 def pending(planned: DataFrame, folder: str) -> DataFrame:
@@ -43,25 +42,18 @@ def pending(planned: DataFrame, folder: str) -> DataFrame:
     return planned.join(there, ["state", "year"], "left_anti")
 
 
-def execute(stack: DataFrame, settings: dict[str, Any], folder: str, states: Sequence[str] | None = None) -> DataFrame:
+def execute(stack: DataFrame, settings: Mapping[str, Any], folder: str, states: Sequence[str] | None = None) -> DataFrame:
     """Refines stack (state, year and the rules' inputs) and writes the states and years that folder lacks; returns the manifest's rows.
 
-    One job: the stack is scanned once, each state and year takes its own CASE chain.
-    The list of what is pending has a row per state and year of the settings.
+    One job whose plan does not grow with the run: the stack is scanned once and joined
+    with the rows that are pending, at most one per state and year of the settings.
     """
     spark = stack.sparkSession
-    todo = pending(plan(spark, settings, states), folder).collect()
-    done = F.col("IRR")
-    out = stack.where(F.concat_ws(":", "state", "year").isin([f"{r.state}:{r.year}" for r in todo]))
-    depth = max((r.steps for r in todo), default=0)
-    for k in range(depth):  # step k of every state at once: each step sees the class of the one before
-        for r in todo:
-            arms = rules.steps_of(r.state, r.year)
-            if k < len(arms):
-                done = F.when((F.col("state") == r.state) & (F.col("year") == r.year), rules.case_of(arms[k])).otherwise(done)
-        out, done = out.withColumn("IRR", done), F.col("IRR")
-    sinks.write_missing(out, folder, ["state", "year"])
-    return spark.createDataFrame([(r.state, r.year, r.stamp) for r in todo], "state string, year int, stamp string")
+    planned = plan(spark, settings, states)
+    rows = pending(planned, folder).collect()
+    todo = spark.createDataFrame(rows, planned.schema)
+    sinks.write_missing(rules.refine(stack, todo, rules_of(settings)), folder, ["state", "year"])
+    return todo.select("state", "year", "stamp")
 
 
 def manifest(settings: dict[str, Any], code: str, at: str) -> str:

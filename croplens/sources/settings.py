@@ -7,6 +7,8 @@ import json
 import tomllib
 from typing import Any
 
+from ..operators import rules
+
 SECTIONS = {"product": {"name", "version"}, "paths": None, "run": {"states", "years"}, "model": None, "export": None, "postproc": None}
 
 
@@ -23,6 +25,13 @@ def load(text: str) -> dict[str, Any]:
     return raw
 
 
+def load_run(text: str) -> dict[str, Any]:
+    """Settings whose rules are complete too: thresholds, surveys and expression texts of every state."""
+    raw = load(text)
+    rules.checked(raw["postproc"])
+    return raw
+
+
 def digest(settings: dict[str, Any]) -> str:
     """The same for equal settings, whatever their order."""
     return hashlib.sha256(json.dumps(settings, sort_keys=True).encode()).hexdigest()

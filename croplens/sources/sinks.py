@@ -14,7 +14,10 @@ def write_csv(rows: DataFrame, path: str, columns: Sequence[str] | None = None)
 
 
 def write_missing(rows: DataFrame, path: str, keys: Sequence[str]) -> None:
-    """Appends the partitions that path lacks. Existing ones stay as they are, so that a job can be repeated."""
+    """Appends the partitions that path lacks. Existing ones stay as they are, so that a job can be repeated.
+
+    Rows are brought together by key, and a key with many rows is split over as many tasks as its size asks for.
+    """
     try:
         there = rows.sparkSession.read.parquet(path).select(*keys).distinct()
     except AnalysisException as e:
@@ -23,7 +26,7 @@ def write_missing(rows: DataFrame, path: str, keys: Sequence[str]) -> None:
     else:
         same = [F.col(f"r.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]
         rows = rows.alias("r").join(there.alias("t"), same, "left_anti")
-    rows.repartition(*keys).write.partitionBy(*keys).parquet(path, mode="append")
+    rows.hint("rebalance", *keys).write.partitionBy(*keys).parquet(path, mode="append")
 
 
 def copy_new(spark: SparkSession, source: str, target: str) -> None:

@@ -114,3 +114,73 @@ def test_json_documents_and_property_columns(spark, tmp_path):
     out = sinks.property_table(made, "props").orderBy("id")
     assert out.columns == ["id", "a", "b", "id_1"]
     assert [tuple(r) for r in out.collect()] == [(1, "1", "2", None), (2, None, None, "z"), (3, None, None, None)]
+
+
+def published_text():
+    """Settings of a whole run with the published rules, as a file has them."""
+    from croplens.operators import rules
+
+    states = ", ".join(f'"{s}"' for s in rules.PUBLISHED)
+    lines = ["[product]", 'name = "n"', 'version = "1"', "[paths]", "[run]", f"states = [{states}]", f"years = {list(range(1985, 2026))}", "[model]", "[export]"]
+    for state, own in rules.PUBLISHED.items():
+        lines.append(f"[postproc.{state}]")
+        if own.get("copy_only"):
+            lines.append("copy_only = true")
+            continue
+        table = lambda entry: "{ " + ", ".join(f"{k} = {v!r}" if isinstance(v, int) else f"{k} = {str(v) if isinstance(v, list) else chr(34) + v + chr(34)}" for k, v in entry.items()) + " }"
+        lines += [f"threshold = {table(own['threshold'])}", *(f"{name} = [{', '.join(map(table, own[name]))}]" for name in ("pivot_assets", "steps"))]
+    return "\n".join(lines)
+
+
+def test_settings_carry_the_rules():
+    from croplens.operators import rules
+
+    text = published_text()
+    raw = settings.load_run(text)
+    assert raw["postproc"] == rules.PUBLISHED and len(raw["run"]["years"]) == 41
+    assert [rules.pivots("MT", y) for y in (2009, 2010, 2012, 2018, 2019)] == [f"pivots_{y}" for y in (2009, 2011, 2013, 2015, 2019)] and rules.pivots("AZ", 2000) is None
+    for old, new in (
+        ("(IRR == 1)", "(IRX == 1)"), ("? 0:", "? 0"), ("3: IRR", "3: IRR)"), ("3: IRR", "3: IRR IRR"), ("3: IRR", "3: IRR: 4"), ("(SUM < {t})", "(SUM < )"), ("(SUM < {t})", "(SUM < {t}"),
+        ("(SUM < {t})", "(SUM % {t})"), ("(SUM < {t})", "(SUM < {u})"), ('"ramp"', '"slope"'), ("value = 6", "values = 6"), ("copy_only = true", "copy_only = true\nsteps = []"), ('asset = "pivots"', 'name = "pivots"'),
+        ("min_year = 2012", "from_year = 2012"), ("'SLOPE']", "'NDWI']"), ("'SLOPE']", "'NDVI']"),
+    ):
+        assert old in text
+        with pytest.raises(ValueError):
+            settings.load_run(text.replace(old, new))
+
+
+def test_expressions_are_read_as_written(spark):
+    from croplens.operators import expressions as E
+
+    rows = spark.createDataFrame([(1, 2.0, 3), (0, -1.5, 3), (5, 0.0, None)], "a int, b double, t int")
+    texts = {
+        "a > 0 && b > 0 || a == 0 ? 1: 2": [1, 1, 2], "a == 1 ? b > 1 ? 7: 8: a == 0 ? 9: 10": [7, 9, 10], "(a + {t}) * 2 - -1": [9, 7, None],
+        "a < {t} ? 1: 0": [1, 1, None], "(a != 5) ? (b >= 2.0 ? 1: 2): 3": [1, 2, 3], "b <= 0.5 ? a / 2: 0": [0, 0.0, 2.5],
+    }
+    got = rows.select(*[E.column(t, {"a", "b", "{t}"}).alias(f"c{k}") for k, t in enumerate(texts)]).collect()
+    assert [[r[k] for r in got] for k in range(len(texts))] == list(texts.values())
+    assert [r[0] for r in rows.select(E.column("a < {t} ? 1: 0", {"a", "{t}"}, True)).collect()] == [1, 1, 0]
+
+
+def test_run_of_all_states_and_years(spark, tmp_path):
+    from croplens.operators import rules
+    from croplens.sources import runs
+
+    run = settings.load_run(published_text())
+    assert runs.plan(spark, run).count() == 451
+    pixels = spark.range(22).select((F.col("id") % 3).cast("int").alias("IRR"), (F.col("id") % 11).cast("int").alias("SUM"), (F.col("id") % 10 / 10).alias("NDVI"), (F.col("id") * 0.7).alias("SLOPE"), (F.col("id") % 2).cast("int").alias("PIVOT"), "id")
+    stack = runs.plan(spark, run).select("state", "year").crossJoin(pixels)
+    few = stack.where("state in ('WA', 'MT') and year in (2000, 2022)")
+
+    def size(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("\n"), len(df._jdf.queryExecution().optimizedPlan().toString())
+
+    plans = [size(rules.refine(few, rules.rule_table(spark, run["postproc"], states, years))) for states, years in ((["WA"], [1999, 2000, 2001]), (run["run"]["states"], run["run"]["years"]))]
+    assert abs(plans[0][1] - plans[1][1]) < 100 and plans[0][0] == plans[1][0]
+    folder = f"file://{tmp_path}/maps"
+    assert runs.execute(stack, run, folder).count() == 451
+    got = spark.read.parquet(folder)
+    assert got.count() == 451 * 22 and runs.pending(runs.plan(spark, run), folder).isEmpty()
+    for state, year in (("AZ", 1990), ("ID", 2010), ("ID", 2011), ("MT", 2008), ("CA", 2020), ("WA", 2025), ("UT", 1985)):
+        own = {r.id: r.IRR for r in rules.postprocess(pixels, state, year).collect()}
+        assert own == {r.id: r.IRR for r in got.where(f"state = '{state}' and year = {year}").collect()}, (state, year)
