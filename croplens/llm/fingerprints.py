@@ -200,8 +200,8 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - cut] + following[:cut]
 
 
-_FOUND = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-_KINDS = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
+_FOUND = "n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+_KINDS = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64())
 
 
 def compared(texts: list[str], ranks: np.ndarray) -> list[pa.Array]:
@@ -210,7 +210,7 @@ def compared(texts: list[str], ranks: np.ndarray) -> list[pa.Array]:
     changed = [edited(t, after).encode() for t, after in zip(texts, texts[1:])]
     new = digests(changed, ranks)
     columns = (
-        [len(t) for t in texts[:-1]], [hashlib.sha256(c).hexdigest() for c in changed], [d.hex() for d in own[:-1]], [d.hex() for d in new],
+        [len(t) for t in texts[:-1]], [hashlib.sha256(c).digest() for c in changed], own[:-1], new,
         [likeness(a, b) for a, b in zip(own, new)], [likeness(a, b) for a, b in zip(own, own[1:])],
     )
     return [pa.array(c, k) for c, k in zip(columns, _KINDS)]
@@ -259,4 +259,5 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), *compared([batch.column(1)[k].as_py(), batch.column(2)[k].as_py()], shared.value)], names[:7])
 
     last = tails.mapInArrow(close, f"id {kind}, {_FOUND}")
-    return done.where("tail is null").select(*names[:7]).unionAll(last).withColumnRenamed("id", id_col)
+    both = done.where("tail is null").select(*names[:7]).unionAll(last)
+    return both.select(F.col("id").alias(id_col), *[F.lower(F.hex(c)).alias(c) if "binary" in t else c for c, t in both.dtypes[1:]])
