@@ -69,7 +69,7 @@ def county_key(state: Column, county: Column) -> Column:
 
 def edges(ring: Column) -> Column:
     """Pairs of neighbouring points; the ring is closed if it isn't."""
-    return F.zip_with(ring, F.concat(F.slice(ring, F.lit(2), F.size(ring) - 1), F.slice(ring, 1, 1)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return F.zip_with(ring, F.concat(F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
 
 def ring_area(ring: Column) -> Column:

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import math
+import operator
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from . import tables as T
 
 #: Semi-major axis and flattening of the GRS80 ellipsoid.
 GRS80 = (6378137.0, 1 / 298.257222101)
@@ -17,43 +22,90 @@ GRS80 = (6378137.0, 1 / 298.257222101)
 CONUS_ALBERS = (29.5, 45.5, 23.0, -96.0)
 
 
-def apart(rows: DataFrame, pairs: DataFrame, key: str, order: Sequence[str], folder: str) -> DataFrame:
+#: Open rows that one task decides together.
+CELL = 50_000
+
+
+def along_curve(box: str, extent: tuple[float, float, float]) -> Column:
+    """Place of a box's centre on a curve through a square (x0, y0, side) that keeps neighbours near each other: its two coordinates, bit by bit."""
+    x0, y0, side = extent
+    grid = lambda k, start: F.floor(((F.col(f"{box}.{k}0") + F.col(f"{box}.{k}1")) / 2 - start) / side * 32767).cast("long")
+    x, y = grid("x", x0), grid("y", y0)
+    bit = lambda v, k: F.shiftleft(F.shiftright(v, k).bitwiseAND(F.lit(1)), k)
+    return reduce(operator.add, [F.shiftleft(bit(x, k), k) + F.shiftleft(bit(y, k), k + 1) for k in range(15)])
+
+
+def decided(cell: pd.DataFrame) -> pd.DataFrame:
+    """(pos, kept) of the rows of a cell that hang on no open row outside it, taken in order.
+
+    Rows with lo -1 name the cell's rows, with lo -2 those that have an open neighbour
+    before them outside; the others are pairs within the cell.
+    """
+    lo, hi = cell["lo"].to_numpy(), cell["hi"].to_numpy()
+    before: dict[int, list[int]] = {p: [] for p in np.sort(hi[lo == -1]).tolist()}
+    waits = set(hi[lo == -2].tolist())
+    for a, b in zip(lo[lo >= 0].tolist(), hi[lo >= 0].tolist()):
+        before[b].append(a)
+    said: dict[int, bool | None] = {}
+    for p, earlier in before.items():
+        states = [said[a] for a in earlier]
+        said[p] = False if True in states else None if None in states or p in waits else True
+    known = [(p, k) for p, k in said.items() if k is not None]
+    return pd.DataFrame(known, columns=["pos", "kept"]).astype({"pos": "int64", "kept": "bool"})
+
+
+def apart(rows: DataFrame, pairs: DataFrame, key: str, order: Sequence[str], folder: str, box: str | None = None, cell: int = CELL) -> DataFrame:
     """The rows that a greedy pass keeps: each, in the given order, that meets no row kept before it.
 
-    pairs lists the (a, b) of keys that meet, in either direction. A round keeps every
-    open row without an open neighbour before it and closes the later neighbours of
-    kept rows; no group is collected. The greedy choice hangs on its own results, so
-    there are up to half as many rounds as the longest chain of rows that meet in
-    order has rows: few for areas in random order, 12 for a path of 24 in its order.
-    Rounds are written below folder, which the executors share.
+    pairs lists the (a, b) of keys that meet, in either direction. Rows are numbered in
+    their order and dealt to cells of about `cell` rows, neighbours by box together. A
+    round decides in each cell all rows that hang on no open row of another cell, closes
+    the neighbours of kept rows everywhere, and deals what is open anew. Once no more than
+    `cell` rows are open one task decides them, so a chain of that length takes one
+    round; longer ones take a round per cell that they run through in order. Tables of a
+    round are written below folder, which the executors share, and deleted after the next.
     """
-    place = F.struct(*order, key)
-    ids = rows.select(F.col(key).alias("ap_k"), place.alias("ap_o"))
-    a = ids.select(F.col("ap_k").alias("a"), F.col("ap_o").alias("ap_a"))
-    b = ids.select(F.col("ap_k").alias("b"), F.col("ap_o").alias("ap_b"))
-    ahead = pairs.join(a, "a").join(b, "b").where("a <> b")
-    first = F.col("ap_a") < F.col("ap_b")
-    edges = ahead.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("lo"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("hi")).distinct()
-
-    def kept(df: DataFrame, name: str) -> DataFrame:
+    spark = rows.sparkSession
+    own = [F.col(key).alias("k"), *[F.col(c).alias(f"o{n}") for n, c in enumerate(order)], *([F.col(box).alias("b")] if box else [])]
+    names = [f"o{n}" for n in range(len(order))]
+    ids = rows.select(*own).groupBy("k").agg(F.min(F.struct(*names)).alias("o"), *([F.first("b").alias("b")] if box else []))
+    ids = T.ranked(ids, [], ["o", "k"], "pos", folder)
+    z = F.xxhash64("k")
+    if box:
+        e = ids.agg(F.min("b.x0"), F.min("b.y0"), F.greatest(F.max("b.x1") - F.min("b.x0"), F.max("b.y1") - F.min("b.y0"))).first()
+        if e[0] is not None:
+            z = along_curve("b", (e[0], e[1], e[2] or 1.0))
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
         path = f"{folder}/{uuid.uuid4().hex}/{name}"
         df.write.parquet(path)
-        return df.sparkSession.read.schema(df.schema).parquet(path)
-
-    edges = kept(edges, "edges")
-    out = kept(ids.join(edges, F.col("ap_k") == F.col("hi"), "left_anti").select("ap_k"), "kept")
-    shut = ids.select(F.col("ap_k").alias("hi")).limit(0)
-    while True:
-        chosen = out.select(F.col("ap_k").alias("lo"))
-        closed = kept(edges.join(chosen, "lo", "left_semi").select("hi").distinct(), "closed")
-        gone = chosen.unionByName(closed.select(F.col("hi").alias("lo")))
-        edges = kept(edges.join(gone, "lo", "left_anti").join(closed, "hi", "left_anti"), "edges")
-        shut = kept(shut.unionByName(closed), "shut")
-        held = ids.select("ap_k").join(out, "ap_k", "left_anti").join(shut, F.col("ap_k") == F.col("hi"), "left_anti")
-        if edges.isEmpty():
-            return rows.join(kept(out.unionByName(held), "kept").withColumnRenamed("ap_k", key), key, "left_semi")
-        free = held.join(edges, F.col("ap_k") == F.col("hi"), "left_anti")
-        out = kept(out.unionByName(free), "kept")
+        return spark.read.schema(df.schema).parquet(path)
+
+    ids = stored(ids.select("k", "pos", z.alias("z")), "rows")
+    a, b = ids.select(F.col("k").alias("a"), F.col("pos").alias("pa")), ids.select(F.col("k").alias("b"), F.col("pos").alias("pb"))
+    edges = stored(pairs.join(a, "a").join(b, "b").where("pa <> pb").select(F.least("pa", "pb").alias("lo"), F.greatest("pa", "pb").alias("hi")).distinct(), "edges")
+    met = edges.select(F.explode(F.array("lo", "hi")).alias("pos")).distinct()
+    opened = stored(ids.select("pos", "z").join(met, "pos", "left_semi"), "open")
+    lost: list[DataFrame] = []  # of each round
+    while n := opened.count():
+        dealt = opened.repartitionByRange(math.ceil(1.3 * n / cell), "z", "pos").withColumn("cell", F.spark_partition_id()) if n > cell else opened.withColumn("cell", F.lit(0))
+        dealt = stored(dealt.select("pos", "cell"), "cells")
+        at = lambda end, dealt=dealt: dealt.select(F.col("pos").alias(end), F.col("cell").alias(f"{end}_cell"))
+        both = edges.join(at("lo"), "lo").join(at("hi"), "hi")
+        inner, outer = both.where("lo_cell = hi_cell"), both.where("lo_cell <> hi_cell")
+        parts = dealt.select(F.lit(-1).cast("long").alias("lo"), F.col("pos").alias("hi"), "cell")
+        parts = parts.unionAll(inner.select("lo", "hi", F.col("hi_cell").alias("cell"))).unionAll(outer.select(F.lit(-2).cast("long"), "hi", "hi_cell").distinct())
+        known = stored(parts.groupBy("cell").applyInPandas(decided, "pos long, kept boolean"), "known")
+        closed = edges.join(known.where("kept").select(F.col("pos").alias("lo")), "lo", "left_semi").select(F.col("hi").alias("pos"))
+        lost.append(stored(closed.unionAll(known.where("not kept").select("pos")).distinct(), "closed"))
+        gone = known.select("pos").unionAll(lost[-1])
+        left = stored(edges.join(gone.withColumnRenamed("pos", "lo"), "lo", "left_anti").join(gone.withColumnRenamed("pos", "hi"), "hi", "left_anti"), "edges")
+        still = stored(opened.join(gone, "pos", "left_anti"), "open")
+        T.drop_tables(edges, opened, dealt, known)
+        edges, opened = left, still
+    closed = reduce(DataFrame.unionAll, lost, ids.select("pos").limit(0))
+    out = ids.join(closed, "pos", "left_semi").select(F.col("k").alias(key))
+    return rows.join(out, key, "left_anti")
 
 
 def crosses(p: Column, q: Column, r: Column, s: Column) -> Column:

@@ -12,6 +12,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
 
 
+#: Rows of a table that is sent to every task.
+BESIDE = 100_000
+
+
+def beside(rows: DataFrame, most: int = BESIDE) -> DataFrame:
+    """rows, marked for a broadcast if they are few; a longer table is shuffled by the join. Counting reads at most so many rows."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
+def drop_tables(*tables: DataFrame) -> None:
+    """Delete Parquet tables that were written for a step and are read no more."""
+    for rows in tables:
+        spark = rows.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in rows.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def label_filter(rows: DataFrame, label: str = "POINT_TYPE", nd: str = "nd_max_gs") -> DataFrame:
     """Drops irrigated points that are too brown and fallow points that are too green; fallow joins class 1."""
     bad = ((F.col(label) == 0) & (F.col(nd) < 0.68)) | ((F.col(label) == 4) & (F.col(nd) > 0.6))
@@ -27,8 +45,8 @@ def ranked(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str
 
     The table is written in ranges of (keys, order) below folder, which the executors
     share; each range is numbered alone and the counts of the ranges before it are
-    added, so that a group of any size is spread over many tasks. The broadcast has a
-    row per range and group in it: about as many as there are partitions and groups.
+    added, so that a group of any size is spread over many tasks. The counts have a row
+    per range and group in it; they are sent to every task only if they are few.
     """
     path, part, begin = f"{folder}/{uuid.uuid4().hex}", "tb_part", "tb_begin"
     ranges = rows.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, *order)
@@ -37,12 +55,36 @@ def ranked(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str
     sizes = written.groupBy(*keys, part).agg(F.count("*").alias("tb_n"))
     before = sizes.withColumn(begin, F.sum("tb_n").over(Window.partitionBy(*keys).orderBy(part)) - F.col("tb_n"))
     before = before.select(*[F.col(k).alias(f"tb_{i}") for i, k in enumerate(keys)], F.col(part).alias("tb_p"), begin)
+    before.write.parquet(f"{path}-counts")
+    before = rows.sparkSession.read.schema(before.schema).parquet(f"{path}-counts")
     number = F.row_number().over(Window.partitionBy(*keys, part).orderBy(*order))
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"tb_{i}")) for i, k in enumerate(keys)], F.col(part) == F.col("tb_p"))
-    both = written.withColumn(name, number).join(F.broadcast(before), same).withColumn(name, (F.col(name) + F.col(begin)).cast("long"))
+    both = written.withColumn(name, number).join(beside(before), same).withColumn(name, (F.col(name) + F.col(begin)).cast("long"))
     return both.select(*rows.columns, name)
 
 
+def low_mean(rows: DataFrame, zone: str, value: str, share: float, folder: str) -> DataFrame:
+    """(zone, trimmed, med): the mean of each zone's values up to the given percentile, and the median; nulls don't count.
+
+    Zones are numbered over ranges of (zone, value); percentiles are drawn between two
+    neighbouring places, so no zone's values are held together.
+    """
+    z = ranked(rows.select(zone, value).where(F.col(value).isNotNull()), [zone], [value], "lm_k", folder)
+    sizes = z.groupBy(F.col(zone).alias("lm_z")).agg(F.count("*").alias("lm_n"))
+    at, k, v = (lambda q: (F.col("lm_n") - 1) * q + 1), F.col("lm_k"), F.col(value)
+    near = lambda q: F.sum(F.when(k == F.floor(at(q)), v * (1 - at(q) + F.floor(at(q)))).when(k == F.floor(at(q)) + 1, v * (at(q) - F.floor(at(q)))))
+    same = F.col(zone).eqNullSafe(F.col("lm_z"))
+    cuts = z.join(beside(sizes), same).groupBy("lm_z").agg(near(share).alias("lm_p"), near(0.5).alias("med"))
+    low = z.join(beside(cuts), same).where(v <= F.col("lm_p") + 1e-9)
+    return low.groupBy(zone).agg(F.avg(value).alias("trimmed"), F.any_value("med").alias("med"))
+
+
+def majority(rows: DataFrame, zone: str, value: str) -> DataFrame:
+    """(zone, majority, purity): the most frequent value of each zone, the smallest of equals, and its share; nulls don't count."""
+    n = rows.where(F.col(value).isNotNull()).groupBy(zone, value).agg(F.count("*").alias("mj_n"))
+    return n.groupBy(zone).agg(F.max_by(value, F.struct("mj_n", -F.col(value))).alias("majority"), (F.max("mj_n") / F.sum("mj_n")).alias("purity"))
+
+
 def first_per(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     """The first n rows of each group in the given order, n being small: Spark drops rows over n before the shuffle."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
@@ -56,7 +98,7 @@ def stratified_third(rows: DataFrame, label: str, order: Sequence[str], folder:
     """
     sizes = rows.groupBy(F.col(label).alias("tb_label")).agg(F.count("*").alias("tb_n"))
     zero = rows.agg(F.count_if(F.col(label) == 0).alias("tb_zero"))
-    both = ranked(rows, [label], order, "tb_rank", folder).join(F.broadcast(sizes), F.col(label).eqNullSafe(F.col("tb_label"))).join(F.broadcast(zero))  # a row per class, and one row
+    both = ranked(rows, [label], order, "tb_rank", folder).join(beside(sizes), F.col(label).eqNullSafe(F.col("tb_label"))).join(F.broadcast(zero))  # zero is one row
     third = F.floor(F.col("tb_zero") / 3)
     keep = (F.col("tb_zero") < 6) | (F.col(label) == 0) | ((F.col("tb_n") >= third) & (F.col("tb_rank") <= third))
     return both.where(keep).select(*rows.columns)

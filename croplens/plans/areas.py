@@ -49,7 +49,7 @@ def protected_areas(spark, sf_dir):
     area = S.ring_area(F.col("ring"))
     z = boxes(spark, sf_dir).where((area >= 8) & (F.size("ring") <= 1000) & (S.compactness(F.col("ring")) >= 0.3))
     z = z.select("id", (-area).alias("order"), S.bounds(F.col("ring")).alias("box"))
-    return P.apart(z, G.box_pairs(z, z, "id", "box", 8.0), "id", ["order"], scratch(spark)).select("id")
+    return P.apart(z, G.box_pairs(z, z, "id", "box", 8.0), "id", ["order"], scratch(spark), "box").select("id")
 
 
 @query(f"{_BOX} SELECT a.id AS a, b.id AS b FROM z a JOIN z b ON a.id < b.id AND a.x0 <= b.x0 + b.w AND b.x0 <= a.x0 + a.w AND a.y0 <= b.y0 + b.h AND b.y0 <= a.y0 + a.h")

@@ -265,8 +265,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY zone ORDER BY c DESC, cls) AS k,
 SELECT zone, cls AS majority, CAST(c AS DOUBLE) / total AS purity FROM r WHERE k = 1""")
 def zonal_majority_purity(spark, sf_dir):
     """Ties go to the smallest class."""
-    n = zoned(spark, sf_dir).groupBy("zone", "cls").agg(F.count("*").alias("c"))
-    return n.groupBy("zone").agg(F.max_by("cls", F.struct(F.col("c"), -F.col("cls"))).alias("majority"), (F.max("c") / F.sum("c")).alias("purity"))
+    return T.majority(zoned(spark, sf_dir), "zone", "cls")
 
 
 @query(f"""{YEAR_MAP}, z AS (SELECT DISTINCT pixel, n_name AS zone FROM obs {_ZONE}), n AS (SELECT zone, s, count(*) AS c FROM z JOIN freq USING (pixel) GROUP BY zone, s),
@@ -280,19 +279,9 @@ def zonal_mode(spark, sf_dir):
 @query(f"""{OBS}, z AS (SELECT n_name AS zone, nd FROM obs {_ZONE}), q AS (SELECT zone, quantile_cont(nd, 0.15) AS p15, median(nd) AS med FROM z GROUP BY zone)
 SELECT zone, round(avg(nd), 6) AS trimmed, round(any_value(med), 6) AS med FROM z JOIN q USING (zone) WHERE nd <= p15 GROUP BY zone""")
 def zonal_trimmed_mean(spark, sf_dir):
-    """Mean of the values up to the 15th percentile, and median, from the places of the values in their zone.
-
-    Zones are numbered over ranges of (zone, value); percentiles are drawn between two
-    neighbouring places, so no zone's values are held together.
-    """
-    z = T.ranked(zoned(spark, sf_dir).select("zone", "nd").where("nd is not null"), ["zone"], ["nd"], "k", scratch(spark))
-    sizes = z.groupBy(F.col("zone").alias("z")).agg(F.count("*").alias("n"))
-    at = lambda q: (F.col("n") - 1) * q + 1
-    near = lambda q: F.sum(F.when(F.col("k") == F.floor(at(q)), F.col("nd") * (1 - at(q) + F.floor(at(q)))).when(F.col("k") == F.floor(at(q)) + 1, F.col("nd") * (at(q) - F.floor(at(q)))))
-    both = z.join(F.broadcast(sizes), F.col("zone") == F.col("z"))  # a row per zone
-    cuts = both.groupBy("z").agg(near(0.15).alias("p15"), near(0.5).alias("med"))
-    low = z.join(F.broadcast(cuts), F.col("zone") == F.col("z")).where(F.col("nd") <= F.col("p15") + 1e-9)
-    return low.groupBy("zone").agg(F.round(F.avg("nd"), 6).alias("trimmed"), F.round(F.any_value("med"), 6).alias("med"))
+    """Mean of the values up to the 15th percentile, and median."""
+    low = T.low_mean(zoned(spark, sf_dir), "zone", "nd", 0.15, scratch(spark))
+    return low.select("zone", F.round("trimmed", 6).alias("trimmed"), F.round("med", 6).alias("med"))
 
 
 @query(f"{OBS} SELECT sensor, yr, CAST(count(*) AS BIGINT) AS scenes FROM obs WHERE ts > TIMESTAMP '1995-02-01' AND ts < TIMESTAMP '2001-06-30' AND dayofyear(ts) > 59 AND dayofyear(ts) < 365 GROUP BY sensor, yr")

@@ -161,3 +161,81 @@ def test_rings_that_hold_or_touch(spark):
         assert spark.range(1).select(P.ring_intersects(box(x, y, w), box(u, v, z))).first()[0] is want
     far = spark.range(1).select(P.ring_distance(F.lit(5.0), F.lit(6.0), box(0, 0, 2)), P.ring_distance(F.lit(1.0), F.lit(1.0), box(0, 0, 2))).first()
     assert far[0] == 5.0 and far[1] == 0.0
+
+
+def greedy(ids, order, pairs):
+    near, kept = {}, set()
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    for i in sorted(ids, key=order):
+        if not near.get(i, set()) & kept:
+            kept.add(i)
+    return kept
+
+
+def test_greedy_choice_in_cells_equals_one_pass(spark, tmp_path):
+    import random
+
+    from croplens.operators import polygons as P
+
+    rng = random.Random(4)
+    spots = {i: (rng.random() * 30, rng.random() * 30) for i in range(400)}
+    pairs = [(a, b) for a in spots for b in spots if a < b and abs(spots[a][0] - spots[b][0]) < 1.2 and abs(spots[a][1] - spots[b][1]) < 1.2]
+    rows = spark.createDataFrame([(i, -(i % 17), (x, y, x + 1, y + 1)) for i, (x, y) in spots.items()], "id long, o long, box struct<x0:double,y0:double,x1:double,y1:double>")
+    met = spark.createDataFrame(pairs + [(b, a) for a, b in pairs[:50]], "a long, b long")
+    want = greedy(spots, lambda i: (-(i % 17), i), pairs)
+    for cell, box in ((60, "box"), (10_000, "box"), (150, None)):
+        got = P.apart(rows, met, "id", ["o"], f"file://{tmp_path}", box, cell)
+        assert {r.id for r in got.collect()} == want and got.columns == rows.columns, (cell, box)
+    assert P.apart(rows.where("false"), met.where("false"), "id", ["o"], f"file://{tmp_path}", "box").count() == 0
+    assert P.apart(rows, met.where("false"), "id", ["o"], f"file://{tmp_path}", "box").count() == 400
+
+
+def test_greedy_choice_of_a_path_takes_a_fixed_number_of_jobs(spark, tmp_path):
+    from croplens.operators import polygons as P
+
+    jobs = []
+    for n in (100, 10_000):
+        rows = spark.range(n).select("id", F.col("id").alias("o"), F.struct(F.col("id").cast("double").alias("x0"), F.lit(0.0).alias("y0"), (F.col("id") + 1.0).alias("x1"), F.lit(1.0).alias("y1")).alias("box"))
+        met = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+        spark.sparkContext.setJobGroup(f"path{n}", "")
+        kept = P.apart(rows, met, "id", ["o"], f"file://{tmp_path}", "box")
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"path{n}")))
+        assert kept.where("id % 2 = 1").count() == 0 and kept.count() == n // 2
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert abs(jobs[0] - jobs[1]) <= 3, jobs
+
+
+def test_shapes_validity_and_runs(spark):
+    import random
+
+    from croplens.operators import shapes as H
+
+    rng = random.Random(2)
+    shape = lambda *rings: [[(float(x), float(y)) for x, y in ring] for ring in rings]
+    box = lambda x, y, w: ((x, y), (x + w, y), (x + w, y + w), (x, y + w), (x, y))
+    cases = {
+        1: (shape(box(0, 0, 9), box(2, 2, 3)), 72.0), 2: (shape(box(0, 0, 9), box(2, 2, 5), box(3, 3, 2)), 60.0), 3: (shape(((0, 0), (4, 4), (4, 0), (0, 4))), None),
+        4: (shape(box(0, 0, 3), box(2, 2, 3)), None), 5: (shape(((0, 0), (4, 0), (2, 0), (2, 3))), None), 6: (shape(((0, 0), (1, 1))), None), 7: (None, None), 8: ([], None),
+        9: (shape(box(0, 0, 3), box(3, 3, 2)), 13.0), 10: (shape(((0, 0), (4, 0), (4, 4), (2, 0), (0, 4))), None), 11: (shape(((0, 0), (0, 0), (3, 0), (3, 3), (3, 3))), 4.5), 12: ([[]], None),
+    }
+    kind = "id int, s array<array<struct<x:double,y:double>>>"
+    rows = spark.createDataFrame([(i, s) for i, (s, _) in cases.items()], kind)
+    got = {r.id: r.a for r in H.valid(rows, "id", "s").select("id", H.area(F.col("s")).alias("a")).collect()}
+    assert got == {i: a for i, (_, a) in cases.items() if a is not None}
+    stars = []
+    for i in range(20):  # concave rings with a hole, corners on and off cell centres
+        cx, cy, n = rng.uniform(10, 50), rng.uniform(10, 50), rng.randint(3, 12)
+        turn = lambda r0, r1: [(cx + (r := rng.uniform(r0, r1)) * np.cos(2 * np.pi * k / n), cy + r * np.sin(2 * np.pi * k / n)) for k in range(n)]  # noqa: E731, B023
+        stars.append((i, shape(turn(4, 15), turn(1, 3)) if i % 2 else shape(((i, 1.5), (i + 6.5, 1.5), (i + 6.5, 8), (i + 3, 4.5), (i, 8)))))
+    stars = spark.createDataFrame(stars, kind)
+    grid = (0.0, 0.0, 1.0)
+    cells = spark.range(4900).select((F.col("id") % 70).alias("i"), F.floor(F.col("id") / 70).alias("j"))
+    want = {(r.id, r.i, r.j) for r in cells.crossJoin(stars).where(H.contains(F.col("i") + 0.5, F.col("j") + 0.5, F.col("s"))).collect()}
+    runs = H.scan_lines(stars, "id", "s", grid)
+    assert {(r.id, r.i, r.j) for r in H.burn(runs, "id").collect()} == want and len(want) > 1000
+    assert {(r.id, r.i, r.j) for r in H.covered(cells, runs).collect()} == want
+    assert {(r.i, r.j) for r in H.clip(cells, stars, "id", "s", grid).collect()} == {w[1:] for w in want}
+    painted = {(r.i, r.j): r.painted for r in H.paint(cells, stars, "id", "s", grid, F.col("id") + 1).collect()}
+    assert painted == {(i, j): max((w[0] + 1 for w in want if w[1:] == (i, j)), default=0) for i in range(70) for j in range(70)}
