@@ -10,15 +10,16 @@ Two documents are compared by the bits that filters share beyond chance.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
-from .common import fresh, materialize
+from .common import fresh
 
 WINDOW = 32
 RUN = 32
@@ -205,7 +206,7 @@ _KINDS = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.fl
 
 
 def compared(texts: list[str], ranks: np.ndarray) -> list[pa.Array]:
-    """The six columns of _FOUND for each text but the last, from it and the text after it."""
+    """The columns of _FOUND for each text but the last, from it and the text after it."""
     own = digests([t.encode() for t in texts], ranks)
     changed = [edited(t, after).encode() for t, after in zip(texts, texts[1:])]
     new = digests(changed, ranks)
@@ -216,11 +217,32 @@ def compared(texts: list[str], ranks: np.ndarray) -> list[pa.Array]:
     return [pa.array(c, k) for c, k in zip(columns, _KINDS)]
 
 
+def dealt(rows: DataFrame, parts: int) -> DataFrame:
+    """rows (id, h, text) in ranges of (id, h), one to a partition and sorted there; the first row of the next range stands last with guard true.
+
+    The ranges begin at keys of a layout of the ids alone, one for each partition, so the texts are
+    shuffled once. The last range has the first row of all as its guard.
+    """
+    first = rows.select("id", "h").repartitionByRange(parts, "id", "h").groupBy(F.spark_partition_id()).agg(F.min(F.struct(F.col("id").isNotNull(), "id", "h")).alias("k"))
+    begin = rows.sparkSession.sparkContext.broadcast(sorted(tuple(r.k) for r in first.collect()))  # a key per range
+
+    @F.arrow_udf("struct<part:int,guard:int>")
+    def place(ids: pa.Array, hashes: pa.Array) -> pa.Array:
+        keys, at = begin.value, []
+        for i, h in zip(ids.to_pylist(), hashes.to_pylist()):
+            k = bisect_right(keys, (i is not None, i, h)) - 1
+            at.append((k, (k - 1) % len(keys) if keys[k] == (i is not None, i, h) else None))
+        return pa.StructArray.from_arrays([pa.array([p for p, _ in at], pa.int32()), pa.array([g for _, g in at], pa.int32())], ["part", "guard"])
+
+    seats = F.filter(F.array(F.struct(F.col("at.part").alias("part"), F.lit(False).alias("guard")), F.struct(F.col("at.guard").alias("part"), F.lit(True).alias("guard"))), lambda s: s["part"].isNotNull())
+    placed = rows.withColumn("at", place("id", "h")).select("id", "h", "text", F.inline(seats))
+    return placed.repartitionById(parts, "part").sortWithinPartitions("guard", "id", "h", "text")
+
+
 def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row.
 
-    Rows are laid out once in ranges of (id, text), where each meets the next one; the last row
-    of a range meets the first of the next range afterwards, one pair per range. The row
+    Rows are laid out once in ranges of (id, text), each with the row that follows it. The row
     after the last is the first; a single row follows itself. Null ids come first, null
     texts count as empty, repeated rows are in turn each other's next, and an empty table
     gives an empty result. Other columns of docs may have any name.
@@ -228,36 +250,24 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     shared = docs.sparkSession.sparkContext.broadcast(rarity(docs, text_col))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    own = [x.split(" ")[0] for x in _FOUND.split(", ")]
-    names = ["id", *own, "part", "head", "tail"]  # head: the text of a range's first row, tail: that of its last one, which is yet to meet the next
-    parts = rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h", "text").withColumn("part", F.spark_partition_id()).drop("h")
+    names = ["id", *[x.split(" ")[0] for x in _FOUND.split(", ")]]
+    laid = dealt(rows, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).select("id", "text", "guard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, part, begun = None, [], None, False  # the rows that wait for their next one
+        ids, texts, over = None, [], False  # the rows that wait for their next one; over: a guard has come
         for batch in batches:
-            begin = 0
+            begin, guards = 0, batch.column(2).to_pylist()
             for chunk in sliced(batch.column(1).cast(pa.binary())):
-                own_ids = batch.column(0).slice(begin, len(chunk))
-                begin += len(chunk)
-                ids, texts, part = own_ids if ids is None else pa.concat_arrays([ids, own_ids]), [*texts, *(t.decode() for t in chunk)], batch.column(2)[0].as_py()
-                if (n := len(texts) - 1) > 0:
-                    head = pa.array([None if begun else texts[0], *[None] * (n - 1)], pa.string())
-                    yield pa.RecordBatch.from_arrays([ids.slice(0, n), *compared(texts, shared.value), pa.array([part] * n, pa.int32()), head, pa.nulls(n, pa.string())], names)
-                    ids, texts, begun = ids.slice(n), texts[n:], True
-        if texts:
-            head = pa.array([None if begun else texts[0]], pa.string())
-            yield pa.RecordBatch.from_arrays([ids, *(pa.nulls(1, k) for k in _KINDS), pa.array([part], pa.int32()), head, pa.array(texts)], names)
-
-    done = materialize(parts.mapInArrow(run, f"id {kind}, {_FOUND}, part int, head string, tail string"), "prints")
-    heads = done.where("head is not null").select("part", "head")  # a row per range, as in all that follows
-    after = heads.select("part", F.lead("head").over(Window.orderBy("part")).alias("after")).join(heads.agg(F.min_by("head", "part").alias("origin")))
-    tails = done.where("tail is not null").select("id", "part", "tail").join(after, "part").select("id", "tail", F.coalesce("after", "origin").alias("after"))
-
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), *compared([batch.column(1)[k].as_py(), batch.column(2)[k].as_py()], shared.value)], names[:7])
-
-    last = tails.mapInArrow(close, f"id {kind}, {_FOUND}")
-    both = done.where("tail is null").select(*names[:7]).unionAll(last)
-    return both.select(F.col("id").alias(id_col), *[F.lower(F.hex(c)).alias(c) if "binary" in t else c for c, t in both.dtypes[1:]])
+                stop = begin + len(chunk)
+                while not over and begin < stop:
+                    cut = next((k + 1 for k in range(begin, stop) if guards[k]), stop)  # up to the first guard; later ones repeat it
+                    over = guards[cut - 1]
+                    own, part = batch.column(0).slice(begin, cut - begin), [t.decode() for t in chunk[: cut - begin]]
+                    ids, texts, begin = own if ids is None else pa.concat_arrays([ids, own]), [*texts, *part], cut
+                    if (n := len(texts) - 1) > 0:
+                        yield pa.RecordBatch.from_arrays([ids.slice(0, n), *compared(texts, shared.value)], names)
+                        ids, texts = ids.slice(n), texts[n:]
+                begin = stop
+
+    found = laid.mapInArrow(run, f"id {kind}, {_FOUND}")
+    return found.select(F.col("id").alias(id_col), *[F.lower(F.hex(c)).alias(c) if "binary" in t else c for c, t in found.dtypes[1:]])
