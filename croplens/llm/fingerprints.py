@@ -84,13 +84,15 @@ def features(texts: Sequence[bytes], ranks: np.ndarray) -> list[list[bytes]]:
     found: list[dict[bytes, None]] = [{} for _ in texts]
     for start in range(0, windows, PIECE):
         lo, hi = max(0, start - RUN + 1), min(windows, start + PIECE + RUN - 1)
-        rank = np.where(own_windows(ends, lo, hi), ranks[classes(x[lo : hi + WINDOW - 1])], NEVER)
+        own = own_windows(ends, lo, hi)
+        rank = np.where(own, ranks[classes(x[lo : hi + WINDOW - 1])], NEVER)
         key = np.full(hi - lo + RUN - 1, NEVER << 20, np.int32)
         key[: hi - lo] = (rank << 20) + np.arange(hi - lo)
         span = 1
         while span < RUN:
             key = np.minimum(key[:-span], key[span:])
             span *= 2
+        key = key[own]  # runs that begin in a text
         wins = np.bincount(key[key < NEVER << 20] & ((1 << 20) - 1), minlength=hi - lo)
         at = np.flatnonzero(wins[start - lo : start - lo + PIECE] >= POPULAR) + start
         for place, text in zip(at.tolist(), np.searchsorted(ends, at, "right").tolist()):
