@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import share_of
 from . import models
 
 
@@ -19,11 +20,6 @@ def joint_counts(rows: DataFrame, keys: Sequence[str], truth: Column, pred: Colu
     return out.withColumns({"prec": share("fp"), "rec": share("fn")})
 
 
-def share_of(key: Column, parts: int = 100, salt: str = "") -> Column:
-    """A number under ``parts`` fixed by a hash of the key: the same row falls in the same share in every run."""
-    return F.conv(F.substring(F.md5(F.concat(F.lit(salt), key.cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") % parts
-
-
 def usable_series(rows: DataFrame, key: str, day: str, value: str, least: float = 0.05) -> DataFrame:
     """Values under ``least`` become null; leap days go, and so do series of nulls only."""
     leap = (F.month(day) == 2) & (F.dayofmonth(day) == 29)
@@ -42,22 +38,12 @@ def absent_as_zero(rows: DataFrame, wanted: Sequence[str]) -> DataFrame:
 
 
 def compare_forests(rows: DataFrame, features: Sequence[str], label: str, key: str, grid: Mapping[str, Sequence], folds: int = 5, top: int = 3) -> list[tuple]:
-    """(rank, settings, mean accuracy) of the best settings over hash-made folds; ties share a rank.
-
-    The grid is the caller's: the number of fits is its size times ``folds``.
-    """
-    fold = share_of(F.col(key), folds)
-    found = []
-    for values in itertools.product(*grid.values()):
-        settings = dict(zip(grid, values))
-        scores = []
-        for k in range(folds):
-            model = models.train_forest(rows.where(fold != k), features, label, **settings)
-            out = models.classify(model, rows.where(fold == k), features)
-            scores.append(out.agg(F.avg((F.col("pred") == F.col(label)).cast("double"))).first()[0] or 0.0)
-        found.append((sum(scores) / folds, settings))
-    ranked = [(1 + sum(other > score for other, _ in found), str(settings), score) for score, settings in found]
-    return sorted(r for r in ranked if r[0] <= top)
+    """(rank, settings, mean accuracy) of the best combinations of depth and trees over hash-made folds; ties share a rank."""
+    to = {"depth": "maxDepth", "trees": "numTrees"}
+    every = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
+    found, _ = models.search(rows, features, label, key, [{to[k]: v for k, v in one.items()} for one in every], folds, top=top)
+    back = {v: k for k, v in to.items()}
+    return sorted((rank, str({back[k]: v for k, v in one.items()}), score) for rank, one, score, _ in found)
 
 
 def feature_curve(rows: DataFrame, features: Sequence[str], label: str, key: str, cls: int = 0, counts: Sequence[int] | None = None, **settings) -> list[tuple[int, str, float | None]]:

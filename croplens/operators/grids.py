@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Semi-major axis and flattening of the WGS84 ellipsoid.
+WGS84 = (6378137.0, 1 / 298.257223563)
+
+
 def slope_aspect(cells: DataFrame, r: str, c: str, e: str, size: float) -> DataFrame:
     """Slope and downslope direction in degrees by Horn's 3x3 weights; cells at the border have none.
 
@@ -51,3 +57,19 @@ def box_pairs(left: DataFrame, right: DataFrame, key: str, box: str, cell: float
     touch = (a("x0") <= b("x1")) & (b("x0") <= a("x1")) & (a("y0") <= b("y1")) & (b("y0") <= a("y1"))
     first = (F.col("ci") == F.floor(F.greatest(a("x0"), b("x0")) / cell)) & (F.col("cj") == F.floor(F.greatest(a("y0"), b("y0")) / cell))
     return placed(left, "a").join(placed(right, "b"), ["ci", "cj"]).where(touch & first).select("a", "b")
+
+
+def zone_area(south: Column, north: Column, width: Column, ellipsoid: tuple[float, float] = WGS84) -> Column:
+    """Square metres of the ellipsoid between two latitudes and a width of longitude, all in degrees."""
+    a, f = ellipsoid
+    e2 = f * (2 - f)
+    e = math.sqrt(e2)
+    s = lambda lat: F.sin(F.radians(lat))
+    q = lambda lat: (s(lat) / (1 - s(lat) * s(lat) * e2) - F.log((1 - s(lat) * e) / (1 + s(lat) * e)) / (2 * e)) * (1 - e2)
+    return (q(north) - q(south)) * F.radians(width) * (a * a / 2)
+
+
+def degree_cell(i: Column, j: Column, origin: tuple[float, float], step: float) -> Column:
+    """(lon, lat, area) of cell (i, j) of a grid of degrees that begins at origin (lon, lat): its centre and its square metres."""
+    west, south = i * step + origin[0], j * step + origin[1]
+    return F.struct((west + step / 2).alias("lon"), (south + step / 2).alias("lat"), zone_area(south, south + step, F.lit(step)).alias("area"))

@@ -1,14 +1,28 @@
-"""Forests, variable importance and principal components with MLlib."""
+"""Forests, their search by cross-validation, predictions with their certainty, variable importance and principal components with MLlib."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import itertools
+import random
+from collections.abc import Mapping, Sequence
+from typing import Any
 
 from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import share_of
+
+#: The deepest trees that the library grows; they stand for trees without a limit.
+DEEPEST = 30
+#: The grid that is searched whole, and the ranges that random settings are drawn from.
+GRID = {"maxDepth": (3, DEEPEST), "features": (1, 3, 10), "split": (2, 3, 10), "bootstrap": (True, False), "impurity": ("gini", "entropy")}
+RANGES = {"maxDepth": (3, DEEPEST), "features": range(1, 11), "split": range(2, 11), "bootstrap": (True, False), "impurity": ("gini", "entropy")}
+
 
 def usable(rows: DataFrame, wanted: Sequence[str]) -> list[str]:
     """The wanted features that the table has, in order."""
@@ -26,6 +40,75 @@ def train_forest(rows: DataFrame, features: Sequence[str], label: str, trees: in
     return forest.fit(assemble(rows, features))
 
 
+def grid_settings(grid: Mapping[str, Sequence] = GRID) -> list[dict[str, Any]]:
+    """Every combination of the grid's values: 72 by default."""
+    return [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
+
+
+def random_settings(n: int = 20, seed: int = 0, ranges: Mapping[str, Sequence] = RANGES) -> list[dict[str, Any]]:
+    """n different draws from the ranges, the same for the same seed."""
+    rng, out = random.Random(seed), []
+    room = 1
+    for values in ranges.values():
+        room *= len(values)
+    while len(out) < min(n, room):
+        one = {name: rng.choice(values) for name, values in ranges.items()}
+        if one not in out:
+            out.append(one)
+    return out
+
+
+def search(
+    rows: DataFrame, features: Sequence[str], label: str, key: str, settings: Sequence[Mapping[str, Any]], folds: int = 5, trees: int = 100, top: int = 3, parallelism: int = 4, budget: int | None = None, seed: int = 1
+) -> tuple[list[tuple[int, dict[str, Any], float, float]], CrossValidatorModel]:
+    """(rank, setting, mean accuracy, its deviation over the folds) of the best settings, equal means sharing a rank, and the model of the best one.
+
+    Rows fall into folds by a hash of their key. A setting may name maxDepth, features
+    (tried at each node), split (the least rows of a node that is split: here half as many
+    in each of its children), bootstrap, impurity and numTrees. budget bounds the
+    number of fits; settings beyond it are left out from the end, so a search can be
+    taken up again with the rest. Fits run side by side as jobs of their own.
+    """
+    if budget is not None:
+        settings = settings[: budget // folds]
+    if not settings:
+        raise ValueError("no setting within the budget")
+    forest = RandomForestClassifier(featuresCol="md_x", labelCol=label, predictionCol="pred", numTrees=trees, seed=seed)
+    param = {"maxDepth": (forest.maxDepth, int), "features": (forest.featureSubsetStrategy, str), "split": (forest.minInstancesPerNode, lambda v: -(-v // 2)), "bootstrap": (forest.bootstrap, bool), "impurity": (forest.impurity, str), "numTrees": (forest.numTrees, int)}
+    maps = [{param[name][0]: param[name][1](value) for name, value in one.items()} for one in settings]
+    score = MulticlassClassificationEvaluator(labelCol=label, predictionCol="pred", metricName="accuracy")
+    over = CrossValidator(estimator=forest, estimatorParamMaps=maps, evaluator=score, numFolds=folds, foldCol="md_fold", parallelism=parallelism)
+    known = assemble(rows, features).select("md_x", label, share_of(F.col(key), folds).cast("int").alias("md_fold")).cache()
+    try:
+        model = over.fit(known)
+    finally:
+        known.unpersist()
+    means = [round(float(m), 12) for m in model.avgMetrics]
+    found = [(1 + sum(other > mean for other in means), dict(one), mean, float(deviation)) for one, mean, deviation in zip(settings, means, model.stdMetrics)]
+    return sorted((f for f in found if f[0] <= top), key=lambda f: (f[0], str(f[1]))), model
+
+
+def holdout(rows: DataFrame, features: Sequence[str], label: str, key: str, share: int = 70, **settings) -> tuple[DataFrame, DataFrame]:
+    """The rows outside a share of the table that a forest learns from, with its predictions, and those of them that it has wrong."""
+    held = share_of(F.col(key)) >= share
+    out = classify(train_forest(rows.where(~held), features, label, **settings), rows.where(held), features)
+    return out, out.where(F.col("pred") != F.col(label))
+
+
+def infer(model, rows: DataFrame, features: Sequence[str], label: str, classes: int = 4, least: float = 0.6) -> DataFrame:
+    """rows with pred, prob (that of the class given), static and uncertain.
+
+    static says that class and label agree; with two classes every label over 0 counts as
+    1 first. Points that changed or whose class has a probability under `least` are
+    uncertain. Rows with a null feature drop out; a null label is not static.
+    """
+    out = model.transform(assemble(rows, features)).withColumn("prob", F.array_max(vector_to_array("probability")))
+    own = F.when(F.col(label) > 0, 1).otherwise(F.col(label)) if classes == 2 else F.col(label)
+    static = F.coalesce((own == F.col("pred")).cast("int"), F.lit(0))
+    out = out.withColumns({"pred": F.col("pred").cast("int"), "static": static, "uncertain": ((static == 0) | (F.col("prob") < least)).cast("int")})
+    return out.drop("md_x", "rawPrediction", "probability")
+
+
 def classify(model, rows: DataFrame, features: Sequence[str]) -> DataFrame:
     out = model.transform(assemble(rows, features))
     return out.drop("md_x", "rawPrediction", "probability")

@@ -40,26 +40,37 @@ def day_of(ts: str) -> Column:
 
 
 def seasonal_stack(rows: DataFrame, pixel: str, ts: str, windows: Sequence[tuple[str, int, int, int]]) -> DataFrame:
-    """Composites of each pixel and year over all windows, from one scan and one shuffle.
+    """Composites of each pixel and year over all windows.
 
-    A row counts for its own year and for those that look back on it. Windows of the
-    year itself have the means of the bands and the greatest index values; those of
-    earlier years the indexes only.
+    Observations are aggregated once, by pixel and their own year; the windows of earlier
+    years are then that small map shifted by a year or two. Windows of the year itself
+    have the means of the bands and the greatest index values; those of earlier years
+    the indexes only.
     """
     green, red, nir, swir, blue = (F.col(b) for b in ("B3", "B4", "B5", "B6", "B2"))
     index = {"nd": S.normalized_difference(nir, red), "nw": S.normalized_difference(nir, swir), "evi": S.evi(nir, red, blue), "gi": S.ratio(nir, green)}
+    each = rows.select(pixel, *BANDS, *[c.alias(n) for n, c in index.items()], day_of(ts).alias("day"), F.year(ts).alias("own"))
+    greatest = lambda name: [f"nd_max_{name}", f"nd_mean_{name}"] if name in ("gs", "m1", "m2") else [f"nd_{name}"]
+    wanted = {name: [*([f"{b}_{name}" for b in BANDS] if not back else []), *greatest(name), *[f"{i}_{name}" for i in ("nw", "evi", "gi")]] for name, back, _, _ in windows}
+    made, stands, known = [], {}, {}
+    for name, back, first, stop in sorted(windows, key=lambda w: w[1]):  # stands: the column of a year's own map for each wanted one
+        inside = (F.col("day") >= first) & (F.col("day") < stop)
+        for column in wanted[name]:
+            part = column.removesuffix(f"_{name}")
+            value = (F.avg if part in BANDS or part == "nd_mean" else F.max)(F.when(inside, F.col(part.split("_")[0])))
+            key = (part.replace("nd_max", "nd"), first, stop)
+            if key not in known:
+                known[key] = f"k{len(known)}"
+                made.append(value.alias(known[key]))
+            stands[column] = known[key]
+    own = each.groupBy(pixel, "own").agg(*made)
     furthest = max(back for _, back, _, _ in windows)
-    each = rows.select(pixel, *BANDS, *[c.alias(n) for n, c in index.items()], day_of(ts).alias("day"), F.year(ts).alias("own"), F.explode(F.sequence(F.year(ts), F.year(ts) + furthest)).alias("yr"))
-    made = []
-    for name, back, first, stop in windows:
-        inside = (F.col("yr") - F.col("own") == back) & (F.col("day") >= first) & (F.col("day") < stop)
-        of = lambda c, inside=inside: F.when(inside, F.col(c))
-        if not back:
-            made += [F.avg(of(b)).alias(f"{b}_{name}") for b in BANDS]
-        whole = name in ("gs", "m1", "m2")
-        made += [F.max(of("nd")).alias(f"nd_max_{name}"), F.avg(of("nd")).alias(f"nd_mean_{name}")] if whole else [F.max(of("nd")).alias(f"nd_{name}")]
-        made += [F.max(of(i)).alias(f"{i}_{name}") for i in ("nw", "evi", "gi")]
-    return with_sums(each.groupBy(pixel, "yr").agg(*made))
+    shifted = own.withColumn("past", F.explode(F.sequence(F.lit(0), F.lit(furthest))))
+    back_of = {column: back for name, back, _, _ in windows for column in wanted[name]}
+    picked = shifted.groupBy(pixel, (F.col("own") + F.col("past")).alias("yr")).agg(
+        *[F.max(F.when(F.col("past") == back_of[c], F.col(stands[c]))).alias(c) for name, *_ in windows for c in wanted[name]]
+    )  # a year has one row of each of the years before it, so the greatest is the only one
+    return with_sums(picked)
 
 
 def with_sums(stack: DataFrame) -> DataFrame:

@@ -63,6 +63,35 @@ def ranked(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str
     return both.select(*rows.columns, name)
 
 
+def aligned(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left and right side by side by key, with paired: 1 where both have the key, else 0; keys must not repeat within a side."""
+    a, b = left.withColumn("al_a", F.lit(1)), right.withColumn("al_b", F.lit(1))
+    return a.join(b, key, "full").withColumn("paired", F.coalesce(F.col("al_a") * F.col("al_b"), F.lit(0))).drop("al_a", "al_b")
+
+
+def merged(under: Column, over: Column) -> Column:
+    """A map with another one's entries set over it; null values set over nothing, null maps are empty."""
+    under, over = (F.coalesce(m, F.create_map().cast("map<string,string>")) for m in (under, over))
+    over = F.map_filter(over, lambda _, v: v.isNotNull())
+    return F.map_concat(F.map_filter(under, lambda k, _: ~F.map_contains_key(over, k)), over)
+
+
+def ordinals(rows: DataFrame, column: str, folder: str, name: str = "ordinal") -> DataFrame:
+    """(column, ordinal): the distinct values of a column in order, numbered from 0 over ranges; nulls have none.
+
+    No task and not the driver holds the set of values.
+    """
+    values = rows.select(column).where(F.col(column).isNotNull()).distinct()
+    return ranked(values, [], [column], name, folder).withColumn(name, F.col(name) - 1)
+
+
+def encode(rows: DataFrame, column: str, known: DataFrame, name: str = "ordinal", unseen: int = 0) -> DataFrame:
+    """rows with the ordinal of a column's value; unseen for values without one, and for nulls."""
+    own = known.select(F.col(column).alias("en_v"), F.col(name).alias("en_n"))
+    both = rows.join(beside(own), F.col(column) == F.col("en_v"), "left")
+    return both.withColumn(name, F.coalesce("en_n", F.lit(unseen))).drop("en_v", "en_n")
+
+
 def low_mean(rows: DataFrame, zone: str, value: str, share: float, folder: str) -> DataFrame:
     """(zone, trimmed, med): the mean of each zone's values up to the given percentile, and the median; nulls don't count.
 

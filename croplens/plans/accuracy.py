@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import accuracy as A
+from ..operators import models as M
 from ..operators import tables as T
 from .models import vectors
 from .rasters import OBS, YEAR_MAP, observations, year_map
@@ -28,11 +29,11 @@ def accuracy_by_state_year(spark, sf_dir):
     return out.withColumns({c: F.round(c, 6) for c in ("prec", "rec")})
 
 
-@query("SELECT s_nationkey AS state, CAST(sum(CAST(s_acctbal AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM supplier GROUP BY ROLLUP (s_nationkey)")
+@query("SELECT c_nationkey AS state, c_mktsegment AS project, count(*) AS n, CAST(sum(CAST(c_acctbal AS DECIMAL(18, 2))) AS DOUBLE) AS total FROM customer GROUP BY ROLLUP (c_nationkey, c_mktsegment)")
 def project_rollup(spark, sf_dir):
-    """Sum per state and, with a null state, over all."""
-    money = F.sum(F.col("s_acctbal").cast("decimal(18,2)")).cast("double").alias("total")
-    return table(spark, sf_dir, "supplier").rollup(F.col("s_nationkey").alias("state")).agg(money)
+    """Count and sum per project of each state, per state with a null project, and over all."""
+    money = F.sum(F.col("c_acctbal").cast("decimal(18,2)")).cast("double").alias("total")
+    return table(spark, sf_dir, "customer").rollup(F.col("c_nationkey").alias("state"), F.col("c_mktsegment").alias("project")).agg(F.count("*").alias("n"), money)
 
 
 @query(
@@ -208,12 +209,10 @@ def season_windows(spark, sf_dir):
 
 @query()
 def forest_search(spark, sf_dir):
-    """The best of four settings over two folds; a forest's trees have no SQL form, so rows only."""
+    """The best of the first four settings of the grid over two folds; a forest's trees have no SQL form, so rows only."""
     names = [f"f{i}" for i in range(64)]
-    rows = vectors(spark, sf_dir).select("vec_id", "label", *names).cache()
-    found = A.compare_forests(rows, names, "label", "vec_id", {"depth": [3, 6], "trees": [5, 10]}, folds=2)
-    rows.unpersist()
-    return spark.createDataFrame(found, "rank int, settings string, score double")
+    found, _ = M.search(vectors(spark, sf_dir), names, "label", "vec_id", M.grid_settings(), folds=2, trees=10, budget=8)
+    return spark.createDataFrame([(rank, str(one), mean, deviation) for rank, one, mean, deviation in found], "rank int, settings string, score double, deviation double")
 
 
 @query()

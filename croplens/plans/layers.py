@@ -125,12 +125,17 @@ def area_units(spark, sf_dir):
     return rows.select("k", F.round(acres, 6).alias("acres"), F.round(acres / S.ACRES_PER_SQ_KM, 9).alias("km2"))
 
 
-@query("SELECT p_size % 4 AS truth, count(*) AS n, " + ", ".join(f"count(*) FILTER (WHERE {c}) AS {n}" for n, c in {"first": "p_size % 4 = a", "second": "p_size % 4 = b", "both": "p_size % 4 = a AND a = b", "neither": "p_size % 4 <> a AND p_size % 4 <> b", "agree": "a = b"}.items()) + " FROM (SELECT p_size, p_partkey % 4 AS a, (p_partkey + p_size) % 4 AS b FROM part) GROUP BY 1")
+_TWO = {"first": "t = a", "second": "t = b", "both": "t = a AND a = b", "neither": "t <> a AND t <> b", "agree": "a = b"}
+
+
+@query(f"{YEAR_MAP}, m AS (SELECT t.irr AS t, a.irr AS a, b.irr AS b FROM ym t JOIN ym a ON a.pixel = t.pixel AND a.yr = 2017 JOIN ym b ON b.pixel = t.pixel AND b.yr = 2016 WHERE t.yr = 2018) "
+       "SELECT t AS truth, count(*) AS n, " + ", ".join(f"count(*) FILTER (WHERE {c}) AS {n}" for n, c in _TWO.items()) + " FROM m GROUP BY t")
 def two_model_report(spark, sf_dir):
-    """Rows of each class that two models' predictions have right, each, both or neither, and where they agree."""
-    t, a, b = F.col("p_size") % 4, F.col("p_partkey") % 4, (F.col("p_partkey") + F.col("p_size")) % 4
-    counts = {"first": t == a, "second": t == b, "both": (t == a) & (a == b), "neither": (t != a) & (t != b), "agree": a == b}
-    return table(spark, sf_dir, "part").groupBy(t.alias("truth")).agg(F.count("*").alias("n"), *[F.count_if(c).alias(n) for n, c in counts.items()])
+    """Pixels of each class of a year's map that two others, the maps of the two years before, have right: each, both or neither, and where they agree."""
+    map_of = lambda yr, name: years.where(F.col("yr") == yr).select("pixel", F.col("irr").alias(name))
+    years = year_map(observations(spark, sf_dir))
+    both = map_of(2018, "t").join(map_of(2017, "a"), "pixel").join(map_of(2016, "b"), "pixel")
+    return both.groupBy(F.col("t").alias("truth")).agg(F.count("*").alias("n"), *[F.count_if(F.expr(c.replace("<>", "!="))).alias(n) for n, c in _TWO.items()])
 
 
 @query("SELECT event_id, user_id, json_extract_string(props, '$.k') AS k FROM events")

@@ -30,6 +30,21 @@ def rf_wide_bags(spark, sf_dir):
     return M.classify(model, rows.where("vec_id % 3 = 0"), FEATURES).select("vec_id", "label", F.col("pred").cast("int").alias("pred"))
 
 
+@query()
+def inferred_points(spark, sf_dir):
+    """Every point's class from a forest of the even ones, with its certainty, and whether it kept its label."""
+    rows = vectors(spark, sf_dir)
+    model = M.train_forest(rows.where("vec_id % 2 = 0"), FEATURES, "label", trees=150)
+    return M.infer(model, rows, FEATURES, "label").select("vec_id", "label", "pred", F.round("prob", 6).alias("prob"), "static", "uncertain")
+
+
+@query()
+def holdout_errors(spark, sf_dir):
+    """The points of a third of the table that a forest of the rest has wrong."""
+    _, wrong = M.holdout(vectors(spark, sf_dir), FEATURES, "label", "vec_id", trees=50)
+    return wrong.select("vec_id", "label", F.col("pred").cast("int").alias("pred"))
+
+
 @query()
 def forest_trees(spark, sf_dir):
     """The trees of a forest of all rows, written out as conditions."""

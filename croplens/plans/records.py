@@ -317,11 +317,11 @@ def json_props_parse(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-@query("SELECT p_partkey, 'WA' AS state, CAST(1985 + p_partkey % 40 AS BIGINT) AS yr FROM part")
+@query("SELECT c_custkey, regexp_extract(c_name, '^([A-Za-z]+)#0*([0-9]+)$', 1) AS kind, CAST(nullif(regexp_extract(c_name, '^([A-Za-z]+)#0*([0-9]+)$', 2), '') AS BIGINT) AS number FROM customer")
 def catalog_name_regex(spark, sf_dir):
-    name = F.concat(F.lit("comp/WA_"), (F.col("p_partkey") % 40 + 1985).cast("string"))
-    pick = lambda k: F.regexp_extract("name", r"([A-Z]{2})_(\d{4})$", k)
-    return table(spark, sf_dir, "part").select("p_partkey", name.alias("name")).select("p_partkey", pick(1).alias("state"), pick(2).cast("long").alias("yr"))
+    """Names taken apart by pattern: what stands before the sign, and the number after it without its zeros."""
+    pick = lambda k: F.regexp_extract("c_name", r"^([A-Za-z]+)#0*([0-9]+)$", k)
+    return table(spark, sf_dir, "customer").select("c_custkey", pick(1).alias("kind"), F.nullif(pick(2), F.lit("")).cast("long").alias("number"))
 
 
 @query("SELECT p_partkey, '2024-01-0' || d AS day, CAST(p_size * d AS BIGINT) AS v FROM part, (SELECT unnest([1, 2, 3]) AS d) WHERE p_size * d >= 5")
@@ -333,9 +333,9 @@ def unpivot_dates(spark, sf_dir):
 @query("SELECT p_partkey, coalesce(k, 0) AS code FROM part LEFT JOIN (SELECT p_type AS t, CAST(row_number() OVER (ORDER BY p_type) - 1 AS BIGINT) AS k FROM (SELECT DISTINCT p_type FROM part WHERE p_partkey % 3 = 0)) ON p_type = t")
 def category_ordinal(spark, sf_dir):
     """Ordinal of a category in the training share's dictionary; unseen ones are 0."""
-    p = table(spark, sf_dir, "part")
-    seen = p.where("p_partkey % 3 = 0").agg(F.array_sort(F.collect_set("p_type")).alias("s"))  # a part type's few hundred names
-    return p.join(F.broadcast(seen)).select("p_partkey", F.greatest(F.array_position("s", F.col("p_type")) - 1, F.lit(0)).cast("long").alias("code"))
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_type")
+    known = T.ordinals(p.where("p_partkey % 3 = 0"), "p_type", scratch(spark), "code")
+    return T.encode(p, "p_type", known, "code").select("p_partkey", "code")
 
 
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))), 6) AS norm FROM embeddings")

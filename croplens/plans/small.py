@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..operators import grids as G
 from ..operators import polygons as P
 from ..operators import tables as T
 from .registry import query, scratch, table
@@ -24,21 +25,33 @@ def lookup_matched_count(spark, sf_dir):
     return both.groupBy(F.col("p_brand").alias("brand")).agg(F.count("s_suppkey").alias("matched"), (F.count("*") - F.count("s_suppkey")).alias("skipped"))
 
 
-@query("SELECT p_partkey AS k, p_size AS a, s_acctbal AS b FROM part JOIN supplier ON p_partkey = s_suppkey")
+@query("SELECT coalesce(a.k, b.k) AS k, a.n AS a, b.bal AS b, CAST(a.k IS NOT NULL AND b.k IS NOT NULL AS INT) AS paired FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_acctbal > 9000 GROUP BY 1) a "
+       "FULL JOIN (SELECT s_nationkey AS k, CAST(sum(CAST(s_acctbal AS DECIMAL(18, 2))) AS DOUBLE) AS bal FROM supplier WHERE s_acctbal > 5000 GROUP BY 1) b ON a.k = b.k")
 def aligned_by_key(spark, sf_dir):
-    """Two tables side by side, by their key instead of their row order."""
-    return table(spark, sf_dir, "part").join(table(spark, sf_dir, "supplier"), F.col("p_partkey") == F.col("s_suppkey")).select(F.col("p_partkey").alias("k"), F.col("p_size").alias("a"), F.col("s_acctbal").alias("b"))
+    """Two tables side by side by their key instead of their row order; keys that only one has are marked, so that unequal key sets show."""
+    a = table(spark, sf_dir, "customer").where("c_acctbal > 9000").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("a"))
+    b = table(spark, sf_dir, "supplier").where("s_acctbal > 5000").groupBy(F.col("s_nationkey").alias("k")).agg(F.sum(F.col("s_acctbal").cast("decimal(18,2)")).cast("double").alias("b"))
+    return T.aligned(a, b, "k")
 
 
-_GEO = """WITH g AS (SELECT p_partkey AS k, CASE p_size % 3 WHEN 0 THEN '{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1]]]}' WHEN 1 THEN '{"type":"Point","coordinates":[0,0]}' END AS geo FROM part)"""
+_GEO = """WITH g AS (SELECT s_suppkey AS k, CAST(s_suppkey * 13 % 100 AS VARCHAR) AS x, CAST(s_nationkey AS VARCHAR) AS y, CAST(s_suppkey * 13 % 100 + 1 AS VARCHAR) AS z FROM supplier)"""
 
 
-@query(_GEO + " SELECT k FROM g WHERE json_extract_string(geo, '$.type') = 'Polygon'")
+@query(_GEO + " SELECT k, CASE WHEN k % 4 = 0 THEN 'MultiPolygon' ELSE 'Polygon' END AS kind, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM g WHERE k % 4 IN (0, 1)")
 def geometry_type_filter(spark, sf_dir):
-    polygon, point = '{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1]]]}', '{"type":"Point","coordinates":[0,0]}'
-    kind = F.col("p_size") % 3
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.when(kind == 0, polygon).when(kind == 1, point).alias("geo"))
-    return rows.where(F.get_json_object("geo", "$.type") == "Polygon").select("k")
+    """Features whose geometry is of polygons, with its first corner; points and collections go, as do records that are no geometry."""
+    k = F.col("s_suppkey")
+    x, y = (k * 13 % 100).cast("string"), F.col("s_nationkey").cast("string")
+    z = (k * 13 % 100 + 1).cast("string")
+    ring = F.concat(F.lit("[["), x, F.lit(","), y, F.lit("],["), z, F.lit(","), y, F.lit("],["), z, F.lit(",99],["), x, F.lit(","), y, F.lit("]]"))
+    many = F.concat(F.lit('{"type":"MultiPolygon","coordinates":[['), ring, F.lit("]]}"))
+    one = F.concat(F.lit('{"coordinates":['), ring, F.lit('],"type":"Polygon"}'))
+    spot = F.concat(F.lit('{"type":"Point","coordinates":['), x, F.lit(","), y, F.lit("]}"))
+    rows = table(spark, sf_dir, "supplier").select(k.alias("k"), F.when(k % 4 == 0, many).when(k % 4 == 1, one).when(k % 4 == 2, spot).otherwise(F.col("s_name")).alias("geo"))
+    kind = F.get_json_object("geo", "$.type")
+    found = rows.withColumn("kind", kind).where(F.col("kind").isin("Polygon", "MultiPolygon"))
+    corner = lambda n: F.coalesce(F.get_json_object("geo", f"$.coordinates[0][0][0][{n}]"), F.get_json_object("geo", f"$.coordinates[0][0][{n}]")).cast("double")
+    return found.select("k", "kind", corner(0).alias("x"), corner(1).alias("y"))
 
 
 @query("SELECT o_orderkey AS k, CAST(year(o_orderdate) AS BIGINT) AS yr FROM orders WHERE o_orderstatus = 'F' AND (o_orderpriority <> '1-URGENT' OR year(o_orderdate) = 1997)")
@@ -49,19 +62,22 @@ def level_flag_filter(spark, sf_dir):
     return rows.select(F.col("o_orderkey").alias("k"), yr.cast("long").alias("yr"))
 
 
-CENSUS = {"l_returnflag": "N", "l_linestatus": "O", "l_linenumber": 1}
+#: Terms of the filter, each of which leaves some rows out.
+CENSUS = {"l_returnflag": "N", "l_linestatus": "O"}
+_CENSUS_SQL = """l_returnflag = 'N' AND l_linestatus = 'O' AND year(l_shipdate) >= 1996 AND month(l_shipdate) <> 2 AND l_quantity >= 3 AND l_quantity <= 48
+AND l_discount > 0 AND l_tax < 0.08 AND l_linenumber <= 6 AND l_extendedprice > 5000 AND l_suppkey > 1"""
 
 
-@query("SELECT l_orderkey AS k, l_quantity AS v FROM lineitem WHERE l_returnflag = 'N' AND l_linestatus = 'O' AND l_linenumber = 1 AND year(l_shipdate) = 1998 AND month(l_shipdate) = 6 AND l_quantity >= 1 AND l_quantity <= 50 AND l_discount >= 0 AND l_tax >= 0 AND l_suppkey > 0 AND l_partkey > 0")
+@query(f"SELECT l_orderkey AS k, l_linenumber AS line, l_quantity AS v FROM lineitem WHERE {_CENSUS_SQL}")
 def census_filter(spark, sf_dir):
     """Eleven terms, all of which must hold; they reach the scan."""
     c = F.col
     terms = [c(k) == v for k, v in CENSUS.items()]
-    terms += [F.year("l_shipdate") == 1998, F.month("l_shipdate") == 6, c("l_quantity") >= 1, c("l_quantity") <= 50, c("l_discount") >= 0, c("l_tax") >= 0, c("l_suppkey") > 0, c("l_partkey") > 0]
+    terms += [F.year("l_shipdate") >= 1996, F.month("l_shipdate") != 2, c("l_quantity") >= 3, c("l_quantity") <= 48, c("l_discount") > 0, c("l_tax") < 0.08, c("l_linenumber") <= 6, c("l_extendedprice") > 5000, c("l_suppkey") > 1]
     rows = table(spark, sf_dir, "lineitem")
     for term in terms:
         rows = rows.where(term)
-    return rows.select(c("l_orderkey").alias("k"), c("l_quantity").alias("v"))
+    return rows.select(c("l_orderkey").alias("k"), c("l_linenumber").alias("line"), c("l_quantity").alias("v"))
 
 
 @query("SELECT p_partkey AS k, p_size / 25.0::DOUBLE AS share FROM part WHERE p_size / 25.0::DOUBLE > 0 AND p_size / 25.0::DOUBLE <= 1.01")
@@ -93,14 +109,14 @@ def map_without_nulls(spark, sf_dir):
     return rows.select("k", F.explode("props").alias("m", "v"))
 
 
-@query("SELECT p_partkey AS k, CASE WHEN p_size % 4 = 0 THEN 'v2' ELSE 'v1' END AS version, 'base' AS source FROM part")
+@query("""WITH e AS (SELECT user_id, event_type, arg_min(props, (ts, event_id)) AS old, arg_max(props, (ts, event_id)) AS new, arg_max(event_id, (ts, event_id)) AS last FROM events GROUP BY user_id, event_type)
+SELECT user_id, event_type, coalesce(json_extract_string(new, '$.k'), json_extract_string(old, '$.k')) AS k, CAST(last AS VARCHAR) AS source FROM e""")
 def property_merge(spark, sf_dir):
-    """Properties of an image with others set over them: later values win."""
-    base = F.create_map(F.lit("version"), F.lit("v1"), F.lit("source"), F.lit("base"))
-    over = F.when(F.col("p_size") % 4 == 0, F.create_map(F.lit("version"), F.lit("v2"))).otherwise(F.create_map().cast("map<string,string>"))
-    kept = F.map_filter(base, lambda k, _: ~F.map_contains_key(F.col("over"), k))
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), over.alias("over"))
-    return rows.select("k", F.map_concat(kept, "over").alias("m")).select("k", F.col("m")["version"].alias("version"), F.col("m")["source"].alias("source"))
+    """Properties of the first record of each kind with those of the last one set over them, and the last one's id as source: later values win."""
+    parsed, place = F.from_json("props", "map<string,string>"), F.struct("ts", "event_id")
+    e = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min_by(parsed, place).alias("old"), F.max_by(parsed, place).alias("new"), F.max_by("event_id", place).cast("string").alias("last"))
+    added = F.create_map(F.lit("source"), F.col("last"))
+    return e.select("user_id", "event_type", T.merged(T.merged(F.col("old"), F.col("new")), added).alias("m")).select("user_id", "event_type", F.col("m")["k"].alias("k"), F.col("m")["source"].alias("source"))
 
 
 @query("SELECT p_partkey AS k, CAST(coalesce(CASE WHEN p_size % 3 > 0 THEN p_size - 10 END, 0) > 0 AS BIGINT) AS water FROM part")
@@ -193,3 +209,14 @@ def label_rasters(spark, sf_dir):
     kind, one = F.col("kind"), F.lit(1).cast("long")
     inner = P.buffered_inside(F.col("x"), F.col("y"), F.col("ring"), -50.0)
     return both.groupBy("k").agg(F.max(F.when((kind == 0) & (F.col("yr") == 2015), one)).alias("irrigated"), F.max(F.when(kind == 1, one)).alias("dryland"), F.max(F.when((kind == 2) & inner, one)).alias("negative"))
+
+
+@query("""WITH c AS (SELECT p_partkey AS k, p_partkey % 480 AS i, p_size AS j, p_retailprice AS v FROM part),
+z AS (SELECT k, i, j, v, 0.0066943799901413165::DOUBLE AS e2, sin(radians(30.0 + j * 0.25)) AS a, sin(radians(30.0 + j * 0.25 + 0.25)) AS b FROM c),
+q AS (SELECT *, (1 - e2) * (b / (1 - e2 * b * b) - ln((1 - sqrt(e2) * b) / (1 + sqrt(e2) * b)) / (2 * sqrt(e2))) - (1 - e2) * (a / (1 - e2 * a * a) - ln((1 - sqrt(e2) * a) / (1 + sqrt(e2) * a)) / (2 * sqrt(e2))) AS d FROM z)
+SELECT j, count(*) AS n, round(avg(-120 + i * 0.25 + 0.125), 6) AS lon, any_value(30 + j * 0.25 + 0.125) AS lat, round(sum(d * radians(0.25) * 6378137.0 * 6378137.0 / 2) / 4046.86, 3) AS acres FROM q GROUP BY j""")
+def degree_areas(spark, sf_dir):
+    """Acres of the cells of a quarter-degree grid by line, from each cell's own area on the ellipsoid."""
+    cell = G.degree_cell(F.col("p_partkey") % 480, F.col("p_size"), (-120.0, 30.0), 0.25)
+    rows = table(spark, sf_dir, "part").select(F.col("p_size").alias("j"), cell.alias("c"))
+    return rows.groupBy("j").agg(F.count("*").alias("n"), F.round(F.avg("c.lon"), 6).alias("lon"), F.any_value("c.lat").alias("lat"), F.round(F.sum("c.area") / 4046.86, 3).alias("acres"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import stacks as K
 from ..streaming import events as E
 from .registry import query, scratch
 
@@ -27,3 +28,20 @@ def stream_once(spark, sf_dir):
     """The table is read twice over as a stream; each event arrives once."""
     stream = E.read(spark, sf_dir, "events.parquet")
     return E.drain(E.once(stream.unionByName(stream), "event_id", "ts").select("event_id", "user_id", "value"), scratch(spark), "append").drop(E.BATCH)
+
+
+def _seasons_sql() -> str:
+    inside = lambda back, first, stop: f"FILTER (WHERE yr - own = {back} AND day >= {first} AND day < {stop})"
+    cols = [f"round(avg(v) {inside(*w)}, 4) AS mean_{n}, max(v) {inside(*w)} AS max_{n}" for n, *w in K.NORTH]
+    some = " OR ".join(f"(yr - own = {back} AND day >= {first} AND day < {stop})" for _, back, first, stop in K.NORTH)
+    return f"""WITH e AS (SELECT o_custkey AS cust, CAST(year(o_orderdate) + back AS INT) AS yr, year(o_orderdate) AS own, month(o_orderdate) * 100 + day(o_orderdate) AS day, CAST(o_totalprice AS DOUBLE) AS v FROM orders, range(3) b(back)),
+m AS (SELECT max(o_orderdate) - INTERVAL 2 DAY AS mark FROM orders)
+SELECT cust, yr, {", ".join(cols)} FROM e, m WHERE ({some}) AND make_date(yr, 12, 31) <= mark GROUP BY cust, yr"""
+
+
+@query(_seasons_sql())
+def stream_seasons(spark, sf_dir):
+    """Seasonal windows of each customer's orders, as the stream closes the years."""
+    stream = E.read(spark, sf_dir, "orders.parquet").withColumnRenamed("o_custkey", "cust")
+    rows = E.drain(E.seasons(stream, "cust", "o_orderdate", "o_totalprice"), scratch(spark), "append").drop(E.BATCH)
+    return rows.select("cust", "yr", *[F.round(c, 4).alias(c) if c.startswith("mean") else c for c in rows.columns[2:]])

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator, Sequence
+from datetime import datetime
+from zoneinfo import ZoneInfo
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType
 
+from ..operators import stacks as K
+
 BATCH = "st_batch"
 
 
@@ -31,6 +40,51 @@ def once(stream: DataFrame, key: str, ts: str, late: str = "2 days") -> DataFram
     return stream.withColumn("st_ts", F.col(ts).cast("timestamp")).withWatermark("st_ts", late).dropDuplicatesWithinWatermark([key]).drop("st_ts")
 
 
+def seasons(stream: DataFrame, key: str, ts: str, value: str, windows: Sequence[tuple[str, int, int, int]] = K.NORTH, late: str = "2 days") -> DataFrame:
+    """A row per key and year with mean and greatest value of each window, those of the two years before among them.
+
+    Windows are uneven and look back, so each key keeps a sum per window of the last
+    years and a timer for the first year that is still open. The row of a year is sent
+    once the watermark has passed the year's last window; what no later year looks back
+    on is forgotten then. Rows behind the watermark are dropped, as are null values,
+    null keys and rows in no window.
+    """
+    spans = list(dict.fromkeys((first, stop) for _, _, first, stop in windows))
+    last, furthest = max(stop for _, back, _, stop in windows if not back), max(back for _, back, _, _ in windows)
+    zone = ZoneInfo(stream.sparkSession.conf.get("spark.sql.session.timeZone"))
+    columns = [f"{what}_{name}" for name, *_ in windows for what in ("mean", "max")]
+    schema = f"{key} {stream.schema[key].dataType.simpleString()}, yr int, " + ", ".join(f"{c} double" for c in columns)
+
+    def closes(year: int) -> int:
+        return int(datetime(year, last // 100, last % 100, tzinfo=zone).timestamp() * 1000)
+
+    def run(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        own, opened = json.loads(state.get[0]) if state.exists else ({}, [])  # by year: [n, sum, greatest] of each span
+        for rows in frames:
+            for k, (first, stop) in enumerate(spans):
+                inside = rows[(rows["day"] >= first) & (rows["day"] < stop)]
+                for year, v in inside.groupby("own")["v"]:
+                    cell = own.setdefault(str(year), [[0, 0.0, None] for _ in spans])[k]
+                    cell[:] = [cell[0] + len(v), cell[1] + float(v.sum()), max(float(v.max()), cell[2] if cell[0] else float("-inf"))]
+                    opened = sorted({*opened, *(int(year) + back for _, back, a, b in windows if (a, b) == (first, stop))})
+        mark, made = state.getCurrentWatermarkMs(), []
+        while state.hasTimedOut and opened and closes(opened[0]) <= mark:
+            year = opened.pop(0)
+            cells = [own.get(str(year - back), [None] * len(spans))[spans.index((a, b))] for _, back, a, b in windows]
+            made.append([group[0], year, *[x for c in cells for x in ((c[1] / c[0], c[2]) if c and c[0] else (None, None))]])
+            own = {y: c for y, c in own.items() if int(y) > year - furthest}
+        if opened:
+            state.update((json.dumps([own, opened]),))
+            state.setTimeoutTimestamp(max(closes(opened[0]), mark + 1))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(made, columns=[key, "yr", *columns])
+
+    timed = stream.select(key, F.col(ts).cast("timestamp").alias("st_ts"), F.col(value).cast("double").alias("v")).where(F.col(key).isNotNull() & F.col("v").isNotNull())
+    timed = timed.withWatermark("st_ts", late).withColumns({"own": F.year("st_ts"), "day": K.day_of("st_ts")})
+    return timed.groupBy(key).applyInPandasWithState(run, schema, "held string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def drain(updates: DataFrame, folder: str, mode: str = "update", seconds: int = 3600) -> DataFrame:
     """Runs what is there to its end and returns the updates with their batch number.
 
