@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -71,19 +71,20 @@ def pyramid(pixels: DataFrame, x: str, y: str, value: str, factor: int = 2) -> D
 def write_uniform(rows: DataFrame, column: str, path: str) -> str | None:
     """Writes rows that must agree in a column, such as their reference system, and returns its value; fails where path is there.
 
-    The column is watched while the rows stream into a folder beside path, in the same
-    pass. That folder takes the name of path only if they agree; several values, or nulls
-    among others, are an error and leave nothing behind.
+    Rows are written once, into a folder beside path; that one column of it, a few bytes a
+    file, is then looked through. The folder takes the name of path only if the rows
+    agree; several values, or nulls among others, are an error and leave nothing behind.
+    (Metrics observed while writing would do without the look, but a session that has
+    observed any can no longer apply forests: their summary holds the session.)
     """
     fs, at = rows.sparkSession._jvm.org.apache.hadoop.fs, f"{path.rstrip('/')}.unchecked"
     target, beside = fs.Path(path), fs.Path(at)
     store = target.getFileSystem(rows.sparkSession._jsc.hadoopConfiguration())
     if store.exists(target):
         raise FileExistsError(path)
-    seen = Observation()
-    least, most, bare = F.min(column).alias("least"), F.max(column).alias("most"), F.count_if(F.col(column).isNull()).alias("bare")
-    rows.observe(seen, least, most, bare, F.count("*").alias("n")).write.parquet(at, mode="overwrite")
-    got = seen.get
+    rows.write.parquet(at, mode="overwrite")
+    bare = F.count_if(F.col(column).isNull()).alias("bare")
+    got = rows.sparkSession.read.schema(rows.schema).parquet(at).agg(F.min(column).alias("least"), F.max(column).alias("most"), bare, F.count("*").alias("n")).first()
     if got["least"] != got["most"] or 0 < got["bare"] < got["n"]:
         store.delete(beside, True)
         raise ValueError(f"{column} does not agree: {got['least']} and {got['most']}, {got['bare']} without one")
