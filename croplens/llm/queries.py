@@ -127,9 +127,9 @@ def _op2_sql() -> str:
     said, rule = f"CASE {arms(lambda s, r: s)} END", f"CASE {arms(lambda s, r: r)} END"
     return rf"""
 WITH RECURSIVE raw AS (
-  SELECT url, {_decoded(r"regexp_extract(regexp_extract(html, '(?is)(<base\b[^>]*\bhref\s*=[^>]*>)', 1), '(?is)\bhref\s*=\s*[\"'']?([^\"''\s>]+)', 1)")} AS base,
+  SELECT url, {_decoded(r"regexp_extract(regexp_extract(html, '(?is)(<base\b[^>]*[\s\"''/]href\s*=[^>]*>)', 1), '(?is)[\s\"''/]href\s*=\s*[\"'']?([^\"''\s>]+)', 1)")} AS base,
     {_decoded(r"""unnest([
-      regexp_extract(regexp_extract(html, '(?is)(<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>)', 1), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
+      regexp_extract(regexp_extract(html, '(?is)(<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>)', 1), '(?is)[\s"''/]href\s*=\s*["'']?([^"''\s>]+)', 1),
       regexp_extract(regexp_extract(html, '(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>)', 1), '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)])""")} AS t
   FROM pages),
 found AS (SELECT split_part(url, '#', 1) AS u, t, coalesce(CASE WHEN length(base) > 0 THEN {_resolved("url", "base")} END, url) AS stand FROM raw WHERE length(t) > 0),

@@ -21,13 +21,23 @@ from .common import connected_components, discard, materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ADDRESS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-CANONICAL = r"(?is)(<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>)"
-REFRESH = r"(?is)(<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>)"
-HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-BASE = r"(?is)(<base\b[^>]*\bhref\s*=[^>]*>)"
+CANONICAL = r"(?is)\brel\s*=\s*[\"']?canonical\b"
+REFRESH = r"(?is)\bhttp-equiv\s*=\s*[\"']?refresh\b"
+HREF = r"(?is)[\s\"'/]href\s*=\s*[\"']?([^\"'\s>]+)"
+BASE = r"(?is)[\s\"'/]href\s*="
 TARGET = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"
 
 
+def first_tag(body: Column, name: str, wanted: str) -> Column:
+    """The first whole tag of a name that holds a pattern, else null.
+
+    Tags are cut out in one pass: one that is never closed reaches to the end of the page,
+    so no character is looked at from more than one beginning.
+    """
+    tags = F.regexp_extract_all(body, F.lit(rf"(?is)<{name}\b[^>]*+>?"), F.lit(0))
+    return F.get(F.filter(tags, lambda t: t.endswith(">") & t.rlike(wanted)), 0)
+
+
 def host_of(url: Column) -> Column:
     return F.translate(F.coalesce(F.regexp_extract(url, ADDRESS, 1), F.lit("")), UPPER, LOWER)
 
@@ -107,9 +117,9 @@ def link_edges(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
     without an address (relative ones on a page without, javascript:) are no edges.
     """
     url, body = F.col(url_col), F.col(html_col)
-    canonical = F.regexp_extract(F.regexp_extract(body, CANONICAL, 1), HREF, 1)
-    refresh = F.regexp_extract(F.regexp_extract(body, REFRESH, 1), TARGET, 1)
-    base = F.when(F.length(canonical) + F.length(refresh) > 0, F.regexp_extract(F.regexp_extract(body, BASE, 1), HREF, 1))
+    part = lambda name, wanted, value: F.coalesce(F.regexp_extract(first_tag(body, name, wanted), value, 1), F.lit(""))
+    canonical, refresh = part("link", CANONICAL, HREF), part("meta", REFRESH, TARGET)
+    base = F.when(F.length(canonical) + F.length(refresh) > 0, part("base", BASE, HREF))
     found = pages.select(node_of(url).alias("u"), url.alias("o"), base.alias("b"), F.explode(F.array(canonical, refresh)).alias("to"))
     return found.where(F.length("to") > 0).mapInArrow(_resolved, "u string, v string")
 
