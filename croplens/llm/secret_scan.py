@@ -34,6 +34,8 @@ FDR = 0.05
 ALPHA = 0.01
 #: Bins of p, by quarter-powers of two; the last holds all under 2**-10, which ALPHA leaves out.
 BINS = 40
+#: Spans of a text that are gathered before they join the rest.
+PART = 256
 SPAN = "array<struct<start:int,stop:int,kind:int,text:string>>"
 
 
@@ -49,15 +51,18 @@ def spans(text: Column, pattern: str, kind: int, least: int, value: int = 2) ->
         F.regexp_extract_all(text, whole, F.lit(2)).alias("hit"),
         F.regexp_extract_all(text, whole, F.lit(value)).alias("val"),
     )
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast(SPAN).alias("out"))
+    none = F.array().cast(SPAN)
+    start = F.struct(F.lit(0).alias("pos"), F.array(none).alias("done"), none.alias("part"))  # spans in parts of PART, so that adding one copies few
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["pos"] + F.length(x["gap"])
         end = begin + F.length(x["hit"])
         one = F.struct(begin.alias("start"), end.alias("stop"), F.lit(kind).alias("kind"), x["hit"].alias("text"))
-        return F.struct(end.alias("pos"), F.when(F.length(x["val"]) >= least, F.array_append(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+        long, full = F.length(x["val"]) >= least, F.size(acc["part"]) >= PART
+        part = F.when(~long, acc["part"]).when(full, F.array(one)).otherwise(F.array_append(acc["part"], one))
+        return F.struct(end.alias("pos"), F.when(long & full, F.array_append(acc["done"], acc["part"])).otherwise(acc["done"]).alias("done"), part.alias("part"))
 
-    return F.aggregate(zipped, start, step, lambda acc: acc["out"])
+    return F.aggregate(zipped, start, step, lambda acc: F.flatten(F.array_append(acc["done"], acc["part"])))
 
 
 def tail(z: Column) -> Column:
@@ -84,25 +89,35 @@ def battery(token: Column, encoding: Column) -> Column:
         .otherwise("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
     )
     same = F.when(encoding == "hex", F.lower(token)).otherwise(F.translate(token, "-_", "+/"))
-    size = F.length(alphabet).cast("double")
-    codes = F.transform(F.sequence(F.lit(1), F.length(token)), lambda i: (F.instr(alphabet, F.substring(same, i, F.lit(1))) - 1).cast("double"))
-
-    k = size
-
-    def centred(x: Column, centre: Column) -> Column:
-        n = F.size(x).cast("double")
-        squares = F.aggregate(
-            F.array_distinct(x), F.lit(0.0), lambda a, c: a + F.pow(F.size(F.filter(x, lambda y: y == c)).cast("double"), F.lit(2.0))
-        )
-        pairs = F.zip_with(F.slice(x, F.lit(1), F.size(x) - 1), F.slice(x, F.lit(2), F.size(x) - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-        sums = F.struct(
-            n.alias("n"), (k - 1).alias("df"), (squares * k / n - n).alias("chi"),
-            F.size(F.filter(x, lambda c: c >= k / 2)).cast("double").alias("high"),
-            (F.size(F.filter(pairs, lambda p: (p["a"] >= k / 2) != (p["b"] >= k / 2))) + 1.0).alias("runs"),
-            F.aggregate(x, F.lit(0.0), lambda a, c: a + (c - centre) * (c - centre)).alias("power"),
-            F.aggregate(pairs, F.lit(0.0), lambda a, p: a + (p["a"] - centre) * (p["b"] - centre)).alias("lagged"),
+    k = F.length(alphabet).cast("double")
+    without = lambda text, part: F.length(text) - F.length(F.replace(text, part, F.lit("")))
+
+    def counted(text: Column) -> Column:
+        """What the sums are made of: length, count of each symbol, symbols of the upper half, changes of half, products of neighbours, first and last code."""
+        code = lambda c: (F.instr(alphabet, c) - 1).cast("double")
+        start = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("last"))
+        lag = lambda acc, c: let(code(c), lambda v: F.struct((acc["sum"] + acc["last"] * v).alias("sum"), v.alias("last")))
+        halves = F.call_function("translate", text, alphabet, F.concat(F.repeat(F.lit("l"), (k / 2).cast("int")), F.repeat(F.lit("h"), (k / 2).cast("int"))))
+        sides = let(halves, lambda h: F.struct(without(h, F.lit("h")).alias("high"), ((without(h, F.lit("lh")) + without(h, F.lit("hl"))) / 2).alias("turns")))
+        return F.struct(
+            F.length(text).cast("double").alias("n"), F.transform(F.split(alphabet, ""), lambda c: without(text, c).cast("double")).alias("counts"), sides.alias("sides"),
+            F.aggregate(F.split(text, ""), start, lag, lambda acc: acc["sum"]).alias("products"), code(F.substring(text, 1, 1)).alias("first"), code(F.substring(text, -1, 1)).alias("final"),
         )
-        return let(sums, tests)
+
+    def summed(x: Column) -> Column:
+        over = lambda f: F.aggregate(F.transform(x["counts"], f), F.lit(0.0), lambda a, v: a + v)
+        n = x["n"]
+
+        def around(total: Column) -> Column:
+            centre = total / n
+            return F.struct(
+                n.alias("n"), (k - 1).alias("df"), (over(lambda c: c * c) * k / n - n).alias("chi"),
+                x["sides"]["high"].cast("double").alias("high"), (x["sides"]["turns"] + 1.0).alias("runs"),
+                over(lambda c, i: c * (i - centre) * (i - centre)).alias("power"),
+                (x["products"] - centre * (total * 2 - x["first"] - x["final"]) + (n - 1) * centre * centre).alias("lagged"),
+            )
+
+        return let(over(lambda c, i: c * i), around)
 
     def tests(s: Column) -> Column:
         ninth = F.lit(2.0) / (s["df"] * 9)
@@ -115,8 +130,7 @@ def battery(token: Column, encoding: Column) -> Column:
         half = -F.aggregate(ps, F.lit(0.0), lambda a, p: a + p)  # half of Fisher's statistic, which has six degrees of freedom
         return let(half, lambda h: F.exp(-h) * (1 + h + h * h / 2))
 
-    mean_of = lambda x: F.aggregate(x, F.lit(0.0), lambda a, c: a + c) / F.size(x)
-    return let(codes, lambda x: let(mean_of(x), lambda centre: centred(x, centre)))
+    return let(same, lambda text: let(counted(text), lambda x: let(summed(x), tests)))
 
 
 def let(value: Column, body) -> Column:
