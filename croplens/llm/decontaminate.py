@@ -37,6 +37,10 @@ WHOLE = 2 * Q
 #: Benchmark characters indexed at once; a larger benchmark is taken slice by slice. A slice's index takes some 70 bytes a character.
 SLICE_CHARS = 2_000_000
 BITS = 22
+#: Diagonals of a text that are searched at once, and pairs of a place and an index entry that are counted at once.
+BLOCK, ENTRIES = 1 << 14, 1 << 20
+#: Rows whose hits leave a task together.
+ROWS = 500
 #: Everything but a single space between letters or digits.
 _GAP = re.compile(r"(?:[^\w ]|_)[\W_]*| [\W_]+")
 HIT = ("item_id", "segment", "start", "distance")
@@ -66,6 +70,14 @@ def slot(code: np.ndarray) -> np.ndarray:
     return ((code * np.uint64(0xFF51AFD7ED558CCD)) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
+def best(hits: np.ndarray) -> np.ndarray:
+    """Of the (segment, place, distance) in columns the best one of each segment in any SEGMENT characters, in order."""
+    hits = hits[:, np.lexsort((hits[1], hits[2], hits[1] // SEGMENT, hits[0]))]
+    new = np.ones(hits.shape[1], bool)
+    new[1:] = (hits[0, 1:] != hits[0, :-1]) | (hits[1, 1:] // SEGMENT != hits[1, :-1] // SEGMENT)
+    return hits[:, new]
+
+
 class Index:
     """Segments of the items (item_id, text) with their q-grams."""
 
@@ -114,51 +126,93 @@ class Index:
 
     def find(self, raw: str | None) -> list[tuple[Any, int, int, int]]:
         """(item_id, segment start, start in the normalised text, distance) of every segment in the text."""
+        short, seg, place, distance = self.locate(raw)
+        long = [(self.segments[s][0], self.segments[s][1], p, d) for s, p, d in zip(seg.tolist(), place.tolist(), distance.tolist())]
+        return [(item, 0, 0, 0) for item in short] + long
+
+    def locate(self, raw: str | None, first: bool = False) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+        """The short items that the text consists of, and segments, places and distances of the hits, each segment's best one in any SEGMENT characters.
+
+        Diagonals are gone through BLOCK at a time, so that a text of any length, and one that
+        repeats an item throughout, needs a bounded table. first: stop after a block with hits.
+        """
         text = normalize(raw)
-        found = [(item, 0, 0, 0) for item in self.short.get(text, ())]
+        short, nothing = list(self.short.get(text, ())), np.zeros((3, 0), np.int64)
         entry = self.entry[slot(codes(text))]
         at = np.flatnonzero(entry)
-        if not self.least or len(at) < self.least or (at[self.least - 1 :] - at[: len(at) - self.least + 1]).min() >= self.most:
-            return found
-        entry = entry[at]
+        if not self.least or len(at) < self.least or (at[self.least - 1 :] - at[: len(at) - self.least + 1]).min() >= self.most or (first and short):
+            return short, *nothing
+        chars = self.padded(text)
+        found = []
+        block = BLOCK // self.width * self.width  # bands begin at the same places whatever the block
+        for start in range(-SEGMENT, len(text), block):
+            lo, hi = np.searchsorted(at, (start, start + block + SEGMENT + 2 * self.width))
+            if hi - lo >= self.least:
+                found.append(self.block(at[lo:hi], entry[at[lo:hi]], chars, start, block // self.width))
+                if first and found[-1].shape[1]:
+                    break
+        return short, *best(np.concatenate([*found, nothing], 1))
+
+    def block(self, at: np.ndarray, entry: np.ndarray, chars: np.ndarray, start: int, bands: int) -> np.ndarray:
+        """(segment, place, distance) of the hits whose band is one of so many from the diagonal start on."""
         n, first = self.times[entry], self.first[entry]
-        take = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
-        seg = self.seg[take]
-        bands = len(text) // self.width + SEGMENT // self.width + 3
-        key = seg * bands + (np.repeat(at, n) - self.pos[take] + SEGMENT) // self.width
-        key, count = np.unique(key, return_counts=True)
+        parts, counts, cuts = [], [], np.flatnonzero(np.diff(np.cumsum(n) // ENTRIES, prepend=0))
+        for own in np.split(np.arange(len(n)), cuts):  # ENTRIES pairs of place and entry at once
+            if len(own):
+                m = n[own]
+                take = np.repeat(first[own] - np.cumsum(m) + m, m) + np.arange(m.sum())
+                band = (np.repeat(at[own], m) - self.pos[take] - start) // self.width
+                inside = (band >= 0) & (band <= bands)
+                key, count = np.unique(self.seg[take[inside]] * (bands + 1) + band[inside], return_counts=True)
+                parts.append(key)
+                counts.append(count)
+        key, back = np.unique(np.concatenate(parts), return_inverse=True)
+        count = np.bincount(back, np.concatenate(counts), len(key)).astype(np.int64)
         both = count.copy()  # a band and the next one: bands of double width that overlap by half
         both[:-1] += np.where(key[1:] == key[:-1] + 1, count[1:], 0)
-        key = key[both >= self.need[key // bands]]
-        best: dict[tuple[int, int], tuple[int, int]] = {}
-        seg, start = key // bands, (key % bands) * self.width - SEGMENT
-        for s, d, place in zip(seg.tolist(), *self.align(seg, text, start)):
-            if d <= self.edits[s]:
-                best[s, place // SEGMENT] = min(best.get((s, place // SEGMENT), (d, place)), (d, place))
-        return found + [(self.segments[s][0], self.segments[s][1], place, d) for (s, _), (d, place) in sorted(best.items())]
-
+        seg, band = key // (bands + 1), key % (bands + 1)
+        both[:-1] -= np.where((key[1:] == key[:-1] + 1) & (band[:-1] == bands), count[1:], 0)  # that next one is the next segment's first
+        stays = (both >= self.need[seg]) & (band < bands)
+        seg, low = seg[stays], band[stays] * self.width + start
+        distance, place = self.align(seg, chars, low)
+        good = distance <= self.edits[seg]
+        return best(np.stack([seg[good], place[good], distance[good]]))
+
+    def padded(self, text: str) -> np.ndarray:
+        """The text's characters with room on both sides: text position p is at p + the margin of align()."""
+        wide = 4 * self.width + 1
+        chars = np.full(len(text) + 2 * (SEGMENT + wide) + self.width, -1, np.int32)
+        chars[SEGMENT + self.width :][: len(text)] = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        return chars
+
+    def align(self, seg: np.ndarray, chars: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least edits of each segment against any part of the text on the diagonals from start to start + 2 * width, give or take its edits; and the part's start.
+
+        Regions that read the same characters for the same segment are aligned once.
+        """
+        window = np.lib.stride_tricks.sliding_window_view(chars, SEGMENT + 4 * self.width + 1)
+        read = np.ascontiguousarray(window[start + SEGMENT])  # all that a region's rows look at, from its lowest diagonal on
+        own = np.concatenate([seg.astype(np.int32)[:, None], read], 1)
+        _, one, back = np.unique(own.view(np.dtype((np.void, own.dtype.itemsize * own.shape[1]))).ravel(), return_index=True, return_inverse=True)
+        distance, offset = self.aligned(seg[one], read[one])
+        return distance[back], np.maximum(start - self.width + offset[back], 0)
 
-    def align(self, seg: np.ndarray, text: str, start: np.ndarray) -> tuple[list[int], list[int]]:
-        """Least edits of each segment against any part of text on the diagonals from start to start + 2 * width, give or take its edits; and the part's start.
+    def aligned(self, seg: np.ndarray, read: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least edits of each segment in the characters of its region, and the diagonal of its start.
 
-        All regions of a text go through the rows of the banded table together. A region whose
+        All regions go through the rows of the banded table together. A region whose
         every diagonal is over its limit leaves them; it has more edits than that.
         """
-        slack = self.width
-        low, wide = start - slack, 2 * self.width + 2 * slack + 1
-        chars = np.full(len(text) + 2 * (SEGMENT + wide) + slack, -1, np.int32)  # text position p is at p + margin
-        margin = SEGMENT + slack
-        chars[margin : margin + len(text)] = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        wide = 4 * self.width + 1
         done, place = np.full(len(seg), SEGMENT + 1, np.int64), np.zeros(len(seg), np.int64)
         steps, live = np.arange(wide, dtype=np.int32), np.arange(len(seg))
         row = np.zeros((len(seg), wide), np.int32)  # cost on each diagonal before the first character: a start is free
-        window = np.lib.stride_tricks.sliding_window_view(chars, wide)
         for i in range(int(self.size[seg].max(initial=0))):
             ended = self.size[seg[live]] == i
             if ended.any():
-                done[live[ended]], place[live[ended]] = row[ended].min(1), low[live[ended]] + row[ended].argmin(1)
+                done[live[ended]], place[live[ended]] = row[ended].min(1), row[ended].argmin(1)
                 live, row = live[~ended], row[~ended]
-            sub = row + (window[low[live] + (margin + i)] != self.chars[seg[live], i][:, None])
+            sub = row + (read[live, i : i + wide] != self.chars[seg[live], i][:, None])
             sub[:, :-1] = np.minimum(sub[:, :-1], row[:, 1:] + 1)  # a segment character is missing in the text
             row = np.minimum.accumulate(sub - steps, 1) + steps  # the text has characters more
             if i % 8 == 7:
@@ -167,31 +221,41 @@ class Index:
             if not len(live):
                 break
         if len(live):
-            done[live], place[live] = row.min(1), low[live] + row.argmin(1)
-        return done.tolist(), np.maximum(place, 0).tolist()
+            done[live], place[live] = row.min(1), row.argmin(1)
+        return done, place
 
 
-def _search(shared, kind: pa.DataType, name: str):
+def _search(shared, kind: pa.DataType, name: str, first: bool):
     """Adds the hits in each batch's last column, the text, in its place."""
-    hits = pa.list_(pa.struct([(HIT[0], kind), *[(n, pa.int32()) for n in HIT[1:]]]))
+    fields = [pa.field(HIT[0], kind), *[pa.field(n, pa.int32()) for n in HIT[1:]]]
+
+    def hits(text: str | None) -> pa.Array:
+        index = shared.value
+        short, seg, place, distance = index.locate(text, first)
+        items = pa.array([*short, *[index.segments[s][0] for s in seg.tolist()]], kind)
+        rest = ([index.segments[s][1] for s in seg.tolist()], place, distance)
+        return pa.StructArray.from_arrays([items, *[pa.array(np.concatenate([np.zeros(len(short)), v]).astype(np.int32)) for v in rest]], fields=fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            *cols, text = batch.columns
-            found = [[dict(zip(HIT, h)) for h in shared.value.find(t.as_py())] for t in text]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(found, hits)], [*batch.schema.names[:-1], name])
+            for at in range(0, batch.num_rows, ROWS):
+                *cols, text = batch.slice(at, ROWS).columns
+                found = [hits(t.as_py()) for t in text]
+                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(ends), pa.concat_arrays(found))], [*batch.schema.names[:-1], name])
 
     return run
 
 
 def with_hits(
-    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", hits_col: str = "dc_hits", slice_chars: int = SLICE_CHARS
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", hits_col: str = "dc_hits", slice_chars: int = SLICE_CHARS, first: bool = False
 ) -> DataFrame:
     """docs with the column hits_col: array of (item_id, segment, start, distance), the benchmark segments found in each text.
 
     One slice of the benchmark is indexed and broadcast at a time. With one slice a row
     only streams by; with more, each slice's pass over the texts writes the hits it
-    found before the next begins, and they are joined to the rows by the hash of the text.
+    found before the next begins, once for all rows of one text, and they are joined to the
+    rows by the hash of the text. first: any hits of a text that has some, not all of them.
     """
     spark, item = docs.sparkSession, benchmark.schema[item_col].dataType.simpleString()
     items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text")).where(F.length("text") > 0)
@@ -203,16 +267,17 @@ def with_hits(
         own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == n).toArrow()  # about SLICE_CHARS
         shared = spark.sparkContext.broadcast(Index(list(zip(own.column(0).to_pylist(), own.column(1).to_pylist()))))
         schema = StructType(rows.schema.fields[:-1]).add(hits_col, DataType.fromDDL(kind))
-        return rows.mapInArrow(_search(shared, own.schema.field(0).type, hits_col), schema), shared
+        return rows.mapInArrow(_search(shared, own.schema.field(0).type, hits_col, first), schema), shared
 
     if slices == 1:
         return search(docs.select(*names, F.col(text_col).alias(held)), 0)[0]
     texts, parts = docs.select(F.xxhash64(text_col).alias("dc_hash"), F.col(text_col).alias(held)).where(F.length(text_col) > 0), []
     for n in range(slices):
         found, shared = search(texts, n)
-        parts.append(materialize(found.where(F.size(hits_col) > 0), "hits"))
+        once = found.where(F.size(hits_col) > 0).groupBy("dc_hash").agg(F.first(hits_col).alias(hits_col))  # tasks send one row per text
+        parts.append(materialize(once, "hits"))
         shared.destroy()
-    every = functools.reduce(DataFrame.unionAll, parts).groupBy("dc_hash").agg(F.array_distinct(F.flatten(F.collect_list(hits_col))).alias(hits_col))
+    every = functools.reduce(DataFrame.unionAll, parts).groupBy("dc_hash").agg(F.flatten(F.collect_list(hits_col)).alias(hits_col))  # a row per slice
     mark = fresh(docs, "dc_mark")
     every = every.withColumnRenamed("dc_hash", mark)
     both = docs.join(every, F.xxhash64(docs[text_col]) == F.col(mark), "left")
@@ -237,4 +302,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     nothing; an empty table gives an empty result.
     """
     hits = fresh(docs, "dc_hits")
-    return with_hits(docs, benchmark, text_col, hits_col=hits).where(F.size(hits) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return with_hits(docs, benchmark, text_col, hits_col=hits, first=True).where(F.size(hits) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])

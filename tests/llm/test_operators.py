@@ -611,3 +611,108 @@ def test_pipeline_equals_brute_force(spark):
     texts = {i: t for i, t in texts.items() if not index.find(t)}
     assert texts
     check_pieces(texts, pipe.run(spark, FOLDER).collect())
+
+
+# long and repetitive texts
+def test_decontaminate_blocks_equal_one_block(spark, monkeypatch):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(rng.randint(2, 7)))
+    items = [*((i, "ha " * (40 + i)) for i in range(3)), *((9 + i, " ".join(word() for _ in range(40))) for i in range(5)), (20, "yes")]
+    index = decontaminate.Index(items)
+    texts = ["ha " * n for n in (3, 25, 400)] + [("ha " * 50 + " x ") * 9, " ".join(t for _, t in items) * 3, "yes", ""] + [" ".join([*(word() for _ in range(60)), items[4][1], *(word() for _ in range(99)), items[7][1][20:150]]) for _ in range(6)]
+    whole = [index.find(t) for t in texts]
+    assert sum(map(len, whole)) > 300 and whole[5] == [(20, 0, 0, 0)]
+    for block, entries in ((24, 100), (130, 1 << 20), (1000, 7)):
+        monkeypatch.setattr(decontaminate, "BLOCK", block)
+        monkeypatch.setattr(decontaminate, "ENTRIES", entries)
+        assert [index.find(t) for t in texts] == whole, block
+        assert [bool(len(index.locate(t, True)[1]) or index.locate(t, True)[0]) for t in texts] == list(map(bool, whole))
+
+
+def test_decontaminate_a_long_repeated_item_in_bounded_memory():
+    import tracemalloc
+
+    index = decontaminate.Index([(i, "ha " * 40) for i in range(3)])
+    tracemalloc.start()
+    few = len(index.locate("ha " * 7_000)[1])
+    small = tracemalloc.get_traced_memory()[1]
+    tracemalloc.reset_peak()
+    many = len(index.locate("ha " * 140_000)[1])
+    large = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert few > 4000 and abs(many - 20 * few) < 0.02 * many
+    assert large < small + 420_000 * 120, (small, large)  # what grows is the text, its q-grams and its hits
+
+
+def test_decontaminate_slices_with_a_text_that_stands_many_times(spark):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7)))
+    long = [" ".join(word() for _ in range(20)) for _ in range(4)]
+    bench = spark.createDataFrame([(n, t) for n, t in enumerate(long)], "item_id int, text string")
+    both = f"{long[0]} and {long[3]}"
+    d = docs(spark, [both] * 500 + ["clean words"] * 3 + [long[1], None])
+    for chars in (10_000_000, 150):
+        got = {r.doc_id: {h.item_id for h in r.hits} for r in decontaminate.find_contamination(d, bench, slice_chars=chars).collect()}
+        assert all(got[i] == {0, 3} for i in range(1, 501)) and got[504] == {1} and not got[502] and not got[505]
+    hits = {len(r.hits) for r in decontaminate.find_contamination(d, bench).where("doc_id <= 500").collect()}
+    assert hits == {len(r.hits) for r in decontaminate.find_contamination(d, bench, slice_chars=150).where("doc_id <= 500").collect()}
+
+
+def test_url_filter_on_tags_that_never_end(spark):
+    import time
+
+    d = spark.createDataFrame([("http://a.org/x", w * (1_000_000 // len(w))) for w in ("<link ", "<meta http-equiv ", "<base ", "<link rel=canonical ", "<link rel rel ")], "url string, html string")
+    url_filter.link_edges(d.limit(0), "url", "html").collect()
+    began = time.time()
+    assert url_filter.link_edges(d, "url", "html").collect() == []
+    assert time.time() - began < 30
+    pages = [
+        ("http://a.org/1", '<link data-href="/no" rel=canonical href="/yes">', "http://a.org/yes"), ("http://a.org/2", '<link rel=canonical data-href="/no">', None),
+        ("http://a.org/3", '<link x <link rel="canonical" href=/t>', "http://a.org/t"), ("http://a.org/4", '<link rel=canonical href="/open" ', None),
+        ("http://a.org/5", '<base data-href="/b/" ><base target=x href="/c/"><link rel=canonical href=t>', "http://a.org/c/t"), ("http://a.org/6", None, None),
+        ("http://a.org/7", '<link rel="canonical"href="/q">', "http://a.org/q"),
+    ]
+    got = {r.u: r.v for r in url_filter.link_edges(spark.createDataFrame([p[:2] for p in pages], "url string, html string"), "url", "html").collect()}
+    assert got == {u: v for u, _, v in pages if v}
+
+
+def test_secret_scan_on_a_long_run(spark):
+    import time
+
+    rng = random.Random(14)
+    token = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+    lines = [token(76) for _ in range(1500)]
+    d = docs(spark, [token(1_000_000), "\n".join(lines), "Ab1" * 100_000])
+    began = time.time()
+    got = {r.doc_id: r.random for r in secret_scan.scan_secrets(d).collect()}
+    assert time.time() - began < 120
+    assert [(s.start, s.stop) for s in got[1]] == [(0, 1_000_000)] and not got[3]
+    assert all(s.start % 77 == 0 and s.text == lines[s.start // 77] for s in got[2]) and len(got[2]) > 1300
+
+
+def plain_battery(token, alphabet):
+    """The three tests written out over the codes."""
+    import math
+
+    x, k = [alphabet.index(c) for c in token], len(alphabet)
+    n, centre = len(x), sum(x) / len(x)
+    tail = lambda z: 1 / (1 + math.exp(max(-6, min(6, z)) * 1.5976 + max(-6, min(6, z)) ** 3 * 0.07056))
+    chi = sum(x.count(c) ** 2 for c in set(x)) * k / n - n
+    ninth = 2 / (9 * (k - 1))
+    high = sum(c >= k / 2 for c in x)
+    runs, mean = 1 + sum((a >= k / 2) != (b >= k / 2) for a, b in zip(x, x[1:])), 2 * high * (n - high) / n + 1
+    spread = math.sqrt(max((mean - 1) * (mean - 2) / (n - 1), 1e-9))
+    serial = sum((a - centre) * (b - centre) for a, b in zip(x, x[1:])) / max(sum((c - centre) ** 2 for c in x), 1e-9) * math.sqrt(n)
+    ps = [tail(((max(chi, 0) / (k - 1)) ** (1 / 3) - 1 + ninth) / math.sqrt(ninth)), 2 * tail(abs((runs - mean) / spread)), 2 * tail(abs(serial))]
+    half = -sum(math.log(min(p, 1)) for p in ps)
+    return math.exp(-half) * (1 + half + half * half / 2)
+
+
+def test_battery_equals_the_tests_written_out(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(15)
+    rows = [(e, "".join(rng.choice(a[: rng.choice([2, 5, len(a)])]) for _ in range(rng.randint(24, 120)))) for e, a in ALPHABETS.items() for _ in range(40)]
+    got = spark.createDataFrame(rows, "e string, t string").select("e", "t", secret_scan.battery(F.col("t"), F.col("e")).alias("p")).collect()
+    alphabets = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+    assert all(abs(r.p - plain_battery(r.t.replace("-", "+").replace("_", "/") if r.e == "base64" else r.t, alphabets[r.e])) < 1e-9 for r in got)
