@@ -54,3 +54,22 @@ def feature_curve(rows: DataFrame, features: Sequence[str], label: str, key: str
         out = models.classify(model, rows.where(held & (F.col(label) == cls)), features[:n])
         curve.append((n, features[n - 1], out.agg(F.avg((F.col("pred") == cls).cast("double"))).first()[0]))
     return curve
+
+
+def pair_correlations(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(a, b, r) for every pair of columns, a before b, from one pass over the rows; rows with a null in any of them don't count, constant columns have a null r.
+
+    The matrix of sums is as wide as the list of columns, whatever the number of rows.
+    """
+    from pyspark.ml.stat import Correlation
+
+    known = models.assemble(rows.select(*columns).dropna(), columns).select("md_x")
+    found = Correlation.corr(known, "md_x").first()[0].toArray()
+    pairs = [(a, b, float(found[i, j])) for i, a in enumerate(columns) for j, b in enumerate(columns) if i < j]
+    out = rows.sparkSession.createDataFrame(pairs, "a string, b string, r double")
+    return out.withColumn("r", F.when(~F.isnan("r"), F.col("r")))
+
+
+def splits(key: Column, shares: Mapping[str, int] = {"third": 67, "seventy": 70, "eighty": 80}) -> list[Column]:
+    """Columns that say for each named split whether a row is in its training share of so many in a hundred; the shares of one key are nested."""
+    return [(share_of(key) < least).alias(name) for name, least in shares.items()]

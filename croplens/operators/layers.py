@@ -36,3 +36,18 @@ def min_years_masks(rows: DataFrame, key: str, year: str, irrigated: Column, lea
     out = rows.withColumns({"ly_f": flag, "ly_s": total, "ly_l": last})
     masks = {"documented": F.col("ly_s") >= least, "mosaic": F.col("ly_l") < least}
     return out.withColumns({n: F.when(c, F.col("ly_f")) for n, c in masks.items()} | {"moved": F.when(F.col("ly_s") < least, F.col("ly_f")).otherwise(0)}).drop("ly_f", "ly_s", "ly_l")
+
+
+#: The landcover class of cultivated crops, and the water occurrence in percent over which a pixel counts as water.
+CULTIVATED, WET = 82, 25
+
+
+def with_static(rows: DataFrame, still: DataFrame, pixel: str) -> DataFrame:
+    """rows with the layers of a static table (pixel, elevation, landcover, occurrence): elevation, landcover, cultivated and water as 0 or 1; null for pixels without them.
+
+    A pixel is there once: of several static rows the greatest counts.
+    """
+    one = still.groupBy(pixel).agg(F.max(F.struct("elevation", "landcover", "occurrence")).alias("ly_s"))
+    s = F.col("ly_s")
+    made = [s["elevation"].alias("elevation"), s["landcover"].alias("landcover"), (s["landcover"] == CULTIVATED).cast("int").alias("cultivated"), (s["occurrence"] > WET).cast("int").alias("water")]
+    return rows.join(one, pixel, "left").select(*rows.columns, *made)

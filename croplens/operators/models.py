@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import random
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from typing import Any
 
 from pyspark.ml.classification import RandomForestClassifier
@@ -95,6 +96,13 @@ def holdout(rows: DataFrame, features: Sequence[str], label: str, key: str, shar
     return out, out.where(F.col("pred") != F.col(label))
 
 
+def out_of_fold(rows: DataFrame, features: Sequence[str], label: str, key: str, folds: int = 2, **settings) -> DataFrame:
+    """Every row with fold and pred, the class given by a forest of the other folds; folds are shares of a hash of the key and leave no row out."""
+    fold = share_of(F.col(key), folds)
+    parts = [classify(train_forest(rows.where(fold != k), features, label, **settings), rows.where(fold == k), features).withColumn("fold", F.lit(k)) for k in range(folds)]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def infer(model, rows: DataFrame, features: Sequence[str], label: str, classes: int = 4, least: float = 0.6) -> DataFrame:
     """rows with pred, prob (that of the class given), static and uncertain.
 

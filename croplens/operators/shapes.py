@@ -41,6 +41,12 @@ def intersects(a: Column, b: Column) -> Column:
     return meet | F.exists(a, lambda ring: first(ring, b)) | F.exists(b, lambda ring: first(ring, a))
 
 
+def buffered(x: Column, y: Column, shape: Column, distance: float) -> Column:
+    """Whether a point lies in the shape widened by the distance, or narrowed by it where it is negative; edges of holes count like outer ones."""
+    edge = F.array_min(F.transform(F.flatten(F.transform(shape, S.edges)), lambda e: P.segment_distance(x, y, e["a"], e["b"])))
+    return (contains(x, y, shape) | (edge <= distance)) if distance >= 0 else (contains(x, y, shape) & (edge >= -distance))
+
+
 def bounds(shape: Column) -> Column:
     return S.bounds(F.flatten(shape))
 

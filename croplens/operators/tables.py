@@ -63,6 +63,43 @@ def ranked(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str
     return both.select(*rows.columns, name)
 
 
+def by_name(rows: DataFrame, first: Sequence[str] = ()) -> DataFrame:
+    """rows with the given columns first and the others in order of name."""
+    return rows.select(*first, *sorted(c for c in rows.columns if c not in first))
+
+
+def default_features(rows: DataFrame, labels: Sequence[str]) -> list[str]:
+    """All columns but the labels, in their order."""
+    return [c for c in rows.columns if c not in labels]
+
+
+def years_to_rows(wide: DataFrame, keys: Sequence[str], prefixes: Sequence[str], year: str = "year") -> DataFrame:
+    """A row per key and year from columns named by prefix and year, such as IM_2019: one column per prefix; years that a prefix lacks are null.
+
+    Rows in which every value is null drop out; other columns do too.
+    """
+    places = {p: {int(c.removeprefix(p)): c for c in wide.columns if c.startswith(p) and c.removeprefix(p).isdigit()} for p in prefixes}
+    years = sorted({y for own in places.values() for y in own})
+    cell = lambda p, y: F.col(f"`{places[p][y]}`") if y in places[p] else F.lit(None)
+    kinds = {p: next((wide.schema[c].dataType for c in own.values()), None) for p, own in places.items()}
+    each = F.array(*[F.struct(F.lit(y).alias(year), *[(cell(p, y) if kinds[p] is None else cell(p, y).cast(kinds[p])).alias(p.rstrip("_")) for p in prefixes]) for y in years])
+    long = wide.select(*keys, F.inline(each))
+    return long.where(reduce(lambda a, b: a | b, [F.col(p.rstrip("_")).isNotNull() for p in prefixes]))
+
+
+def add_new_columns(old: DataFrame, newer: DataFrame, key: str) -> DataFrame:
+    """old with the columns that only newer has, filled where the key is in both; columns of both keep the old values.
+
+    Of rows of newer that repeat a key one counts, that with the greatest values in order of the columns.
+    """
+    names = [c for c in newer.columns if c not in old.columns]
+    if not names:
+        return old
+    own = newer.groupBy(F.col(key).alias("nc_key")).agg(F.max(F.struct(*names)).alias("nc_v"))
+    both = old.join(own, F.col(key) == F.col("nc_key"), "left")
+    return both.select(*[F.col(f"`{c}`") for c in old.columns], *[F.col("nc_v")[c].alias(c) for c in names])
+
+
 def aligned(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """left and right side by side by key, with paired: 1 where both have the key, else 0; keys must not repeat within a side."""
     a, b = left.withColumn("al_a", F.lit(1)), right.withColumn("al_b", F.lit(1))

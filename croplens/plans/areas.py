@@ -10,7 +10,7 @@ from ..functions import scalar as S
 from ..operators import grids as G
 from ..operators import polygons as P
 from ..operators import tables as T
-from .registry import query, scratch, table
+from .registry import query, scratch, stored, table
 
 #: Crop codes (first, last) and their class: 1 grain, 2 vegetable, 3 forage, 4 orchard; every other code is 5.
 CROP_CLASSES = (
@@ -48,7 +48,7 @@ def protected_areas(spark, sf_dir):
     """Large, compact, simple areas, each kept unless it meets a larger one kept before."""
     area = S.ring_area(F.col("ring"))
     z = boxes(spark, sf_dir).where((area >= 8) & (F.size("ring") <= 1000) & (S.compactness(F.col("ring")) >= 0.3))
-    z = z.select("id", (-area).alias("order"), S.bounds(F.col("ring")).alias("box"))
+    z = stored(z.select("id", (-area).alias("order"), S.bounds(F.col("ring")).alias("box")))
     return P.apart(z, G.box_pairs(z, z, "id", "box", 8.0), "id", ["order"], scratch(spark), "box").select("id")
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import accuracy as A
 from ..operators import models as M
+from ..operators import tables as T
 from .registry import query, table
 
 FEATURES = [f"f{i}" for i in range(64)]
@@ -59,6 +61,33 @@ def forest_importance(spark, sf_dir):
     return spark.createDataFrame(found, "feature string, weight double")
 
 
+@query("""WITH v AS (SELECT vec_id, i - 1 AS i, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, range(1, 65) AS t(i))
+SELECT 'f' || a.i AS a, 'f' || b.i AS b, round(corr(a.x, b.x), 8) AS r FROM v a JOIN v b ON a.vec_id = b.vec_id AND a.i < b.i GROUP BY a.i, b.i""")
+def all_pair_correlations(spark, sf_dir):
+    """Every pair of the 64 features, from one pass."""
+    return A.pair_correlations(vectors(spark, sf_dir), FEATURES).withColumn("r", F.round("r", 8))
+
+
+@query("""WITH v AS (SELECT label, i - 1 AS i, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, range(1, 65) AS t(i)),
+c AS (SELECT i, label, count(*) AS n, avg(x) AS m FROM v GROUP BY i, label), g AS (SELECT i, avg(x) AS m, var_pop(x) AS s FROM v GROUP BY i)
+SELECT 'f' || i AS feature, round(sum(n * (c.m - g.m) * (c.m - g.m)) / sum(n) / any_value(s), 8) AS weight FROM c JOIN g USING (i) GROUP BY i ORDER BY weight DESC, feature LIMIT 50""")
+def separating_features(spark, sf_dir):
+    """The 50 features whose class means lie furthest apart: the share of a feature's variance between the classes."""
+    x = table(spark, sf_dir, "embeddings").select("label", F.posexplode(F.transform("embedding", lambda v: v.cast("double"))).alias("i", "x"))
+    c = x.groupBy("i", "label").agg(F.count("*").alias("n"), F.avg("x").alias("m"))
+    g = x.groupBy("i").agg(F.avg("x").alias("all"), F.var_pop("x").alias("s"))
+    apart = F.sum(F.col("n") * F.pow(F.col("m") - F.col("all"), 2)) / F.sum("n") / F.any_value("s")
+    found = c.join(g, "i").groupBy(F.concat(F.lit("f"), F.col("i")).alias("feature")).agg(F.round(apart, 8).alias("weight"))
+    return found.orderBy(F.desc("weight"), "feature").limit(50)
+
+
+@query()
+def fold_confusion(spark, sf_dir):
+    """Labels against the classes that a forest of the other fold gives, over two folds."""
+    out = M.out_of_fold(vectors(spark, sf_dir), FEATURES, "label", "vec_id", folds=2, trees=50)
+    return T.confusion(out.withColumn("pred", F.col("pred").cast("int")), "label", "pred")
+
+
 @query()
 def pca(spark, sf_dir):
     shares = M.explained_variance(vectors(spark, sf_dir), FEATURES, 10)

@@ -37,3 +37,10 @@ def scratch(spark: SparkSession) -> str:
     if not named and not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
         raise ValueError("spark.checkpoint.dir names no shared folder")
     return f"{(named or 'file://' + tempfile.mkdtemp()).rstrip('/')}/plans/{uuid.uuid4().hex}"
+
+
+def stored(rows: DataFrame) -> DataFrame:
+    """rows, written to a scratch folder and read back, for what is read several times."""
+    path = scratch(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

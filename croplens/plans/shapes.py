@@ -8,10 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import scalar as S
 from ..operators import grids as G
+from ..operators import polygons as P
 from ..operators import shapes as H
 from ..operators import tables as T
-from .registry import query, scratch, table
+from .registry import query, scratch, stored, table
 
 GRID = (0.0, 0.0, 1.0)
 
@@ -95,7 +97,7 @@ def zonal_over_shapes(spark, sf_dir):
     return whole.join(low, "id").join(T.majority(z, "id", "cls"), "id").withColumn("purity", F.round("purity", 6))
 
 
-@query(f"""{_EDGES}, box AS (SELECT id, min(ax) AS x0, max(ax) AS x1, min(ay) AS y0, max(ay) AS y1 FROM edges GROUP BY id),
+_MEET = """box AS (SELECT id, min(ax) AS x0, max(ax) AS x1, min(ay) AS y0, max(ay) AS y1 FROM edges GROUP BY id),
 near AS (SELECT a.id AS a, b.id AS b FROM box a JOIN box b ON a.id < b.id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1),
 ends AS (SELECT id, r, ax AS x, ay AS y FROM edges WHERE k = 1),
 held AS (SELECT a, b FROM (SELECT a, b, a AS outer_, b AS inner_ FROM near UNION ALL SELECT a, b, b, a FROM near) JOIN ends ON ends.id = inner_ JOIN edges e ON e.id = outer_
@@ -103,11 +105,43 @@ held AS (SELECT a, b FROM (SELECT a, b, a AS outer_, b AS inner_ FROM near UNION
 side AS (SELECT near.a, near.b, e.ax AS px, e.ay AS py, e.bx AS qx, e.by_ AS qy, f.ax AS rx, f.ay AS ry, f.bx AS sx, f.by_ AS sy FROM near JOIN edges e ON e.id = near.a JOIN edges f ON f.id = near.b),
 crossed AS (SELECT DISTINCT a, b FROM side WHERE ((qx - px) * (ry - py) - (qy - py) * (rx - px)) * ((qx - px) * (sy - py) - (qy - py) * (sx - px)) <= 0
   AND ((sx - rx) * (py - ry) - (sy - ry) * (px - rx)) * ((sx - rx) * (qy - ry) - (sy - ry) * (qx - rx)) <= 0
-  AND greatest(px, qx) >= least(rx, sx) AND greatest(rx, sx) >= least(px, qx) AND greatest(py, qy) >= least(ry, sy) AND greatest(ry, sy) >= least(py, qy))
-SELECT a, b FROM held UNION SELECT a, b FROM crossed""")
+  AND greatest(px, qx) >= least(rx, sx) AND greatest(rx, sx) >= least(px, qx) AND greatest(py, qy) >= least(ry, sy) AND greatest(ry, sy) >= least(py, qy))"""
+
+
+@query(f"{_EDGES}, {_MEET} SELECT a, b FROM held UNION SELECT a, b FROM crossed")
 def shapes_intersect(spark, sf_dir):
     """Pairs of valid shapes that share a point; boxes meet in grid cells first."""
-    z = H.valid(shapes(spark, sf_dir), "id", "shape").withColumn("box", H.bounds(F.col("shape")))
+    z = stored(H.valid(shapes(spark, sf_dir), "id", "shape").withColumn("box", H.bounds(F.col("shape"))))
     left, right = z.select(F.col("id").alias("a"), F.col("shape").alias("sa")), z.select(F.col("id").alias("b"), F.col("shape").alias("sb"))
     pairs = G.box_pairs(z, z, "id", "box", 32.0).where("a < b").join(left, "a").join(right, "b")
     return pairs.where(H.intersects(F.col("sa"), F.col("sb"))).select("a", "b")
+
+
+@query(
+    f"{_EDGES.replace('WITH', 'WITH RECURSIVE', 1)}, {_MEET}, meet AS (SELECT a, b FROM held UNION SELECT a, b FROM crossed), near_ids AS (SELECT a AS id, list(b) AS l FROM (SELECT a, b FROM meet UNION SELECT b, a FROM meet) GROUP BY a), "
+    "one AS (SELECT id, r, abs(sum(ax * by_ - bx * ay)) / 2 AS s, sum(sqrt(power(ax - bx, 2) + power(ay - by_, 2))) AS far FROM edges GROUP BY id, r), "
+    "big AS (SELECT id, sum(CASE WHEN r = 1 THEN -s ELSE s END) AS area, max(CASE WHEN r = 0 THEN 4 * pi() * s / (far * far) END) AS round_ FROM one GROUP BY id), "
+    "o AS (SELECT big.id, coalesce(l, []) AS l, row_number() OVER (ORDER BY area DESC, big.id) AS k FROM big LEFT JOIN near_ids USING (id) WHERE area >= 100 AND round_ >= 0.3), "
+    "g(k, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT o.k, CASE WHEN list_has_any(kept, l) THEN kept ELSE list_append(kept, o.id) END FROM g JOIN o ON o.k = g.k + 1) "
+    "SELECT unnest(kept) AS id FROM g WHERE k = (SELECT max(k) FROM g)"
+)
+def protected_shapes(spark, sf_dir):
+    """Valid, large, compact shapes of few corners, each kept unless it meets a larger one kept before."""
+    shape = F.col("shape")
+    z = H.valid(shapes(spark, sf_dir), "id", "shape").where((H.area(shape) >= 100) & (F.size(F.flatten(shape)) <= 1000) & (S.compactness(F.get(shape, 0)) >= 0.3))
+    z = stored(z.select("id", "shape", (-H.area(shape)).alias("order"), H.bounds(shape).alias("box")))
+    left, right = z.select(F.col("id").alias("a"), F.col("shape").alias("sa")), z.select(F.col("id").alias("b"), F.col("shape").alias("sb"))
+    met = G.box_pairs(z, z, "id", "box", 32.0).where("a < b").join(left, "a").join(right, "b").where(H.intersects(F.col("sa"), F.col("sb"))).select("a", "b")
+    return P.apart(z.drop("shape"), met, "id", ["order"], scratch(spark), "box").select("id")
+
+
+@query(f"""{_EDGES}, far AS (SELECT px.k, id, min(sqrt(power(x - ax - t * (bx - ax), 2) + power(y - ay - t * (by_ - ay), 2))) AS d FROM (
+  SELECT px.*, e.id, ax, ay, bx, by_, least(greatest(((x - ax) * (bx - ax) + (y - ay) * (by_ - ay)) / (power(bx - ax, 2) + power(by_ - ay, 2)), 0), 1) AS t FROM px JOIN inside USING (k) JOIN edges e ON e.id = inside.id) px GROUP BY px.k, id)
+SELECT k, max(CASE WHEN id % 3 = 0 AND id % 2 = 0 THEN 1 END) AS irrigated, max(CASE WHEN id % 3 = 1 THEN 1 END) AS dryland, max(CASE WHEN id % 3 = 2 AND d >= 2 THEN 1 END) AS negative FROM far GROUP BY k""")
+def label_shapes(spark, sf_dir):
+    """Label layers from polygons with parts and holes: irrigated ones of the year, dryland of any year, negatives narrowed by 2."""
+    z = stored(H.valid(shapes(spark, sf_dir), "id", "shape"))
+    both = H.covered(pixels(spark, sf_dir).select("k", "i", "j"), H.scan_lines(z, "id", "shape", GRID)).join(z, "id")
+    kind, inner = F.col("id") % 3, H.buffered(F.col("i") + 0.5, F.col("j") + 0.5, F.col("shape"), -2.0)
+    mark = lambda c: F.max(F.when(c, 1))
+    return both.groupBy("k").agg(mark((kind == 0) & (F.col("id") % 2 == 0)).alias("irrigated"), mark(kind == 1).alias("dryland"), mark((kind == 2) & inner).alias("negative"))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..operators import accuracy as A
 from ..operators import grids as G
+from ..operators import layers as L
 from ..operators import polygons as P
 from ..operators import tables as T
 from .registry import query, scratch, table
@@ -165,12 +167,13 @@ def scene_columns(spark, sf_dir):
     return out.select("fid", *[F.col(str(y)).alias("_".join(i.split("_")[-3:])) for y, i in ids.items()])
 
 
-@query("SELECT p_partkey AS k, p_size AS v FROM part WHERE p_partkey > 100 UNION ALL SELECT p_partkey, p_size * 2 FROM part WHERE p_partkey <= 100")
+@query("""WITH n AS (SELECT s_nationkey AS k, count(*) AS suppliers, max(s_suppkey) AS c_custkey FROM supplier WHERE s_nationkey < 15 GROUP BY s_nationkey)
+SELECT customer.c_custkey, c_nationkey AS k, suppliers FROM customer LEFT JOIN n ON c_nationkey = k""")
 def newer_where_absent(spark, sf_dir):
-    """Rows that a newer table has, filled from it in the column that the older one lacks; the others keep theirs."""
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("v"))
-    newer = part.where("k <= 100").select("k", (F.col("v") * 2).alias("new"))
-    return part.join(newer, "k", "left").select("k", F.coalesce("new", "v").alias("v"))
+    """A table with the columns that only a newer one has, where the key is in both; a column of both keeps the older values."""
+    old = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("k"))
+    newer = table(spark, sf_dir, "supplier").where("s_nationkey < 15").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("suppliers"), F.max("s_suppkey").alias("c_custkey"))
+    return T.add_new_columns(old, newer, "k")
 
 
 @query("WITH p AS (SELECT p_partkey AS k, p_partkey % 1000 + 0.5::DOUBLE AS x, p_size + 0.5::DOUBLE AS y FROM part), z AS (SELECT s_suppkey AS id, (s_suppkey * 13) % 900 AS x0, 5 AS y0, 40 AS w, 20 AS h FROM supplier) "
@@ -220,3 +223,35 @@ def degree_areas(spark, sf_dir):
     cell = G.degree_cell(F.col("p_partkey") % 480, F.col("p_size"), (-120.0, 30.0), 0.25)
     rows = table(spark, sf_dir, "part").select(F.col("p_size").alias("j"), cell.alias("c"))
     return rows.groupBy("j").agg(F.count("*").alias("n"), F.round(F.avg("c.lon"), 6).alias("lon"), F.any_value("c.lat").alias("lat"), F.round(F.sum("c.area") / 4046.86, 3).alias("acres"))
+
+
+@query("""WITH w AS (SELECT c_custkey, max(o_totalprice) FILTER (WHERE year(o_orderdate) = 1996) AS a, max(o_totalprice) FILTER (WHERE year(o_orderdate) = 1997) AS b, count(*) FILTER (WHERE year(o_orderdate) = 1997) AS n
+ FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey)
+SELECT c_custkey, 1996 AS year, a AS top, CAST(NULL AS BIGINT) AS n FROM w WHERE a IS NOT NULL UNION ALL SELECT c_custkey, 1997, b, n FROM w""")
+def years_to_rows(spark, sf_dir):
+    """Columns named by year turned into a row per year; a year without a column of its own has a null."""
+    o = table(spark, sf_dir, "orders").withColumn("yr", F.year("o_orderdate"))
+    wide = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.max(F.when(F.col("yr") == 1996, F.col("o_totalprice"))).alias("top_1996"), F.max(F.when(F.col("yr") == 1997, F.col("o_totalprice"))).alias("top_1997"), F.count_if(F.col("yr") == 1997).alias("n_1997")
+    )
+    wide = wide.join(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", "left_semi")
+    return T.years_to_rows(wide, ["c_custkey"], ["top_", "n_"])
+
+
+@query("""WITH s AS (SELECT o_orderkey, ('0x' || md5(CAST(o_orderkey AS VARCHAR))[1:8])::BIGINT % 100 AS p FROM orders)
+SELECT o_orderkey, p < 67 AS third, p < 70 AS seventy, p < 80 AS eighty FROM s""")
+def split_shares(spark, sf_dir):
+    """Training shares of 67, 70 and 80 in a hundred, each within the next."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", *A.splits(F.col("o_orderkey")))
+
+
+@query("""WITH d AS (SELECT p_partkey AS pixel, p_retailprice AS elevation, CASE WHEN p_size BETWEEN 11 AND 20 THEN 11 WHEN p_size <= 30 THEN 82 ELSE 90 END AS landcover, p_size * 2 AS occurrence FROM part),
+o AS (SELECT l_partkey AS pixel, year(l_shipdate) AS yr, max(l_discount) AS nd FROM lineitem GROUP BY 1, 2)
+SELECT o.pixel, yr, nd, elevation, landcover, CAST(landcover = 82 AS INT) AS cultivated, CAST(occurrence > 25 AS INT) AS water FROM o LEFT JOIN d USING (pixel)""")
+def static_layers(spark, sf_dir):
+    """Yearly values of a pixel with what does not change: elevation, landcover and whether it is cultivated, and how often it was under water."""
+    size = F.col("p_size")
+    cover = F.when(size.between(11, 20), 11).when(size <= 30, 82).otherwise(90)
+    still = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pixel"), F.col("p_retailprice").alias("elevation"), cover.alias("landcover"), (size * 2).alias("occurrence"))
+    own = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("pixel"), F.year("l_shipdate").alias("yr")).agg(F.max("l_discount").alias("nd"))
+    return L.with_static(own, still, "pixel")

@@ -107,3 +107,12 @@ def summary(listed: DataFrame) -> DataFrame:
     n, years = F.count("*").alias("n"), F.count_distinct("year")
     gap = F.max("year") - F.min("year") + 1 - years
     return listed.groupBy("state").agg(n, F.min("year").alias("first"), F.max("year").alias("last"), gap.cast("int").alias("missing"), F.count("error").alias("failed"))
+
+
+def missing_properties(listed: DataFrame) -> DataFrame:
+    """(state, property, n): how many assets of a state lack a property that some asset of the catalog has; nothing for those that all have."""
+    has = listed.select("state", F.explode_outer(F.json_object_keys("properties")).alias("property"))
+    held = has.where("property is not null").groupBy("state", "property").agg(F.count("*").alias("held"))
+    every = listed.groupBy("state").agg(F.count("*").alias("all")).join(F.broadcast(held.select("property").distinct()))  # property names become columns elsewhere: they are few
+    both = every.alias("e").join(held.alias("h"), F.col("e.state").eqNullSafe(F.col("h.state")) & (F.col("e.property") == F.col("h.property")), "left")
+    return both.select("e.state", "e.property", (F.col("all") - F.coalesce("held", F.lit(0))).alias("n")).where("n > 0")

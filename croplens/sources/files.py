@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from csv import reader as csv_reader
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.tables import beside
+
 
 def csv(spark: SparkSession, path: str | list[str], sep: str = ",") -> DataFrame:
     return spark.read.csv(path, sep=sep, header=True, inferSchema=True)
@@ -19,28 +22,70 @@ def tsv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(file, line, text): line counts from 0 in each file's first split, the only one that is numbered; null beyond it.
+    """(file, line, text, block, place): line counts from 0 in each file's first split, the only one that is numbered; null beyond it.
 
-    Row ids grow by one along a split, so a line's number is its id less the file's smallest.
+    Row ids grow by one along a split, so a line's number is its id less the file's
+    smallest; (block, place) orders the lines of a file whatever its splits.
     """
     meta = F.col("_metadata")
     rows = spark.read.option("pathGlobFilter", glob).text(path).select(
-        meta["file_path"].alias("file"), F.col("value").alias("text"), F.monotonically_increasing_id().alias("fl_id"), (meta["file_block_start"] == 0).alias("fl_head")
+        meta["file_path"].alias("file"), F.col("value").alias("text"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("place")
     )
-    first = rows.where("fl_head").groupBy("file").agg(F.min("fl_id").alias("fl_first"))
-    return rows.join(first, "file").select("file", F.when(F.col("fl_head"), F.col("fl_id") - F.col("fl_first")).alias("line"), "text")
+    first = rows.where("block = 0").groupBy("file").agg(F.min("place").alias("fl_first"))
+    return rows.join(first, "file").select("file", F.when(F.col("block") == 0, F.col("place") - F.col("fl_first")).alias("line"), "text", "block", "place")
+
+
+def narrowed(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """String columns as long or double where every value of theirs is one, by one aggregate; empty strings are nulls."""
+    if not columns:
+        return rows
+    held = {c: F.nullif(F.trim(F.col(f"`{c}`")), F.lit("")) for c in columns}
+    odd = lambda c, kind: F.count_if(held[c].isNotNull() & held[c].try_cast(kind).isNull())
+    found = rows.agg(*[odd(c, kind).alias(f"{kind}{n}") for n, c in enumerate(columns) for kind in ("bigint", "double")]).first()
+    to = {c: "bigint" if not found[f"bigint{n}"] else "double" if not found[f"double{n}"] else "string" for n, c in enumerate(columns)}
+    return rows.select(*[held[c].cast(to[c]).alias(c) if c in to else F.col(f"`{c}`") for c in rows.columns])
 
 
-def csv_folder(spark: SparkSession, folder: str, glob: str = "*.csv") -> DataFrame:
+def csv_folder(spark: SparkSession, folder: str, glob: str = "*.csv", in_order: bool = False) -> DataFrame:
     """Files of a folder, united by column name, with the column file_name; files without a line give no rows.
 
-    Files are read once per distinct header, not once per file.
+    The folder is read once: each line is taken apart by its own file's header, so the
+    driver sees the different headers and no file names. A record takes one line. Columns
+    become numbers where all their values are. in_order: sorted by file name, and by line within a file.
     """
-    heads = lines(spark, folder, glob).where("line = 0").groupBy("text").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("text").collect()
+    every = lines(spark, folder, glob)
+    head = every.where("line = 0").select("file", F.col("text").alias("fl_head"))
+    heads = sorted(r.fl_head for r in head.select("fl_head").distinct().collect())
     if not heads:
         raise FileNotFoundError(f"no file with lines in {folder} fits {glob}")
-    parts = [csv(spark, h.files).select("*", F.col("_metadata.file_name").alias("file_name")) for h in heads]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    names = {h: [n.strip() for n in next(csv_reader([h]))] for h in heads}
+    wide, columns = max(map(len, names.values())), list(dict.fromkeys(n for h in heads for n in names[h]))
+    rows = every.where("line is null or line > 0").join(beside(head), "file")
+    cell = F.from_csv("text", ", ".join(f"c{k} string" for k in range(wide)))
+    rows = rows.where(F.length("text") > 0).select("file", "fl_head", "block", "place", cell.alias("fl_c"))
+    pick = lambda name: F.coalesce(*[F.when(F.col("fl_head") == h, F.col(f"fl_c.c{names[h].index(name)}")) for h in heads if name in names[h]])
+    out = rows.select(*[pick(n).alias(n) for n in columns], F.element_at(F.split("file", "/"), -1).alias("file_name"), "file", "block", "place")
+    out = narrowed(out, columns)
+    return (out.orderBy("file_name", "file", "block", "place") if in_order else out).drop("file", "block", "place")
+
+
+def dated_folder(spark: SparkSession, folder: str, glob: str = "*.csv") -> DataFrame:
+    """csv_folder() of files named like ``source_2019.csv``: with year, and source, the name without its last five signs; files without a year give a null one and their whole name."""
+    stem = F.regexp_replace("file_name", r"\.[^.]*$", "")
+    year = F.regexp_extract(stem, r"_(\d{4})$", 1)
+    rows = csv_folder(spark, folder, glob).withColumns({"year": F.nullif(year, F.lit("")).cast("int"), "source": F.when(year == "", stem).otherwise(F.substring(stem, F.lit(1), F.length(stem) - 5))})
+    return rows.drop("file_name")
+
+
+_LOOKUPS: dict[tuple[str, str], DataFrame] = {}
+
+
+def lookup(spark: SparkSession, path: str) -> DataFrame:
+    """A small CSV table of codes that is read once in an application and then kept, whoever asks for it."""
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _LOOKUPS:
+        _LOOKUPS[key] = csv(spark, path).cache()
+    return _LOOKUPS[key]
 
 
 def csv_after(spark: SparkSession, path: str, skip: int = 4) -> DataFrame:

@@ -156,3 +156,48 @@ def test_cell_areas_sum_to_the_ellipsoid(spark):
     one = spark.range(1).select(G.zone_area(F.lit(40.0), F.lit(41.0), F.lit(1.0)), F.lit(0.0)).first()[0]
     parts = spark.range(64).select(G.zone_area(40 + F.col("id") / 64, 40 + (F.col("id") + 1) / 64, F.lit(1.0)).alias("a")).agg(F.sum("a")).first()[0]
     assert abs(one / parts - 1) < 1e-9 and 9.3e9 < one < 9.5e9
+
+
+def test_csv_folder_is_read_once_in_order(spark, tmp_path):
+    from croplens.sources import files
+
+    for name, text in {"irr_b_2011.csv": 'k,v,"a, b"\n1,x,2.5\n2,"y, z",\n', "irr_a_2010.csv": "v,k\nq,7\n", "plain.csv": "k\n9\n\n10\n", "none_2009.csv": ""}.items():
+        (tmp_path / name).write_text(text)
+    rows = files.csv_folder(spark, str(tmp_path), in_order=True)
+    assert rows.columns == ["k", "v", "a, b", "file_name"] or set(rows.columns) == {"k", "v", "a, b", "file_name"}
+    assert [(r.k, r.v, r["a, b"], r.file_name) for r in rows.collect()] == [(7, "q", None, "irr_a_2010.csv"), (1, "x", 2.5, "irr_b_2011.csv"), (2, "y, z", None, "irr_b_2011.csv"), (9, None, None, "plain.csv"), (10, None, None, "plain.csv")]
+    assert dict(rows.dtypes) == {"k": "bigint", "v": "string", "a, b": "double", "file_name": "string"}
+    dated = files.dated_folder(spark, str(tmp_path))
+    assert sorted(((r.source, r.year, r.k) for r in dated.collect()), key=str) == [("irr_a", 2010, 7), ("irr_b", 2011, 1), ("irr_b", 2011, 2), ("plain", None, 10), ("plain", None, 9)]
+    path = str(tmp_path / "plain.csv")
+    assert files.lookup(spark, path) is files.lookup(spark, path) and files.lookup(spark, path).count() == 2
+
+
+def test_columns_by_name_and_year(spark):
+    wide = spark.createDataFrame([(1, 5, None, 2.0, "z"), (2, None, None, None, "z")], "k int, IM_2018 int, IM_2020 int, Ct_2018 double, other string")
+    assert T.by_name(wide, ["k"]).columns == ["k", "Ct_2018", "IM_2018", "IM_2020", "other"] and T.default_features(wide, ["k", "other"]) == ["IM_2018", "IM_2020", "Ct_2018"]
+    assert [tuple(r) for r in T.years_to_rows(wide, ["k"], ["IM_", "Ct_"]).collect()] == [(1, 2018, 5, 2.0)]
+    newer = spark.createDataFrame([(1, 9, 3), (1, 8, 4), (3, 1, 1)], "k int, IM_2018 int, n int")
+    got = T.add_new_columns(wide, newer, "k")
+    assert got.columns == [*wide.columns, "n"] and sorted((r.k, r.IM_2018, r.n) for r in got.collect()) == [(1, 5, 4), (2, None, None)]
+    assert T.add_new_columns(wide, newer.drop("n"), "k") is wide
+
+
+def test_pairs_folds_and_missing_properties(spark, tmp_path):
+    from croplens.operators import accuracy as A
+    from croplens.operators import layers as L
+
+    rows = spark.createDataFrame([(float(i), float(-2 * i), 1.0, float(i % 2)) for i in range(10)] + [(None, 1.0, 1.0, 1.0)], "a double, b double, c double, d double")
+    got = {(r.a, r.b): r.r for r in A.pair_correlations(rows, ["a", "b", "c", "d"]).collect()}
+    assert len(got) == 6 and abs(got["a", "b"] + 1) < 1e-12 and got["a", "c"] is None and 0 < got["a", "d"] < 0.5
+    out = M.out_of_fold(planted(spark), ["a", "b", "c"], "label", "id", folds=3, trees=5, depth=6, bag=1.0)
+    assert out.count() == 240 and {r.fold for r in out.collect()} == {0, 1, 2} and out.where("pred = label").count() > 230
+    assert [r.id for r in planted(spark).select("id", *A.splits(F.col("id"))).where("(third and not seventy) or (seventy and not eighty)").collect()] == []
+    (tmp_path / "c").mkdir()
+    for name, props in {"MT_2000": {"a": 1, "b": 2}, "MT_2001": {"a": 1}, "WA_2000": {}}.items():
+        (tmp_path / "c" / f"{name}.json").write_text(json.dumps({"name": name, "properties": props}))
+    found = catalog.missing_properties(catalog.assets(spark, str(tmp_path)))
+    assert {tuple(r) for r in found.collect()} == {("MT", "b", 1), ("WA", "a", 1), ("WA", "b", 1)}
+    still = spark.createDataFrame([(1, 10.0, 82, 30), (1, 9.0, 11, 0), (2, 5.0, 90, 25)], "p int, elevation double, landcover int, occurrence int")
+    own = L.with_static(spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "p int, n string"), still, "p")
+    assert sorted(tuple(r) for r in own.collect())[:2] == [(1, "x", 10.0, 82, 1, 1), (2, "y", 5.0, 90, 0, 0)] and own.where("p = 3 and water is null").count() == 1
