@@ -15,6 +15,7 @@ evidence inside a text: it is found in documents that consist of it alone.
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from collections.abc import Iterator
 from typing import Any
@@ -39,6 +40,8 @@ SLICE_CHARS = 2_000_000
 BITS = 22
 #: Diagonals of a text that are searched at once, and pairs of a place and an index entry that are counted at once.
 BLOCK, ENTRIES = 1 << 14, 1 << 20
+#: Regions of a block from which equal ones are looked for.
+MANY = 200
 #: Rows whose hits leave a task together.
 ROWS = 500
 #: Everything but a single space between letters or digits.
@@ -72,6 +75,8 @@ def slot(code: np.ndarray) -> np.ndarray:
 
 def best(hits: np.ndarray) -> np.ndarray:
     """Of the (segment, place, distance) in columns the best one of each segment in any SEGMENT characters, in order."""
+    if hits.shape[1] < 2:
+        return hits
     hits = hits[:, np.lexsort((hits[1], hits[2], hits[1] // SEGMENT, hits[0]))]
     new = np.ones(hits.shape[1], bool)
     new[1:] = (hits[0, 1:] != hits[0, :-1]) | (hits[1, 1:] // SEGMENT != hits[1, :-1] // SEGMENT)
@@ -142,41 +147,48 @@ class Index:
         at = np.flatnonzero(entry)
         if not self.least or len(at) < self.least or (at[self.least - 1 :] - at[: len(at) - self.least + 1]).min() >= self.most or (first and short):
             return short, *nothing
-        chars = self.padded(text)
-        found = []
+        chars, found = None, []
         block = BLOCK // self.width * self.width  # bands begin at the same places whatever the block
         for start in range(-SEGMENT, len(text), block):
-            lo, hi = np.searchsorted(at, (start, start + block + SEGMENT + 2 * self.width))
-            if hi - lo >= self.least:
-                found.append(self.block(at[lo:hi], entry[at[lo:hi]], chars, start, block // self.width))
-                if first and found[-1].shape[1]:
+            lo, hi = np.searchsorted(at, (start, start + block + SEGMENT + 2 * self.width)) if len(text) + SEGMENT > block else (0, len(at))
+            seg, low = self.regions(at[lo:hi], entry[at[lo:hi]], start, block // self.width)
+            if not len(seg):
+                continue
+            chars = self.padded(text) if chars is None else chars
+            distance, place = self.align(seg, chars, low)
+            good = distance <= self.edits[seg]
+            if good.any():
+                found.append(best(np.stack([seg[good], place[good], distance[good]])))
+                if first:
                     break
-        return short, *best(np.concatenate([*found, nothing], 1))
-
-    def block(self, at: np.ndarray, entry: np.ndarray, chars: np.ndarray, start: int, bands: int) -> np.ndarray:
-        """(segment, place, distance) of the hits whose band is one of so many from the diagonal start on."""
-        n, first = self.times[entry], self.first[entry]
-        parts, counts, cuts = [], [], np.flatnonzero(np.diff(np.cumsum(n) // ENTRIES, prepend=0))
-        for own in np.split(np.arange(len(n)), cuts):  # ENTRIES pairs of place and entry at once
-            if len(own):
-                m = n[own]
-                take = np.repeat(first[own] - np.cumsum(m) + m, m) + np.arange(m.sum())
-                band = (np.repeat(at[own], m) - self.pos[take] - start) // self.width
-                inside = (band >= 0) & (band <= bands)
-                key, count = np.unique(self.seg[take[inside]] * (bands + 1) + band[inside], return_counts=True)
-                parts.append(key)
-                counts.append(count)
-        key, back = np.unique(np.concatenate(parts), return_inverse=True)
-        count = np.bincount(back, np.concatenate(counts), len(key)).astype(np.int64)
+        return short, *(best(np.concatenate(found, 1)) if len(found) > 1 else found[0] if found else nothing)
+
+    def regions(self, at: np.ndarray, entry: np.ndarray, start: int, bands: int) -> tuple[np.ndarray, np.ndarray]:
+        """Segments and first diagonals of the bands that hold as many q-grams as the bound asks, of so many bands from the diagonal start on."""
+        n = self.times[entry]
+        first, ends = self.first[entry], np.cumsum(n)
+        if not len(n):
+            return n, n
+
+        def pairs(own: slice) -> tuple[np.ndarray, np.ndarray]:
+            m = n[own]
+            take = np.repeat(first[own] - np.cumsum(m) + m, m) + np.arange(m.sum())
+            band = (np.repeat(at[own], m) - self.pos[take] - start) // self.width
+            key = self.seg[take] * (bands + 1) + band
+            return np.unique(key[(band >= 0) & (band <= bands)], return_counts=True)
+
+        if ends[-1] <= ENTRIES:
+            key, count = pairs(slice(None))
+        else:  # ENTRIES pairs of place and entry at once
+            cuts = [0, *(np.flatnonzero(np.diff(ends // ENTRIES)) + 1).tolist(), len(n)]
+            parts = [pairs(slice(a, b)) for a, b in itertools.pairwise(cuts)]
+            key, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+            count = np.bincount(back, np.concatenate([c for _, c in parts]), len(key)).astype(np.int64)
         both = count.copy()  # a band and the next one: bands of double width that overlap by half
-        both[:-1] += np.where(key[1:] == key[:-1] + 1, count[1:], 0)
+        both[:-1] += np.where((key[1:] == key[:-1] + 1) & (key[1:] % (bands + 1) > 0), count[1:], 0)
         seg, band = key // (bands + 1), key % (bands + 1)
-        both[:-1] -= np.where((key[1:] == key[:-1] + 1) & (band[:-1] == bands), count[1:], 0)  # that next one is the next segment's first
         stays = (both >= self.need[seg]) & (band < bands)
-        seg, low = seg[stays], band[stays] * self.width + start
-        distance, place = self.align(seg, chars, low)
-        good = distance <= self.edits[seg]
-        return best(np.stack([seg[good], place[good], distance[good]]))
+        return seg[stays], band[stays] * self.width + start
 
     def padded(self, text: str) -> np.ndarray:
         """The text's characters with room on both sides: text position p is at p + the margin of align()."""
@@ -188,10 +200,12 @@ class Index:
     def align(self, seg: np.ndarray, chars: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Least edits of each segment against any part of the text on the diagonals from start to start + 2 * width, give or take its edits; and the part's start.
 
-        Regions that read the same characters for the same segment are aligned once.
+        Where there are many, regions that read the same characters for the same segment are aligned once.
         """
-        window = np.lib.stride_tricks.sliding_window_view(chars, SEGMENT + 4 * self.width + 1)
-        read = np.ascontiguousarray(window[start + SEGMENT])  # all that a region's rows look at, from its lowest diagonal on
+        read = chars[(start + SEGMENT)[:, None] + np.arange(SEGMENT + 4 * self.width + 1)]  # all that a region's rows look at, from its lowest diagonal on
+        if len(seg) < MANY:
+            distance, offset = self.aligned(seg, read)
+            return distance, np.maximum(start - self.width + offset, 0)
         own = np.concatenate([seg.astype(np.int32)[:, None], read], 1)
         _, one, back = np.unique(own.view(np.dtype((np.void, own.dtype.itemsize * own.shape[1]))).ravel(), return_index=True, return_inverse=True)
         distance, offset = self.aligned(seg[one], read[one])
@@ -229,20 +243,22 @@ def _search(shared, kind: pa.DataType, name: str, first: bool):
     """Adds the hits in each batch's last column, the text, in its place."""
     fields = [pa.field(HIT[0], kind), *[pa.field(n, pa.int32()) for n in HIT[1:]]]
 
-    def hits(text: str | None) -> pa.Array:
-        index = shared.value
-        short, seg, place, distance = index.locate(text, first)
-        items = pa.array([*short, *[index.segments[s][0] for s in seg.tolist()]], kind)
-        rest = ([index.segments[s][1] for s in seg.tolist()], place, distance)
-        return pa.StructArray.from_arrays([items, *[pa.array(np.concatenate([np.zeros(len(short)), v]).astype(np.int32)) for v in rest]], fields=fields)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 *cols, text = batch.slice(at, ROWS).columns
-                found = [hits(t.as_py()) for t in text]
-                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(ends), pa.concat_arrays(found))], [*batch.schema.names[:-1], name])
+                ends, items, rest = [0], [], []
+                for t in text:
+                    short, seg, place, distance = index.locate(t.as_py(), first)
+                    if short or len(seg):
+                        own = seg.tolist()
+                        items += [*short, *[index.segments[s][0] for s in own]]
+                        rest.append(np.concatenate([np.zeros((3, len(short)), np.int64), [[index.segments[s][1] for s in own], place, distance]], 1).astype(np.int32))
+                    ends.append(len(items))
+                parts = np.concatenate([*rest, np.zeros((3, 0), np.int32)], 1)
+                found = pa.StructArray.from_arrays([pa.array(items, kind), *map(pa.array, parts)], fields=fields)
+                yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), found)], [*batch.schema.names[:-1], name])
 
     return run
 
