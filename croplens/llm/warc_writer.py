@@ -31,6 +31,8 @@ SAMPLE_RECORDS = 500
 SAMPLE_BYTES = 8 << 20
 #: Records of an archive before the task starts the next one.
 ARCHIVE_RECORDS = 20_000
+#: Pages that a task holds outside their Arrow batch.
+ROWS = 64
 #: Payloads shorter than this are never written as revisits.
 REVISIT_BYTES = 100
 READ = "page_id {kind}, payload_bytes long, payload_digest string, record_type string, refers_to {kind}, target_uri string, archive string"
@@ -132,7 +134,7 @@ def _write(folder: str, most: int = ARCHIVE_RECORDS):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         archive, done = None, []
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (r for at in range(0, batch.num_rows, ROWS) for r in batch.slice(at, ROWS).to_pylist()):
                 archive = archive or Archive(folder, f"{uuid.uuid4().hex}.warc.zst")
                 payload = (row["html"] or "").encode("utf-8", "surrogatepass")
                 archive.add(record(row["page_id"], row["url"], payload, row["digest"], len(payload), row["first_id"]))
