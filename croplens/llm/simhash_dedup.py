@@ -3,7 +3,9 @@
 Fingerprints that differ in at most ``radius`` bits agree on some choice of blocks
 (pigeonhole), so one shard tree per agreeing block value sees every link. A shard
 over the cap is divided by further blocks; what stays over it is cut in pieces, and
-each pair of pieces gets a tree of its own: nothing is capped or dropped. A tree's
+each piece and each pair of pieces gets a tree of its own: nothing is capped or dropped.
+A pair's tree gives only what joins groups of its two pieces, so links stay in
+proportion to the fingerprints, however dense a family is. A tree's
 children are keyed by their integer Hamming distance to the parent and a search
 follows only edges within the radius of the distance to the node.
 """
@@ -11,6 +13,7 @@ follows only edges within the radius of the distance to the node.
 from __future__ import annotations
 
 import itertools
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,8 +83,8 @@ def block_masks(n: int, radius: int = RADIUS) -> list[int]:
     return [sum(c) for c in itertools.combinations(parts, j)]
 
 
-def tree_links(prints: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Links (print, root) that join every two prints within the radius, found with one BK-tree."""
+def tree_links(prints: list[int], sides: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
+    """Links that join every two prints within the radius, found with one BK-tree; of two pieces (sides 0 and 1) only those needed between the groups that each has of its own."""
     root = list(range(len(prints)))
 
     def find(i: int) -> int:
@@ -91,6 +94,7 @@ def tree_links(prints: list[int], radius: int = RADIUS) -> list[tuple[int, int]]
         return i
 
     children: list[dict[int, int]] = [{} for _ in prints]
+    across = array("q")
     for i in range(1, len(prints)):
         x, todo, place = prints[i], [0], 0
         while todo:
@@ -98,32 +102,43 @@ def tree_links(prints: list[int], radius: int = RADIUS) -> list[tuple[int, int]]
             d = (prints[node] ^ x).bit_count()
             if d <= radius:
                 a, b = find(node), find(i)
-                root[max(a, b)] = min(a, b)
+                if sides[node] == sides[i]:
+                    root[max(a, b)] = min(a, b)
+                elif a != b:
+                    across.extend((node, i))
             todo += [c for e, c in children[node].items() if d - radius <= e <= d + radius]
         while (c := children[place].setdefault((prints[place] ^ x).bit_count(), i)) != i:
             place = c
-    return [(prints[i], prints[find(i)]) for i in range(len(prints)) if find(i) != i]
+    if len(set(sides)) == 1:
+        return [(prints[i], prints[find(i)]) for i in range(len(prints)) if find(i) != i]
+    out = []
+    for i, j in zip(across[::2], across[1::2]):
+        a, b = find(i), find(j)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((prints[i], prints[j]))
+    return out
 
 
 def _shard_links(radius: int):
-    """Rows (shard, fp) in order -> links; one shard is held at a time."""
+    """Rows (shard, fp, side) in order -> links; one shard is held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key = [np.zeros(0, np.uint64)], None
+        held, key = [], None
+        nothing = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
         for batch in itertools.chain(batches, [None]):
             if batch is not None and not batch.num_rows:
                 continue
             found: list[tuple[int, int]] = []
-            shard = np.zeros(0, np.int64) if batch is None else batch.column(0).to_numpy()
-            fp = np.zeros(0, np.uint64) if batch is None else batch.column(1).to_numpy().view(np.uint64)
+            shard, fp, side = nothing if batch is None else (batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy())
             cuts = np.concatenate(([0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(fp)])).tolist()
             for a, b in itertools.pairwise(cuts):
                 if a == b or shard[a] != key:
-                    own = np.unique(np.concatenate(held))
+                    own, first = np.unique(np.concatenate([h[0] for h in held] or [nothing[1]]), return_index=True)
                     if len(own) > 1:
-                        found += tree_links(own.tolist(), radius)
+                        found += tree_links(own.tolist(), np.concatenate([h[1] for h in held])[first].tolist(), radius)
                     held, key = [], shard[a] if a < b else None
-                held.append(fp[a:b])
+                held.append((fp[a:b], side[a:b]))
             ends = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["u", "v"])
 
@@ -167,10 +182,12 @@ def links(prints: DataFrame, radius: int = RADIUS, cap: int = SHARD_CAP) -> Data
     rows = marked(rows.where("c2 >= 0"), ["c", "v", "c2", "v2"], cap, "n").unionByName(rows.where("c2 < 0").withColumn("n", F.lit(None).cast("long")))
     pieces = F.ceil(F.col("n") / cap).cast("int")
     cut = rows.withColumn("pieces", pieces).withColumn("p", F.coalesce(F.pmod(F.xxhash64("fp"), F.col("pieces")).cast("int"), F.lit(0)))
-    other = F.expr("if(pieces is null, array(0), filter(sequence(0, pieces - 1), q -> q != p))")
+    other = F.expr("if(pieces is null, array(0), sequence(0, pieces - 1))")
     pairs = cut.select("c", "v", "c2", "v2", "fp", "p", F.explode(other).alias("q"))
-    shard = F.xxhash64("c", "v", "c2", "v2", F.least("p", "q"), F.greatest("p", "q")).alias("shard")  # two shards under one hash are only searched together
-    return pairs.select(shard, "fp").repartition("shard").sortWithinPartitions("shard", "fp").mapInArrow(_shard_links(radius), "u long, v long")
+    two = (F.col("p") != F.col("q")).cast("long")  # in the last bit: shards of one piece and of two never share a hash
+    shard = F.shiftleft(F.xxhash64("c", "v", "c2", "v2", F.least("p", "q"), F.greatest("p", "q")), 1).bitwiseOR(two).alias("shard")
+    rows = pairs.select(shard, "fp", (F.col("p") > F.col("q")).cast("long").alias("side"))
+    return rows.repartition("shard").sortWithinPartitions("shard", "fp").mapInArrow(_shard_links(radius), "u long, v long")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:

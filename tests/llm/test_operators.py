@@ -716,3 +716,26 @@ def test_battery_equals_the_tests_written_out(spark):
     got = spark.createDataFrame(rows, "e string, t string").select("e", "t", secret_scan.battery(F.col("t"), F.col("e")).alias("p")).collect()
     alphabets = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
     assert all(abs(r.p - plain_battery(r.t.replace("-", "+").replace("_", "/") if r.e == "base64" else r.t, alphabets[r.e])) < 1e-9 for r in got)
+
+
+def test_simhash_links_of_a_dense_family_grow_with_its_prints(spark):
+    """Prints within four bits of one base, far over the cap: pieces and pairs of pieces."""
+    rng = random.Random(16)
+    base, counts, signed = rng.getrandbits(64), [], lambda p: p - (1 << 64) if p >> 63 else p
+    for n in (300, 1200):
+        prints = sorted({base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 4))) for _ in range(n)} | {rng.getrandbits(64) for _ in range(20)})
+        edges = [(r.u % (1 << 64), r.v % (1 << 64)) for r in simhash_dedup.links(spark.createDataFrame([(signed(p),) for p in prints], "fp long"), cap=50).collect()]
+        root = {p: p for p in prints}
+
+        def find(i):
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for a, b in edges:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+        assert {p: find(p) for p in prints} == brute_components(dict(zip(prints, prints)))
+        counts.append(len(edges))
+    assert counts[1] < 8 * counts[0], counts
