@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import tables as T
+
 
 def layer_of_years(rows: DataFrame, key: str, year: str, value: str, years: Sequence[int], documented: bool = True) -> DataFrame:
     """(key, value): the most frequent value over the years, the least of equals; not documented: that of the last year alone."""
@@ -51,3 +53,14 @@ def with_static(rows: DataFrame, still: DataFrame, pixel: str) -> DataFrame:
     s = F.col("ly_s")
     made = [s["elevation"].alias("elevation"), s["landcover"].alias("landcover"), (s["landcover"] == CULTIVATED).cast("int").alias("cultivated"), (s["occurrence"] > WET).cast("int").alias("water")]
     return rows.join(one, pixel, "left").select(*rows.columns, *made)
+
+
+def allocate(polygons: DataFrame, zone: str, key: str, area: str, n: int, folder: str) -> DataFrame:
+    """(zone, key, quota, total): points for each polygon by its share of the zone's area, one at least, in order of key until a zone has more than n.
+
+    The running total goes over ranges of (zone, key), so a zone of any size is spread over many tasks.
+    """
+    whole = polygons.groupBy(F.col(zone).alias("al_z")).agg(F.sum(area).alias("al_a"))
+    quota = F.greatest(F.lit(1), F.ceil(F.col(area) / F.col("al_a") * n)).cast("long")
+    each = polygons.join(T.beside(whole), F.col(zone).eqNullSafe(F.col("al_z"))).select(zone, key, quota.alias("quota"))
+    return T.ranked(each, [zone], [key], "total", folder, "quota").where(F.col("total") - F.col("quota") <= n)

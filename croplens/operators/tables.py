@@ -40,8 +40,8 @@ def drop_containing(rows: DataFrame, parts: Sequence[str]) -> DataFrame:
     return rows.select(*[c for c in rows.columns if not any(p in c for p in parts)])
 
 
-def ranked(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, folder: str) -> DataFrame:
-    """rows with their number from 1 within each group of keys, in the given order of columns.
+def ranked(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, folder: str, value: str | None = None) -> DataFrame:
+    """rows with their number from 1 within each group of keys, in the given order of columns; with value, the running sum of that column of longs instead.
 
     The table is written in ranges of (keys, order) below folder, which the executors
     share; each range is numbered alone and the counts of the ranges before it are
@@ -52,12 +52,13 @@ def ranked(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str
     ranges = rows.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, *order)
     ranges.withColumn(part, F.spark_partition_id()).write.parquet(path)
     written = rows.sparkSession.read.schema(StructType([*rows.schema.fields]).add(part, IntegerType())).parquet(path)
-    sizes = written.groupBy(*keys, part).agg(F.count("*").alias("tb_n"))
+    sizes = written.groupBy(*keys, part).agg((F.sum(value) if value else F.count("*")).alias("tb_n"))
     before = sizes.withColumn(begin, F.sum("tb_n").over(Window.partitionBy(*keys).orderBy(part)) - F.col("tb_n"))
     before = before.select(*[F.col(k).alias(f"tb_{i}") for i, k in enumerate(keys)], F.col(part).alias("tb_p"), begin)
     before.write.parquet(f"{path}-counts")
     before = rows.sparkSession.read.schema(before.schema).parquet(f"{path}-counts")
-    number = F.row_number().over(Window.partitionBy(*keys, part).orderBy(*order))
+    own = Window.partitionBy(*keys, part).orderBy(*order)
+    number = F.sum(value).over(own.rowsBetween(Window.unboundedPreceding, 0)) if value else F.row_number().over(own)
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"tb_{i}")) for i, k in enumerate(keys)], F.col(part) == F.col("tb_p"))
     both = written.withColumn(name, number).join(beside(before), same).withColumn(name, (F.col(name) + F.col(begin)).cast("long"))
     return both.select(*rows.columns, name)

@@ -12,7 +12,7 @@ from ..operators import stacks as K
 from ..operators import tables as T
 from ..sources import sinks
 from .rasters import YEAR_MAP, observations, year_map
-from .registry import query, table
+from .registry import query, scratch, table
 
 LAYERS = tuple(range(2015, 2020))
 _MODE = f"(SELECT pixel, irr FROM (SELECT pixel, irr, count(*) AS n FROM ym WHERE yr BETWEEN {LAYERS[0]} AND {LAYERS[-1]} GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY pixel ORDER BY n DESC, irr) = 1)"
@@ -48,17 +48,9 @@ def min_years_masks(spark, sf_dir):
     "c AS (SELECT g, k, quota, sum(quota) OVER (PARTITION BY g ORDER BY k) AS total FROM q) SELECT g, k, quota, CAST(total AS BIGINT) AS total FROM c WHERE total - quota <= 10"
 )
 def allocation_until_total(spark, sf_dir):
-    """Points for each polygon by area until a zone has more than ten.
-
-    A polygon has one point at least, so eleven polygons a zone are enough: Spark drops
-    the others before the shuffle and the running sum reads no more.
-    """
+    """Points for each polygon by area until a zone has more than ten."""
     a = table(spark, sf_dir, "part").select(F.col("p_size").alias("g"), F.col("p_partkey").alias("k"), (F.col("p_size") * (F.col("p_partkey") % 10 + 1)).cast("long").alias("area"))
-    total = a.groupBy("g").agg(F.sum("area").alias("whole"))
-    first = T.first_per(a, ["g"], [F.col("k")], 11).join(total, "g")
-    quota = F.greatest(F.lit(1), F.ceil(F.col("area") / F.col("whole") * 10)).cast("long")
-    out = first.select("g", "k", quota.alias("quota")).withColumn("total", F.sum("quota").over(Window.partitionBy("g").orderBy("k")))
-    return out.where(F.col("total") - F.col("quota") <= 10)
+    return L.allocate(a, "g", "k", "area", 10, scratch(spark))
 
 
 @query("SELECT p_partkey AS k, CAST(-125.0 + p_partkey % 60 AS DOUBLE) AS lon, CAST(25.0 + p_size * 0.5 AS DOUBLE) AS lat FROM part")

@@ -136,6 +136,24 @@ def rule_run(spark, sf_dir):
     return rules.refine(placed, every).select("pixel", "state", "year", F.col("IRR").alias("class"))
 
 
+@query(f"""{OBS}, own(k, state, slope_limit, fixed, horizon, since, needs) AS (VALUES
+ (0, 'AZ', NULL, 0, NULL, NULL, ''), (1, 'CA', 10, NULL, 2021, 2012, ' && (SUM > #)'), (2, 'CO', 4, NULL, 2025, NULL, ''), (3, 'ID', 6, 5, NULL, 2011, ' && (SUM > #)'),
+ (4, 'MT', 10, 6, NULL, 2008, ''), (5, 'NM', 10, NULL, 2025, 2012, ' && (SUM > #)'), (6, 'NV', 10, NULL, 2025, 2012, ' && (SUM > #)'), (7, 'OR', 10, NULL, 2025, 2012, ' && (SUM > #)'),
+ (8, 'UT', 4, NULL, 2025, NULL, ''), (9, 'WA', 10, NULL, 2025, 2012, ' && (SUM > #)'), (10, 'WY', 4, NULL, 2025, NULL, '')),
+seen AS (SELECT DISTINCT state, CAST(yr + 7 * (pixel % 3 - 1) AS INT) AS y, slope_limit, since, needs, fixed, horizon FROM obs JOIN own ON pixel % 11 = k),
+open_ AS (SELECT state, y, coalesce(fixed, CASE WHEN y < 2016 THEN 5 ELSE greatest(horizon - y - 1, 0) END) AS t, CASE WHEN state = 'AZ' THEN NULL
+ WHEN y >= since THEN '(IRR != 0) && (NDVI > 0.68) && (PIVOT == 1)' || needs || ' ? 0: IRR' WHEN state = 'ID' THEN '(IRR == 0) && (SLOPE > 6) ? 3: IRR'
+ ELSE '(IRR == 1) && (NDVI > 0.75) && (SUM > #) ? 0: (IRR == 0) && (SUM < #) ? 1: (IRR == 0) && (SLOPE > ' || slope_limit || ') ? 3: IRR' END AS text FROM seen)
+SELECT state, y AS year, CAST(t AS INT) AS t, replace(text, '#', CAST(t AS VARCHAR)) AS stamp FROM open_""")
+def rule_stamps(spark, sf_dir):
+    """The threshold of each state and year that has pixels, and the text of its last rule with the threshold filled in."""
+    years = observations(spark, sf_dir).select(
+        F.element_at(F.array(*map(F.lit, sorted(rules.PUBLISHED))), (F.col("pixel") % 11 + 1).cast("int")).alias("state"), (F.col("yr") + (F.col("pixel") % 3 - 1) * 7).cast("int").alias("year")
+    ).distinct()
+    every = rules.rule_table(spark, rules.PUBLISHED, rules.PUBLISHED, range(1985, 2041))
+    return years.join(F.broadcast(every), ["state", "year"]).select("state", "year", "t", "stamp")  # a row per state and year of a run
+
+
 @query(f"{YEAR_MAP} SELECT pixel, s AS freq FROM freq")
 def freq_sum(spark, sf_dir):
     return year_map(observations(spark, sf_dir)).groupBy("pixel").agg(F.count_if(F.col("irr") == 0).alias("freq"))

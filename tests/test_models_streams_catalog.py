@@ -201,3 +201,20 @@ def test_pairs_folds_and_missing_properties(spark, tmp_path):
     still = spark.createDataFrame([(1, 10.0, 82, 30), (1, 9.0, 11, 0), (2, 5.0, 90, 25)], "p int, elevation double, landcover int, occurrence int")
     own = L.with_static(spark.createDataFrame([(1, "x"), (2, "y"), (3, "z")], "p int, n string"), still, "p")
     assert sorted(tuple(r) for r in own.collect())[:2] == [(1, "x", 10.0, 82, 1, 1), (2, "y", 5.0, 90, 0, 0)] and own.where("p = 3 and water is null").count() == 1
+
+
+def test_allocation_runs_over_ranges(spark, tmp_path):
+    from croplens.operators import layers as L
+
+    rows = [(z, k, (k * 7) % 13 + 1) for z, size in (("big", 3000), ("small", 3), (None, 20)) for k in range(size)]
+    want = []
+    for z in ("big", "small", None):
+        total, whole = 0, sum(r[2] for r in rows if r[0] == z)
+        for _, k, area in (r for r in rows if r[0] == z):
+            quota = max(1, math.ceil(area / whole * 500))
+            total += quota
+            want.append((z, k, quota, total))
+            if total > 500:
+                break
+    got = L.allocate(spark.createDataFrame(rows, "z string, k int, area long"), "z", "k", "area", 500, f"file://{tmp_path}")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str) and len(want) > 500
