@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import tables as T
+
 
 #: Semi-major axis and flattening of the WGS84 ellipsoid.
 WGS84 = (6378137.0, 1 / 298.257223563)
@@ -56,7 +58,7 @@ def box_pairs(left: DataFrame, right: DataFrame, key: str, box: str, cell: float
     a, b = (lambda k: F.col(f"box_a.{k}")), (lambda k: F.col(f"box_b.{k}"))
     touch = (a("x0") <= b("x1")) & (b("x0") <= a("x1")) & (a("y0") <= b("y1")) & (b("y0") <= a("y1"))
     first = (F.col("ci") == F.floor(F.greatest(a("x0"), b("x0")) / cell)) & (F.col("cj") == F.floor(F.greatest(a("y0"), b("y0")) / cell))
-    return placed(left, "a").join(placed(right, "b"), ["ci", "cj"]).where(touch & first).select("a", "b")
+    return T.spread(placed(left, "a"), "ci", "cj", "a").join(placed(right, "b"), ["ci", "cj"]).where(touch & first).select("a", "b")
 
 
 def zone_area(south: Column, north: Column, width: Column, ellipsoid: tuple[float, float] = WGS84) -> Column:

@@ -30,6 +30,30 @@ def drop_tables(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows over as many tasks as shuffles have, for steps that make many rows of few: small tables would be joined in one task or two."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def firsts(rows: DataFrame, key: str, *columns: str) -> DataFrame:
+    """(key, *columns): rows that are equal in the columns once, under their least key."""
+    return rows.groupBy(*columns).agg(F.min(key).alias(key)).select(key, *columns)
+
+
+def members(rows: DataFrame, found: DataFrame, key: str, *columns: str, name: str = "like") -> DataFrame:
+    """(key, name): each key of rows with that of the row of found that is equal to it in the columns; keys without one drop out."""
+    own = found.select(F.col(key).alias(name), *columns)
+    return rows.select(key, *columns).join(own, [*columns]).select(key, name)
+
+
+def pairs_of_members(met: DataFrame, own: DataFrame, name: str = "like") -> DataFrame:
+    """(a, b), a < b: the pairs of rows behind pairs (a, b) of kinds, each of which is there in one direction; a kind that is paired with itself gives the pairs of its rows."""
+    key = next(c for c in own.columns if c != name)
+    side = lambda k: own.select(F.col(name).alias(k), F.col(key).alias(f"pm_{k}"))
+    both = spread(met, "a", "b").join(side("a"), "a").join(side("b"), "b").where((F.col("a") != F.col("b")) | (F.col("pm_a") < F.col("pm_b")))
+    return both.select(F.least("pm_a", "pm_b").alias("a"), F.greatest("pm_a", "pm_b").alias("b"))
+
+
 def label_filter(rows: DataFrame, label: str = "POINT_TYPE", nd: str = "nd_max_gs") -> DataFrame:
     """Drops irrigated points that are too brown and fallow points that are too green; fallow joins class 1."""
     bad = ((F.col(label) == 0) & (F.col(nd) < 0.68)) | ((F.col(label) == 4) & (F.col(nd) > 0.6))
@@ -130,25 +154,30 @@ def encode(rows: DataFrame, column: str, known: DataFrame, name: str = "ordinal"
     return both.withColumn(name, F.coalesce("en_n", F.lit(unseen))).drop("en_v", "en_n")
 
 
-def low_mean(rows: DataFrame, zone: str, value: str, share: float, folder: str) -> DataFrame:
+def low_mean(rows: DataFrame, zone: str, value: str, share: float, folder: str, times: str | None = None) -> DataFrame:
     """(zone, trimmed, med): the mean of each zone's values up to the given percentile, and the median; nulls don't count.
 
+    times is a column of how often a row counts, once without it; equal values of a zone are laid together first.
+
     Zones are numbered over ranges of (zone, value); percentiles are drawn between two
     neighbouring places, so no zone's values are held together.
     """
-    z = ranked(rows.select(zone, value).where(F.col(value).isNotNull()), [zone], [value], "lm_k", folder)
-    sizes = z.groupBy(F.col(zone).alias("lm_z")).agg(F.count("*").alias("lm_n"))
+    once = rows.where(F.col(value).isNotNull()).groupBy(zone, value).agg((F.sum(times) if times else F.count("*")).alias("lm_c"))
+    z = ranked(once, [zone], [value], "lm_k", folder, "lm_c")
+    sizes = z.groupBy(F.col(zone).alias("lm_z")).agg(F.sum("lm_c").alias("lm_n"))
     at, k, v = (lambda q: (F.col("lm_n") - 1) * q + 1), F.col("lm_k"), F.col(value)
-    near = lambda q: F.sum(F.when(k == F.floor(at(q)), v * (1 - at(q) + F.floor(at(q)))).when(k == F.floor(at(q)) + 1, v * (at(q) - F.floor(at(q)))))
+    holds = lambda place: (place > k - F.col("lm_c")) & (place <= k)
+    over = lambda q: at(q) - F.floor(at(q))
+    near = lambda q: F.sum(F.when(holds(F.floor(at(q))), v * (1 - over(q)))) + F.coalesce(F.sum(F.when(holds(F.floor(at(q)) + 1), v * over(q))), F.lit(0.0))
     same = F.col(zone).eqNullSafe(F.col("lm_z"))
     cuts = z.join(beside(sizes), same).groupBy("lm_z").agg(near(share).alias("lm_p"), near(0.5).alias("med"))
     low = z.join(beside(cuts), same).where(v <= F.col("lm_p") + 1e-9)
-    return low.groupBy(zone).agg(F.avg(value).alias("trimmed"), F.any_value("med").alias("med"))
+    return low.groupBy(zone).agg((F.sum(v * F.col("lm_c")) / F.sum("lm_c")).alias("trimmed"), F.any_value("med").alias("med"))
 
 
-def majority(rows: DataFrame, zone: str, value: str) -> DataFrame:
-    """(zone, majority, purity): the most frequent value of each zone, the smallest of equals, and its share; nulls don't count."""
-    n = rows.where(F.col(value).isNotNull()).groupBy(zone, value).agg(F.count("*").alias("mj_n"))
+def majority(rows: DataFrame, zone: str, value: str, times: str | None = None) -> DataFrame:
+    """(zone, majority, purity): the most frequent value of each zone, the smallest of equals, and its share; nulls don't count, rows as often as times says."""
+    n = rows.where(F.col(value).isNotNull()).groupBy(zone, value).agg((F.sum(times) if times else F.count("*")).alias("mj_n"))
     return n.groupBy(zone).agg(F.max_by(value, F.struct("mj_n", -F.col(value))).alias("majority"), (F.max("mj_n") / F.sum("mj_n")).alias("purity"))
 
 
@@ -236,11 +265,14 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float, with
     """Pairs (point, polygon) by an equi-join on grid cells, then the exact test.
 
     points has x and y; box is the polygon's bounds struct. A polygon is listed in
-    each cell that its bounds touch.
+    each cell that its bounds touch; points outside of them, with room for rounding,
+    are not tested. Points and polygons that repeat should be given once.
     """
     at = lambda v: F.floor(v / cell)
     cells = polygons.withColumn("gp_box", box)
     cells = cells.withColumn("gp_i", F.explode(F.sequence(at(F.col("gp_box.x0")), at(F.col("gp_box.x1")))))
-    cells = cells.withColumn("gp_j", F.explode(F.sequence(at(F.col("gp_box.y0")), at(F.col("gp_box.y1"))))).drop("gp_box")
-    placed = points.withColumns({"gp_i": at(F.col("x")), "gp_j": at(F.col("y"))})
-    return placed.join(cells, ["gp_i", "gp_j"]).where(within).drop("gp_i", "gp_j")
+    cells = cells.withColumn("gp_j", F.explode(F.sequence(at(F.col("gp_box.y0")), at(F.col("gp_box.y1")))))
+    placed = spread(points.withColumns({"gp_i": at(F.col("x")), "gp_j": at(F.col("y"))}), "gp_i", "gp_j", "x", "y")
+    room = lambda k: (F.abs(F.col(f"gp_box.{k}0")) + F.abs(F.col(f"gp_box.{k}1"))) * 1e-9
+    close = lambda k: F.col(k).between(F.col(f"gp_box.{k}0") - room(k), F.col(f"gp_box.{k}1") + room(k))
+    return placed.join(cells, ["gp_i", "gp_j"]).where(close("x") & close("y") & within).drop("gp_i", "gp_j", "gp_box")
