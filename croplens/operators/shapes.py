@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from . import grids as G
 from . import polygons as P
+from . import tables as T
 
 Grid = tuple[float, float, float]
 #: Cells of a row that share a join key.
@@ -41,6 +43,41 @@ def intersects(a: Column, b: Column) -> Column:
     return meet | F.exists(a, lambda ring: first(ring, b)) | F.exists(b, lambda ring: first(ring, a))
 
 
+def near(shapes: DataFrame, key: str, shape: str, cell: float) -> DataFrame:
+    """(a, b), a < b: keys of shapes whose boxes touch."""
+    z = shapes.select(key, bounds(F.col(shape)).alias("sh_box"))
+    return G.box_pairs(z, z, key, "sh_box", cell).where("a < b")
+
+
+def meeting(pairs: DataFrame, shapes: DataFrame, key: str, shape: str) -> DataFrame:
+    """The pairs (a, b) of keys whose shapes share a point, as intersects() says; pairs are read twice, so they should be stored.
+
+    Edges are laid out as rows, those outside the other shape's box dropped; only pairs
+    without crossing edges are asked whether one shape holds a corner of the other.
+    """
+    flat = F.flatten(F.transform(shape, S.edges))
+    z = shapes.select(F.col(key).alias("sh_k"), flat.alias("sh_e"), bounds(F.col(shape)).alias("sh_b"), F.col(shape).alias("sh_s"))
+    side = lambda n, *cols: z.select(F.col("sh_k").alias(n), *[F.col(c).alias(f"{c}{n}") for c in cols])
+    both = T.spread(pairs, "a", "b").join(side("a", "sh_e"), "a").join(side("b", "sh_e", "sh_b"), "b")
+    p, q, box = F.col("e.a"), F.col("e.b"), F.col("sh_bb")
+    reach = lambda k: (F.least(p[k], q[k]) <= box[f"{k}1"]) & (F.greatest(p[k], q[k]) >= box[f"{k}0"])
+    ahead = both.select("a", "b", "sh_eb", "sh_bb", F.explode("sh_ea").alias("e")).where(reach("x") & reach("y")).select("a", "b", "sh_eb", "e")
+    crossed = ahead.select("a", "b", "e", F.explode("sh_eb").alias("f")).where(P.crosses(p, q, F.col("f.a"), F.col("f.b"))).select("a", "b").distinct()
+    rest = pairs.join(crossed, ["a", "b"], "left_anti")
+    held = T.spread(rest, "a", "b").join(side("a", "sh_s", "sh_b"), "a").join(side("b", "sh_s", "sh_b"), "b")
+    return crossed.unionAll(held.where(_holds("sh_sa", "sh_sb", "sh_bb") | _holds("sh_sb", "sh_sa", "sh_ba")).select("a", "b"))
+
+
+def _holds(inner: str, outer: str, box: str) -> Column:
+    """Whether a first corner of inner's rings lies in outer, which no line of points above or below its box does."""
+
+    def one(ring: Column) -> Column:
+        x, y = F.get(ring, 0)["x"], F.get(ring, 0)["y"]
+        return (y >= F.col(box)["y0"]) & (y < F.col(box)["y1"]) & contains(x, y, F.col(outer))
+
+    return F.exists(inner, one)
+
+
 def buffered(x: Column, y: Column, shape: Column, distance: float) -> Column:
     """Whether a point lies in the shape widened by the distance, or narrowed by it where it is negative; edges of holes count like outer ones."""
     edge = F.array_min(F.transform(F.flatten(F.transform(shape, S.edges)), lambda e: P.segment_distance(x, y, e["a"], e["b"])))
@@ -137,13 +174,13 @@ def covered(cells: DataFrame, runs: DataFrame) -> DataFrame:
 def clip(cells: DataFrame, shapes: DataFrame, key: str, shape: str, grid: Grid) -> DataFrame:
     """The cells (i, j, ...) that any shape covers, with all their columns, each once."""
     at = lambda c: F.floor(F.col(c) / BLOCK)
-    blocks = scan_lines(shapes, key, shape, grid).select(F.col("j").alias("sh_j"), "i0", "i1", F.explode(F.sequence(at("i0"), at("i1"))).alias("sh_i"))
+    blocks = scan_lines(T.firsts(shapes, key, shape), key, shape, grid).select(F.col("j").alias("sh_j"), "i0", "i1", F.explode(F.sequence(at("i0"), at("i1"))).alias("sh_i"))
     return cells.join(blocks, (F.col("j") == F.col("sh_j")) & (at("i") == F.col("sh_i")) & F.col("i").between(F.col("i0"), F.col("i1")), "left_semi")
 
 
 def paint(cells: DataFrame, shapes: DataFrame, key: str, shape: str, grid: Grid, value: Column, name: str = "painted") -> DataFrame:
     """cells (i, j, ...) with the greatest value of the shapes that cover them in a column of the name, 0 where none does; one row per cell."""
-    own = shapes.select(key, shape, value.alias("sh_v"))
+    own = T.firsts(shapes.select(key, shape, value.alias("sh_v")), key, shape, "sh_v")
     runs = scan_lines(own.select(F.struct(key, "sh_v").alias("sh_k"), shape), "sh_k", shape, grid)
     places = covered(cells.select("i", "j").distinct(), runs).groupBy("i", "j").agg(F.max("sh_k.sh_v").alias(name))
     return cells.join(places, ["i", "j"], "left").withColumn(name, F.coalesce(F.col(name), F.lit(0)))
