@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator, Sequence
 from datetime import datetime
 from zoneinfo import ZoneInfo
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -40,14 +40,15 @@ def once(stream: DataFrame, key: str, ts: str, late: str = "2 days") -> DataFram
     return stream.withColumn("st_ts", F.col(ts).cast("timestamp")).withWatermark("st_ts", late).dropDuplicatesWithinWatermark([key]).drop("st_ts")
 
 
-def seasons(stream: DataFrame, key: str, ts: str, value: str, windows: Sequence[tuple[str, int, int, int]] = K.NORTH, late: str = "2 days") -> DataFrame:
+def seasons(stream: DataFrame, key: str, ts: str, value: str, windows: Sequence[tuple[str, int, int, int]] = K.NORTH, late: str = "2 days", groups: int = 1024) -> DataFrame:
     """A row per key and year with mean and greatest value of each window, those of the two years before among them.
 
-    Windows are uneven and look back, so each key keeps a sum per window of the last
-    years and a timer for the first year that is still open. The row of a year is sent
-    once the watermark has passed the year's last window; what no later year looks back
-    on is forgotten then. Rows behind the watermark are dropped, as are null values,
-    null keys and rows in no window.
+    Windows are uneven and look back, so sums per key and window of the last years are
+    kept, with a timer for the first year that is still open. Keys are held in groups by
+    their hash, whose state is one table, so a call serves many keys. The row of a year
+    is sent once the watermark has passed the year's last window; what no later year
+    looks back on is forgotten then. Rows behind the watermark are dropped, as are null
+    values, null keys and rows in no window.
     """
     spans = list(dict.fromkeys((first, stop) for _, _, first, stop in windows))
     last, furthest = max(stop for _, back, _, stop in windows if not back), max(back for _, back, _, _ in windows)
@@ -58,31 +59,51 @@ def seasons(stream: DataFrame, key: str, ts: str, value: str, windows: Sequence[
     def closes(year: int) -> int:
         return int(datetime(year, last // 100, last % 100, tzinfo=zone).timestamp() * 1000)
 
+    at = ["k", "year", "span"]
+
+    def summed(*parts: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([p for p in parts if len(p)] or parts[:1]).groupby(at, as_index=False, sort=False).agg(n=("n", "sum"), total=("total", "sum"), top=("top", "max"))
+
+    def cells(rows: pd.DataFrame) -> pd.DataFrame:
+        inside = [rows[(rows["day"] >= first) & (rows["day"] < stop)].assign(span=k) for k, (first, stop) in enumerate(spans)]
+        each = pd.concat(inside).rename(columns={key: "k", "own": "year"})
+        return each.groupby(at, as_index=False, sort=False).agg(n=("v", "size"), total=("v", "sum"), top=("v", "max"))
+
+    def year_rows(own: pd.DataFrame, year: int) -> pd.DataFrame:
+        made = {}
+        for name, back, first, stop in windows:
+            c = own[(own["year"] == year - back) & (own["span"] == spans.index((first, stop)))].set_index("k")
+            made |= {f"mean_{name}": c["total"] / c["n"], f"max_{name}": c["top"]}
+        return pd.DataFrame(made).rename_axis(key).reset_index().assign(yr=year)[[key, "yr", *columns]]
+
     def run(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        own, opened = json.loads(state.get[0]) if state.exists else ({}, [])  # by year: [n, sum, greatest] of each span
+        held, done = state.get if state.exists else (None, -(10**6))
+        own = pa.ipc.open_stream(held).read_pandas() if held is not None else None  # a row per key, year and span
         for rows in frames:
-            for k, (first, stop) in enumerate(spans):
-                inside = rows[(rows["day"] >= first) & (rows["day"] < stop)]
-                for year, v in inside.groupby("own")["v"]:
-                    cell = own.setdefault(str(year), [[0, 0.0, None] for _ in spans])[k]
-                    cell[:] = [cell[0] + len(v), cell[1] + float(v.sum()), max(float(v.max()), cell[2] if cell[0] else float("-inf"))]
-                    opened = sorted({*opened, *(int(year) + back for _, back, a, b in windows if (a, b) == (first, stop))})
+            if len(rows):
+                own = cells(rows) if own is None else summed(own, cells(rows))
         mark, made = state.getCurrentWatermarkMs(), []
-        while state.hasTimedOut and opened and closes(opened[0]) <= mark:
-            year = opened.pop(0)
-            cells = [own.get(str(year - back), [None] * len(spans))[spans.index((a, b))] for _, back, a, b in windows]
-            made.append([group[0], year, *[x for c in cells for x in ((c[1] / c[0], c[2]) if c and c[0] else (None, None))]])
-            own = {y: c for y, c in own.items() if int(y) > year - furthest}
-        if opened:
-            state.update((json.dumps([own, opened]),))
-            state.setTimeoutTimestamp(max(closes(opened[0]), mark + 1))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(made, columns=[key, "yr", *columns])
+        if own is not None:
+            year = datetime.fromtimestamp(mark / 1000, zone).year
+            shut = year if closes(year) <= mark else year - 1  # the last year that is closed
+            opened = sorted({int(y) + back for _, back, *span in windows for y in own.loc[own["span"] == spans.index(tuple(span)), "year"].unique()})
+            made = [year_rows(own, y) for y in opened if done < y <= shut]
+            opened, own = [y for y in opened if y > shut], own[own["year"] > shut - furthest]
+            if opened:
+                table = pa.Table.from_pandas(own, preserve_index=False)
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, table.schema) as out:
+                    out.write_table(table)
+                state.update((sink.getvalue().to_pybytes(), max(done, shut)))
+                state.setTimeoutTimestamp(max(closes(opened[0]), mark + 1))
+            elif state.exists:
+                state.remove()
+        yield pd.concat(made) if made else pd.DataFrame({c: [] for c in [key, "yr", *columns]})
 
     timed = stream.select(key, F.col(ts).cast("timestamp").alias("st_ts"), F.col(value).cast("double").alias("v")).where(F.col(key).isNotNull() & F.col("v").isNotNull())
     timed = timed.withWatermark("st_ts", late).withColumns({"own": F.year("st_ts"), "day": K.day_of("st_ts")})
-    return timed.groupBy(key).applyInPandasWithState(run, schema, "held string", "append", GroupStateTimeout.EventTimeTimeout)
+    timed = timed.withColumn("st_group", F.pmod(F.xxhash64(key), F.lit(groups)))
+    return timed.groupBy("st_group").applyInPandasWithState(run, schema, "held binary, done int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def drain(updates: DataFrame, folder: str, mode: str = "update", seconds: int = 3600) -> DataFrame:
