@@ -24,6 +24,8 @@ CONUS_ALBERS = (29.5, 45.5, 23.0, -96.0)
 
 #: Open rows that one task decides together.
 CELL = 50_000
+#: Pairs of rows that meet, on average, in what one task decides.
+LINKS = 1_000_000
 
 
 def along_curve(box: str, extent: tuple[float, float, float]) -> Column:
@@ -42,19 +44,20 @@ def decided(cell: pd.DataFrame) -> pd.DataFrame:
     before them outside; the others are pairs within the cell.
     """
     lo, hi = cell["lo"].to_numpy(), cell["hi"].to_numpy()
-    before: dict[int, list[int]] = {p: [] for p in np.sort(hi[lo == -1]).tolist()}
-    waits = set(hi[lo == -2].tolist())
-    for a, b in zip(lo[lo >= 0].tolist(), hi[lo >= 0].tolist()):
-        before[b].append(a)
-    said: dict[int, bool | None] = {}
-    for p, earlier in before.items():
-        states = [said[a] for a in earlier]
-        said[p] = False if True in states else None if None in states or p in waits else True
-    known = [(p, k) for p, k in said.items() if k is not None]
-    return pd.DataFrame(known, columns=["pos", "kept"]).astype({"pos": "int64", "kept": "bool"})
-
-
-def apart(rows: DataFrame, pairs: DataFrame, key: str, order: Sequence[str], folder: str, box: str | None = None, cell: int = CELL) -> DataFrame:
+    pos, inner = np.sort(hi[lo == -1]), lo >= 0
+    waits = np.isin(pos, hi[lo == -2])
+    b = np.searchsorted(pos, hi[inner]).astype("int32")
+    order = np.argsort(b, kind="stable")
+    a, ends = np.searchsorted(pos, lo[inner]).astype("int32")[order], np.searchsorted(b[order], np.arange(len(pos) + 1))
+    said = np.full(len(pos), -1, "int8")  # 1 kept, 0 not, -1 open
+    for p in range(len(pos)):
+        earlier = said[a[ends[p] : ends[p + 1]]]
+        said[p] = 0 if (earlier == 1).any() else -1 if waits[p] or (earlier == -1).any() else 1
+    known = said >= 0
+    return pd.DataFrame({"pos": pos[known].astype("int64"), "kept": said[known] == 1})
+
+
+def apart(rows: DataFrame, pairs: DataFrame, key: str, order: Sequence[str], folder: str, box: str | None = None, cell: int = CELL, links: int = LINKS) -> DataFrame:
     """The rows that a greedy pass keeps: each, in the given order, that meets no row kept before it.
 
     pairs lists the (a, b) of keys that meet, in either direction. Rows are numbered in
@@ -62,7 +65,9 @@ def apart(rows: DataFrame, pairs: DataFrame, key: str, order: Sequence[str], fol
     round decides in each cell all rows that hang on no open row of another cell, closes
     the neighbours of kept rows everywhere, and deals what is open anew. Once no more than
     `cell` rows are open one task decides them, so a chain of that length takes one
-    round; longer ones take a round per cell that they run through in order. Tables of a
+    round; longer ones take a round per cell that they run through in order. Where more
+    than `links` pairs are open there are more and smaller cells, so that rows that meet
+    many others don't fill a task. Tables of a
     round are written below folder, which the executors share, and deleted after the next.
     """
     spark = rows.sparkSession
@@ -88,7 +93,8 @@ def apart(rows: DataFrame, pairs: DataFrame, key: str, order: Sequence[str], fol
     opened = stored(ids.select("pos", "z").join(met, "pos", "left_semi"), "open")
     lost: list[DataFrame] = []  # of each round
     while n := opened.count():
-        dealt = opened.repartitionByRange(math.ceil(1.3 * n / cell), "z", "pos").withColumn("cell", F.spark_partition_id()) if n > cell else opened.withColumn("cell", F.lit(0))
+        parts = max(math.ceil(1.3 * n / cell) if n > cell else 1, min(n, math.ceil(edges.count() / links)))
+        dealt = opened.repartitionByRange(parts, "z", "pos").withColumn("cell", F.spark_partition_id()) if parts > 1 else opened.withColumn("cell", F.lit(0))
         dealt = stored(dealt.select("pos", "cell"), "cells")
         at = lambda end, dealt=dealt: dealt.select(F.col("pos").alias(end), F.col("cell").alias(f"{end}_cell"))
         both = edges.join(at("lo"), "lo").join(at("hi"), "hi")

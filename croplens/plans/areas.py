@@ -48,7 +48,8 @@ def protected_areas(spark, sf_dir):
     """Large, compact, simple areas, each kept unless it meets a larger one kept before."""
     area = S.ring_area(F.col("ring"))
     z = boxes(spark, sf_dir).where((area >= 8) & (F.size("ring") <= 1000) & (S.compactness(F.col("ring")) >= 0.3))
-    z = stored(z.select("id", (-area).alias("order"), S.bounds(F.col("ring")).alias("box")))
+    # of equal rings only that of the least id can be kept: the others meet it, or what it meets
+    z = stored(T.firsts(z.select("id", (-area).alias("order"), S.bounds(F.col("ring")).alias("box"), "ring"), "id", "ring", "order", "box").drop("ring"))
     return P.apart(z, G.box_pairs(z, z, "id", "box", 8.0), "id", ["order"], scratch(spark), "box").select("id")
 
 
@@ -56,9 +57,11 @@ def protected_areas(spark, sf_dir):
 def polygon_intersects(spark, sf_dir):
     """Pairs of rings that share a point: boxes meet in grid cells, then edges cross or one ring holds the other's first corner."""
     z = boxes(spark, sf_dir).select("id", "ring", S.bounds(F.col("ring")).alias("box"))
-    pairs = G.box_pairs(z, z, "id", "box", 8.0).where("a < b")
-    left, right = z.select(F.col("id").alias("a"), F.col("ring").alias("ra")), z.select(F.col("id").alias("b"), F.col("ring").alias("rb"))
-    return pairs.join(left, "a").join(right, "b").where(P.ring_intersects(F.col("ra"), F.col("rb"))).select("a", "b")
+    kinds = stored(T.firsts(z, "id", "ring", "box"))
+    pairs = G.box_pairs(kinds, kinds, "id", "box", 8.0).where("a <= b")  # a ring meets its equals
+    left, right = kinds.select(F.col("id").alias("a"), F.col("ring").alias("ra")), kinds.select(F.col("id").alias("b"), F.col("ring").alias("rb"))
+    met = pairs.join(left, "a").join(right, "b").where(P.ring_intersects(F.col("ra"), F.col("rb"))).select("a", "b")
+    return T.pairs_of_members(stored(met), stored(T.members(z, kinds, "id", "ring", "box")))
 
 
 @query(
