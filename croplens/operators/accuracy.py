@@ -48,12 +48,18 @@ def compare_forests(rows: DataFrame, features: Sequence[str], label: str, key: s
 
 def feature_curve(rows: DataFrame, features: Sequence[str], label: str, key: str, cls: int = 0, counts: Sequence[int] | None = None, **settings) -> list[tuple[int, str, float | None]]:
     """(features used, last one, share of the class's held-out rows found) for the first features, as many as counts says or 1 to all."""
-    held, curve = share_of(F.col(key)) < 33, []
-    for n in counts or range(1, len(features) + 1):
-        model = models.train_forest(rows.where(~held), features[:n], label, **settings)
-        out = models.classify(model, rows.where(held & (F.col(label) == cls)), features[:n])
-        curve.append((n, features[n - 1], out.agg(F.avg((F.col("pred") == cls).cast("double"))).first()[0]))
-    return curve
+    held = share_of(F.col(key)) < 33
+    known = models.dealt(rows.select(key, label, *dict.fromkeys(features)))
+
+    def score(n: int) -> tuple[int, str, float | None]:
+        model = models.fit_forest(known.where(~held), features[:n], label, **settings)
+        out = models.classify(model, known.where(held & (F.col(label) == cls)), features[:n])
+        return n, features[n - 1], out.agg(F.avg((F.col("pred") == cls).cast("double"))).first()[0]
+
+    try:
+        return models.side_by_side(known, score, counts or range(1, len(features) + 1))
+    finally:
+        known.unpersist()
 
 
 def pair_correlations(rows: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import itertools
 import random
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 from typing import Any
 
 from pyspark.ml.classification import RandomForestClassifier
@@ -15,11 +16,16 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from ..functions.scalar import share_of
 
 #: The deepest trees that the library grows; they stand for trees without a limit.
 DEEPEST = 30
+#: Rows that a fit gives to a task. Every task of a fit holds and sends the sums of all nodes that are split at a time, however few its rows are.
+TASK_ROWS = 60_000
+#: Fits that run side by side.
+FITS = 4
 #: The grid that is searched whole, and the ranges that random settings are drawn from.
 GRID = {"maxDepth": (3, DEEPEST), "features": (1, 3, 10), "split": (2, 3, 10), "bootstrap": (True, False), "impurity": ("gini", "entropy")}
 RANGES = {"maxDepth": (3, DEEPEST), "features": range(1, 11), "split": range(2, 11), "bootstrap": (True, False), "impurity": ("gini", "entropy")}
@@ -34,7 +40,29 @@ def assemble(rows: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=usable(rows, features), outputCol="md_x", handleInvalid="skip").transform(rows)
 
 
-def train_forest(rows: DataFrame, features: Sequence[str], label: str, trees: int = 150, bag: float = 0.5, depth: int = 10, seed: int = 1):
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows, cached, over as many tasks as a fit needs, up to one a core: as they are read, a file's row group of a million rows is one task."""
+    tasks = min(-(-rows.count() // TASK_ROWS), rows.sparkSession.sparkContext.defaultParallelism)
+    return (rows.repartition(tasks) if tasks > 1 else rows.coalesce(1)).cache()
+
+
+def side_by_side(rows: DataFrame, job: Callable[[Any], Any], items: Iterable[Any]) -> list[Any]:
+    """The job's results for the items in their order, a few at a time as jobs of their own over the same rows."""
+    with ThreadPool(FITS) as pool:
+        return pool.map(inheritable_thread_target(rows.sparkSession)(job), items, chunksize=1)
+
+
+def train_forest(rows: DataFrame, features: Sequence[str], label: str, **settings):
+    """A forest of the rows; they are read and dealt out once for it."""
+    known = dealt(rows.select(*usable(rows, features), label))
+    try:
+        return fit_forest(known, features, label, **settings)
+    finally:
+        known.unpersist()
+
+
+def fit_forest(rows: DataFrame, features: Sequence[str], label: str, trees: int = 150, bag: float = 0.5, depth: int = 10, seed: int = 1):
+    """A forest of rows that have been dealt out."""
     forest = RandomForestClassifier(
         featuresCol="md_x", labelCol=label, predictionCol="pred", numTrees=trees, minInstancesPerNode=1, subsamplingRate=bag, featureSubsetStrategy="sqrt", maxDepth=depth, seed=seed
     )
@@ -130,9 +158,14 @@ def tree_texts(model) -> list[tuple[int, int, int, str]]:
 def importance(rows: DataFrame, features: Sequence[str], label: str, fits: int = 10, top: int = 50, **kw) -> list[tuple[str, float]]:
     """Importances summed over fits on random 67 % shares, largest first."""
     total = dict.fromkeys(usable(rows, features), 0.0)
-    for n in range(fits):
-        model = train_forest(rows.sample(0.67, seed=n), features, label, seed=n, **kw)
-        for name, weight in zip(total, model.featureImportances.toArray().tolist()):
+    known = dealt(rows.select(*total, label))
+    fit = lambda n: fit_forest(known.sample(0.67, seed=n), features, label, seed=n, **kw).featureImportances.toArray().tolist()
+    try:
+        found = side_by_side(known, fit, range(fits))
+    finally:
+        known.unpersist()
+    for weights in found:
+        for name, weight in zip(total, weights):
             total[name] += weight
     return sorted(total.items(), key=lambda x: (-x[1], x[0]))[:top]
 

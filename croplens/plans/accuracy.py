@@ -219,7 +219,5 @@ def forest_search(spark, sf_dir):
 def feature_curve(spark, sf_dir):
     """Score of class 0 with the first 1 to 5, 10, 20, 50 and all 64 features, one fit each."""
     names = [f"f{i}" for i in range(64)]
-    rows = vectors(spark, sf_dir).select("vec_id", "label", *names).cache()
-    found = A.feature_curve(rows, names, "label", "vec_id", counts=(1, 2, 3, 4, 5, 10, 20, 50, 64))
-    rows.unpersist()
+    found = A.feature_curve(vectors(spark, sf_dir), names, "label", "vec_id", counts=(1, 2, 3, 4, 5, 10, 20, 50, 64))
     return spark.createDataFrame(found, "n int, feature string, score double")

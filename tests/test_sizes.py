@@ -48,3 +48,36 @@ def test_stack_shuffles_each_scene_once_with_its_bands_only(spark, windows):
     assert "explode" not in text.split("Exchange hashpartitioning")[1]  # years are made after it
     (exchange,) = [line for line in text.split("\n") if "Exchange hashpartitioning" in line]
     assert "pixel" in exchange and "partial_" not in text.split("Exchange hashpartitioning")[1]
+
+
+def test_rows_of_one_file_group_reach_several_training_tasks(spark, tmp_path, monkeypatch):
+    from croplens.operators import models as M
+
+    spark.range(1000).select("id", (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 2).cast("int").alias("label")).coalesce(1).write.parquet(f"file://{tmp_path}/t")
+    rows = spark.read.parquet(f"file://{tmp_path}/t")
+    assert rows.rdd.getNumPartitions() == 1
+    monkeypatch.setattr(M, "TASK_ROWS", 400)
+    known = M.dealt(rows)
+    sizes = [r["n"] for r in known.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 3 and max(sizes) < 400 and sum(sizes) == 1000
+    known.unpersist()
+    monkeypatch.setattr(M, "TASK_ROWS", 1)
+    known = M.dealt(rows)
+    assert known.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    known.unpersist()
+    assert M.dealt(rows.where("false")).count() == 0
+
+
+def test_fits_run_side_by_side_in_order(spark, monkeypatch):
+    import threading
+
+    from croplens.operators import accuracy as A
+    from croplens.operators import models as M
+
+    rows = spark.range(300).select("id", (F.col("id") % 2).cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b"), (F.col("id") % 2).cast("int").alias("label")).cache()
+    gate, fit = threading.Barrier(2, timeout=60), M.fit_forest
+    monkeypatch.setattr(M, "fit_forest", lambda *a, **k: (gate.wait(), fit(*a, **k))[1])  # breaks if one fit waits for another
+    curve = A.feature_curve(rows, ["b", "a"], "label", "id", trees=3, depth=3)
+    assert [c[:2] for c in curve] == [(1, "b"), (2, "a")] and curve[1][2] > 0.9
+    found = M.importance(rows, ["a", "b"], "label", fits=2, trees=3, depth=3)
+    assert found[0][0] == "a" and abs(sum(w for _, w in found) - 2) < 1e-9
