@@ -49,7 +49,8 @@ def compare_forests(rows: DataFrame, features: Sequence[str], label: str, key: s
 def feature_curve(rows: DataFrame, features: Sequence[str], label: str, key: str, cls: int = 0, counts: Sequence[int] | None = None, **settings) -> list[tuple[int, str, float | None]]:
     """(features used, last one, share of the class's held-out rows found) for the first features, as many as counts says or 1 to all."""
     held = share_of(F.col(key)) < 33
-    known = models.dealt(rows.select(key, label, *dict.fromkeys(features)))
+    counts = counts or range(1, len(features) + 1)
+    known = models.dealt(rows.select(key, label, *dict.fromkeys(features)), len(counts))
 
     def score(n: int) -> tuple[int, str, float | None]:
         model = models.fit_forest(known.where(~held), features[:n], label, **settings)
@@ -57,7 +58,7 @@ def feature_curve(rows: DataFrame, features: Sequence[str], label: str, key: str
         return n, features[n - 1], out.agg(F.avg((F.col("pred") == cls).cast("double"))).first()[0]
 
     try:
-        return models.side_by_side(known, score, counts or range(1, len(features) + 1))
+        return models.side_by_side(known, score, counts)
     finally:
         known.unpersist()
 

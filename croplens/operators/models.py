@@ -24,8 +24,8 @@ from ..functions.scalar import share_of
 DEEPEST = 30
 #: Rows that a fit gives to a task. Every task of a fit holds and sends the sums of all nodes that are split at a time, however few its rows are.
 TASK_ROWS = 60_000
-#: Fits that run side by side.
-FITS = 4
+#: Fits that run side by side: ten take two even turns. The driver holds the trees of each, so they are not more.
+FITS = 5
 #: The grid that is searched whole, and the ranges that random settings are drawn from.
 GRID = {"maxDepth": (3, DEEPEST), "features": (1, 3, 10), "split": (2, 3, 10), "bootstrap": (True, False), "impurity": ("gini", "entropy")}
 RANGES = {"maxDepth": (3, DEEPEST), "features": range(1, 11), "split": range(2, 11), "bootstrap": (True, False), "impurity": ("gini", "entropy")}
@@ -40,9 +40,15 @@ def assemble(rows: DataFrame, features: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=usable(rows, features), outputCol="md_x", handleInvalid="skip").transform(rows)
 
 
-def dealt(rows: DataFrame) -> DataFrame:
-    """rows, cached, over as many tasks as a fit needs, up to one a core: as they are read, a file's row group of a million rows is one task."""
-    tasks = min(-(-rows.count() // TASK_ROWS), rows.sparkSession.sparkContext.defaultParallelism)
+def dealt(rows: DataFrame, fits: int | None = None) -> DataFrame:
+    """rows, cached, over as many tasks as a fit needs, up to one a core: as they are read, a file's row group of a million rows is one task.
+
+    Where several fits run side by side each has its share of the cores at least, however
+    few the rows: as many tasks as hold rows also look for the best splits of all nodes.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    share = -(-cores // min(fits, FITS)) if fits else 1
+    tasks = min(max(-(-rows.count() // TASK_ROWS), share), cores)
     return (rows.repartition(tasks) if tasks > 1 else rows.coalesce(1)).cache()
 
 
@@ -158,7 +164,7 @@ def tree_texts(model) -> list[tuple[int, int, int, str]]:
 def importance(rows: DataFrame, features: Sequence[str], label: str, fits: int = 10, top: int = 50, **kw) -> list[tuple[str, float]]:
     """Importances summed over fits on random 67 % shares, largest first."""
     total = dict.fromkeys(usable(rows, features), 0.0)
-    known = dealt(rows.select(*total, label))
+    known = dealt(rows.select(*total, label), fits)
     fit = lambda n: fit_forest(known.sample(0.67, seed=n), features, label, seed=n, **kw).featureImportances.toArray().tolist()
     try:
         found = side_by_side(known, fit, range(fits))

@@ -81,3 +81,26 @@ def test_fits_run_side_by_side_in_order(spark, monkeypatch):
     assert [c[:2] for c in curve] == [(1, "b"), (2, "a")] and curve[1][2] > 0.9
     found = M.importance(rows, ["a", "b"], "label", fits=2, trees=3, depth=3)
     assert found[0][0] == "a" and abs(sum(w for _, w in found) - 2) < 1e-9
+
+
+def test_fits_side_by_side_use_all_cores_in_even_turns(spark, monkeypatch):
+    import threading
+
+    from croplens.operators import accuracy as A
+    from croplens.operators import models as M
+
+    cores = spark.sparkContext.defaultParallelism
+    rows = spark.range(300).select("id", (F.col("id") % 2).cast("double").alias("a"), (F.col("id") % 7).cast("double").alias("b"), (F.col("id") % 2).cast("int").alias("label")).coalesce(1)
+    gate, fit, tasks = threading.Barrier(5, timeout=60), M.fit_forest, []
+    monkeypatch.setattr(M, "fit_forest", lambda given, *a, **k: (tasks.append(given.rdd.getNumPartitions()), gate.wait(), fit(given, *a, **k))[2])  # breaks unless ten fits run five at a time
+    found = M.importance(rows, ["a", "b"], "label", fits=10, trees=2, depth=2)
+    assert len(tasks) == 10 and all(5 * n >= cores for n in tasks) and abs(sum(w for _, w in found) - 10) < 1e-9
+    tasks.clear()
+    gate = threading.Barrier(2, timeout=60)
+    curve = A.feature_curve(rows, ["b", "a"], "label", "id", trees=3, depth=3)
+    assert [c[:2] for c in curve] == [(1, "b"), (2, "a")] and len(tasks) == 2 and all(2 * n >= cores for n in tasks)  # two fits have half of the cores each
+    for fits, n in ((None, 1), (1, cores), (2, -(-cores // 2)), (50, -(-cores // 5))):
+        known = M.dealt(rows, fits)
+        assert known.rdd.getNumPartitions() == n and known.count() == 300
+        known.unpersist()
+    assert M.dealt(rows.where("false"), 2).count() == 0
